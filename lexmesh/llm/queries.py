@@ -30,6 +30,23 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_classes(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import held_out
+    from .lm_scoring import score_texts
+
+    docs = table(spark, sf_dir, "documents")
+    return score_texts(docs.withColumn("learn", ~held_out(F.col("doc_id"), 7, 2)), "learn")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import held_out, identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    held = held_out(F.col("doc_id"), 3, 1)
+    model = train(docs.filter(~held))
+    return identify(docs.select("doc_id", held.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,7 +65,7 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_near_duplicates, op4_line_dedup, op7_best_fit_packing, op8_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_near_duplicates, op4_line_dedup, op5_lm_scoring, op6_language_id, op7_best_fit_packing, op8_benchmark_decontamination)}
 ORACLES: dict[str, str] = {
     "op8_benchmark_decontamination": r"""
         WITH d AS (
