@@ -24,6 +24,18 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge_urls, parse_rule
+
+    given = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    # a page's url ends in the number of its document, which may have been labelled
+    number = F.regexp_extract("url", r"://[^/?#]*/[^/?#]*/(\d{1,18})", 1)
+    labels = table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))
+    of_page = pages.withColumn("doc_id", F.when(number != "", number.cast("long"))).filter("doc_id is not null")
+    return judge_urls(pages, of_page.join(labels, "doc_id").select("url", "bad"), [parse_rule(*r) for r in given])
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import line_classes
 
@@ -65,7 +77,25 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_near_duplicates, op4_line_dedup, op5_lm_scoring, op6_language_id, op7_best_fit_packing, op8_benchmark_decontamination)}
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import classify
+
+    docs = table(spark, sf_dir, "documents").withColumns({"host": F.col("source"), "path": F.concat_ws("/", "source", "lang")})
+    judged = classify(docs, table(spark, sf_dir, "labels"), ("quality", "toxic"))
+    return judged.withColumn("kept", (F.col("quality") >= 0.5) & (F.col("toxic") < 0.5))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extraction import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+_ALL = (
+    op1_quality_rules, op2_near_duplicates, op3_url_filters, op4_line_dedup, op5_lm_scoring, op6_language_id,
+    op7_best_fit_packing, op8_benchmark_decontamination, op9_quality_classifier, op10_html_extraction,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {
     "op8_benchmark_decontamination": r"""
         WITH d AS (
