@@ -123,7 +123,7 @@ def site_rates(labelled: DataFrame) -> tuple[DataFrame, DataFrame, float]:
     return hosts, settle(paths.select("host", "path", ((F.col("good") + k * F.col("host_rate")) / (F.col("n") + k)).alias("path_rate"))), rate
 
 
-def classify(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...] = ("quality",), doc_id: str = "doc_id", text: str = "text", host: str = "host", path: str = "path", sample: int = 20_000, hashed: int = 1 << 17) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...] = ("quality",), doc_id: str = "doc_id", text: str = "text", host: str = "host", path: str = "path", sample: int = 20_000, hashed: int = 1 << 16) -> DataFrame:
     """(doc_id, and for each target: target_text, target_host, target_path, target, all probabilities of label 1) of every row."""
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(host), F.lit("")).alias("host"), F.coalesce(F.col(path), F.lit("")).alias("path"))
     kinds = [F.col(t).cast("double").alias(f"y_{t}") for t in targets]
@@ -137,7 +137,7 @@ def classify(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...] = ("qu
         if own.select(f"y_{t}").distinct().count() < 2:
             models[t] = None
         else:
-            fit = LogisticRegression(featuresCol="_features", labelCol=f"y_{t}", maxIter=40, regParam=2e-3, standardization=False).fit(own)
+            fit = LogisticRegression(featuresCol="_features", labelCol=f"y_{t}", maxIter=25, regParam=2e-3, standardization=False).fit(own)
             models[t] = (fit.coefficients.toArray(), float(fit.intercept))
     scored = settle(text_scores(base, models, "text", hashed))
     sited = settle(scored.select("doc_id", "host", "path").filter("doc_id is not null").join(known, "doc_id"))
