@@ -6,9 +6,10 @@ shingle that came first, so two signatures agree in a register with the probabil
 arrivals stop as soon as they come later than every register's first. Bands of registers give candidates, and candidates are
 verified on their whole shingle sets. Links are classes' edges; the answer is each document's class.
 
-Exact copies are one node. Pairs are never spelled out within a bucket: a bucket's members are compared with a pivot, then
-the members of its smaller classes with the rest, until each bucket is one class or all its cross-class pairs have been
-verified. So no verified link between different classes is lost, and a bucket of n copies costs about n comparisons.
+Exact copies are one node. Pairs are not spelled out within a bucket: its members are compared with its most central one.
+Buckets that are one class then are done, as no further link could change a class. In the others, members outside the
+largest class meet those of other classes, and a bound from their differences to the pivot drops, within the join, pairs
+that cannot reach the threshold; all others are verified. So no link between different classes is lost.
 
 Defined cases: a null or wordless text is in a class of its own, or of its exact copies if it isn't null. A text of one to
 four words is one shingle. Rows of one doc_id are one node; rows with a null doc_id have a null class. An empty table gives
@@ -17,13 +18,12 @@ an empty result. Only the named columns are read, so extra columns can't clash.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle
@@ -129,39 +129,69 @@ def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.mapInArrow(work, "id long, sh array<long>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, jaccard) of the pairs whose whole shingle sets are at least threshold alike."""
-    x = pairs.join(sets.select(F.col("id").alias("a"), F.col("sh").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("sh").alias("sb")), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    least = F.least(F.size("sa"), F.size("sb")) / F.greatest(F.size("sa"), F.size("sb")) >= threshold
-    return x.filter(least).select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("jaccard")).filter(F.col("jaccard") >= threshold)
+MASK = 4  # longs of a mask: a set of hashes, folded
 
 
-def link_buckets(members: DataFrame, sets: DataFrame, threshold: float, pivots: int = 16) -> DataFrame:
-    """Links between members (key, id) of one bucket, enough to make the components of all such links: (a, b, jaccard)."""
-    links, classes, step = None, None, 0
-    while True:
-        step += 1
-        own = members.withColumn("cls", F.col("id")) if classes is None else members.join(classes, "id", "left").select("key", "id", F.coalesce("cls", "id").alias("cls"))
-        open_ = own.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.min("id").alias("first")).filter("lo < hi")
-        own = settle(own.join(open_.select("key", "first"), "key"))
-        if own.isEmpty():
-            break
-        if step == 1:  # a star round: one pivot a bucket
-            chosen = own.filter("id = first").select("key", F.col("id").alias("p"), F.col("cls").alias("pc"))
-        else:  # then members outside a bucket's largest class, some in each round
-            count = own.groupBy("key", "cls").agg(F.count("*").alias("n"))
-            top = count.groupBy("key").agg(F.max(F.struct("n", "cls")).alias("top"), F.sum("n").alias("all")).select("key", F.col("top.cls").alias("big"), (F.col("all") - F.col("top.n")).alias("small"))
-            share = F.ceil(F.col("small") / pivots)
-            few = own.join(top, "key").filter("cls != big").filter(F.pmod(F.xxhash64("id", F.lit(step)), share) == 0)
-            chosen = few.select("key", F.col("id").alias("p"), F.col("cls").alias("pc"))
-        chosen = settle(chosen)
-        pairs = own.join(chosen, "key").filter("cls != pc").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-        new = settle(verified(pairs, sets, threshold))
-        links = new if links is None else settle(links.unionByName(new))
-        classes = settle(components(links))
-        members = settle(own.join(chosen.select("key", F.col("p").alias("id")), ["key", "id"], "left_anti").select("key", "id"))
-    return links if links is not None else sets.sparkSession.createDataFrame([], "a long, b long, jaccard double")
+def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b) with the shingle sets sa and sb."""
+    return pairs.join(sets.select(F.col("id").alias("a"), F.col("sh").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("sh").alias("sb")), "b")
+
+
+def jaccard(shared: Column) -> Column:
+    return shared / (F.size("sa") + F.size("sb") - shared)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, jaccard) of the pairs whose whole shingle sets are at least threshold alike."""
+    both = jaccard(F.size(F.array_intersect("sa", "sb")))
+    return with_sets(pairs, sets).select("a", "b", both.alias("jaccard")).filter(F.col("jaccard") >= threshold)
+
+
+def to_pivot(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, jaccard, na, nd, m0..): of a's difference to its pivot b the size nd and a mask; na is a's size."""
+    shared = F.size(F.array_intersect("sa", "sb"))
+    base = with_sets(pairs, sets).withColumn("diff", F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa")))
+
+    def word(k: int) -> Column:
+        one = lambda e: F.call_function("shiftleft", F.lit(1).cast("long"), e.bitwiseAND(F.lit(63)).cast("int"))
+        mine = lambda e: F.shiftright(e, 6).bitwiseAND(F.lit(MASK - 1)) == k
+        return F.aggregate("diff", F.lit(0).cast("long"), lambda s, e: F.when(mine(e), s.bitwiseOR(one(e))).otherwise(s))
+
+    return base.select("a", "b", jaccard(shared).alias("jaccard"), F.size("sa").alias("na"), F.size("diff").alias("nd"), *(word(k).alias(f"m{k}") for k in range(MASK)))
+
+
+def may_link(x: str, y: str, threshold: float) -> Column:
+    """False only for pairs that cannot reach the threshold, by their differences to one pivot.
+
+    The symmetric difference of two sets is that of their differences D to a third: |Dx| + |Dy| - 2|Dx & Dy|, and a link
+    bounds it by (1-t)/(1+t) of both sizes. Every bit of Dx's mask that Dy's lacks is an element of Dx outside Dy.
+    """
+    only = lambda p, q: sum((F.bit_count(F.col(f"{p}.m{k}").bitwiseAND(F.bitwise_not(F.col(f"{q}.m{k}")))) for k in range(MASK)), F.lit(0))
+    most = F.least(F.col(f"{x}.nd") - only(x, y), F.col(f"{y}.nd") - only(y, x))
+    bound = F.col(f"{x}.nd") + F.col(f"{y}.nd") - 2 * most
+    return bound <= (F.col(f"{x}.na") + F.col(f"{y}.na")) * F.lit((1 - threshold) / (1 + threshold)) + F.lit(1e-6)
+
+
+def link_buckets(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between members (key, id) of one bucket, enough to make the components of all such links."""
+    # a bucket's pivot is the member that shares most buckets with most others: the copy nearest to what all were copied from
+    size = members.groupBy("key").agg(F.count("*").alias("n"))
+    weight = members.join(size, "key").groupBy("id").agg(F.sum("n").alias("w"))
+    pivots = members.join(weight, "id").groupBy("key").agg(F.max(F.struct("w", (-F.col("id")).alias("m"))).alias("top")).select("key", (-F.col("top.m")).alias("pivot"))
+    own = settle(members.join(pivots, "key"))
+    stars = settle(own.filter("id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct())
+    near = settle(to_pivot(stars, sets))
+    links = near.filter(F.col("jaccard") >= threshold).select("a", "b")
+    classes = settle(components(links))
+    # then, in buckets of several classes, the members of all but the largest class with the members of other classes
+    placed = own.join(classes, "id", "left").select("key", "id", "pivot", F.coalesce("cls", "id").alias("cls"))
+    counts = placed.groupBy("key", "cls").agg(F.count("*").alias("n"))
+    several = counts.groupBy("key").agg(F.max(F.struct("n", "cls")).alias("top"), F.count("*").alias("classes")).filter("classes > 1").select("key", F.col("top.cls").alias("big"))
+    rest = settle(placed.join(several, "key").filter("id != pivot").join(near.withColumnsRenamed({"a": "id", "b": "pivot"}), ["id", "pivot"]))
+    x, y = rest.filter("cls != big").alias("x"), rest.alias("y")
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") != F.col("y.cls")) & may_link("x", "y", threshold))
+    pairs = settle(pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
+    return links.unionByName(settle(verified(pairs, sets, threshold)).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
