@@ -13,21 +13,12 @@ empty string. An empty benchmark leaves every document clean. Only the named col
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, settle
+from .common import bit_map, has_bit, let, lower_ascii, settle
 
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BITS = 1 << 20  # of the map of fingerprints
-WORDS_OF_BITS = BITS // 64
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value computed once a row, also where body uses it inside a lambda."""
-    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def words_of(text: Column) -> Column:
@@ -44,25 +35,6 @@ def grams(words: Column, k: int) -> Column:
     return F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), each)).otherwise(F.array().cast("array<bigint>"))
 
 
-def bit_of(h: Column) -> tuple[Column, Column]:
-    """(place in the map's array, bit there) of a hash."""
-    return h.bitwiseAND(F.lit(WORDS_OF_BITS - 1)).cast("int"), F.shiftrightunsigned(h, 20).bitwiseAND(F.lit(63)).cast("int")
-
-
-def bit_map(hashes: DataFrame) -> DataFrame:
-    """One row: the map of column h, as an array of WORDS_OF_BITS longs, whatever the number of rows."""
-    at, bit = bit_of(F.col("h"))
-    words = hashes.select(at.alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("v")).groupBy("at").agg(F.bit_or("v").alias("v"))
-    made = F.map_from_entries(F.collect_list(F.struct("at", "v")))
-    full = let(made, lambda m: F.transform(F.sequence(F.lit(0), F.lit(WORDS_OF_BITS - 1)), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0).cast("long"))))
-    return words.agg(full.alias("bits"))
-
-
-def has_bit(bits: Column, h: Column) -> Column:
-    at, bit = bit_of(h)
-    return F.getbit(F.get(bits, at), bit) == 1
-
-
 def benchmark_windows(items: DataFrame, item_id: str, text: str, window: int, k: int) -> DataFrame:
     """Distinct (item, m, fp, win): m words in the window, fp its fingerprint, win its words."""
     words = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), words_of(F.col(text)).alias("w")).filter(F.size("w") > 0)

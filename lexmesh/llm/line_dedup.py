@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import bit_map, has_bit, settle
 from .components import components
 
 TAU = 2
@@ -173,6 +173,20 @@ def verify(pairs: DataFrame, tau: int) -> DataFrame:
     return pairs.select("a", "b", "x", "y").mapInArrow(work, "a long, b long, distance int").filter("distance is not null")
 
 
+BAG = 32
+
+
+def with_bags(lines: DataFrame) -> DataFrame:
+    """(id, line, bag): bag counts the line's characters by a hash of BAG values."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bags = [np.bincount((np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) * np.uint32(2654435769)) >> np.uint32(27), minlength=BAG) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.astype(np.int32) for x in bags], pa.list_(pa.int32()))], ["id", "line", "bag"])
+
+    return lines.mapInArrow(work, "id long, line string, bag array<int>")
+
+
 def edit_links(lines: DataFrame, tau: int = TAU, fuzzy_from: int = FUZZY_FROM) -> DataFrame:
     """(a, b, distance), a < b: all links between different lines (id, line), id the line's key."""
     from pyspark.sql import Window
@@ -182,10 +196,17 @@ def edit_links(lines: DataFrame, tau: int = TAU, fuzzy_from: int = FUZZY_FROM) -
     w = Window.partitionBy("key")
     shared = rows.withColumns({"lo": F.min("id").over(w), "hi": F.max("id").over(w)}).filter("lo < hi").select("key", "id", "probe").distinct()
     shared = settle(shared)
-    i, p = shared.filter("probe = 0").select("key", F.col("id").alias("i")), shared.filter("probe = 1").select("key", F.col("id").alias("p"))
-    pairs = settle(i.join(p, "key").filter("i != p").select(F.least("i", "p").alias("a"), F.greatest("i", "p").alias("b")).distinct())
-    wanted = settle(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    texts = settle(long.select("id", "line").join(wanted, "id", "left_semi").distinct())
+    wanted = settle(shared.select("id").distinct())
+    # the bit map only keeps most other lines out of the shuffle
+    near = long.withColumn("bits", bit_map(wanted.select(F.col("id").alias("h"))).scalar()).filter(has_bit(F.col("bits"), F.col("id")))
+    texts = settle(with_bags(near.select("id", "line").join(wanted, "id", "left_semi").distinct()))
+    tagged = shared.join(texts.select("id", "bag"), "id")
+    i = tagged.filter("probe = 0").select("key", F.col("id").alias("i"), F.col("bag").alias("ib"))
+    p = tagged.filter("probe = 1").select(F.col("key").alias("pk"), F.col("id").alias("p"), F.col("bag").alias("pb"))
+    # an edit changes the counts of two characters at most, so counts that differ by more than 2 tau are no link
+    apart = F.aggregate(F.zip_with("ib", "pb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+    pairs = i.join(p, (F.col("key") == F.col("pk")) & (F.col("i") != F.col("p")) & (apart <= 2 * tau))
+    pairs = settle(pairs.select(F.least("i", "p").alias("a"), F.greatest("i", "p").alias("b")).distinct())
     full = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
     return verify(full, tau).groupBy("a", "b").agg(F.min("distance").alias("distance"))
 
