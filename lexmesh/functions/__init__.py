@@ -1 +1 @@
-"""See the modules."""
+"""Column functions: text and vectors."""

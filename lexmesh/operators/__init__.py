@@ -1 +1 @@
-"""See the modules."""
+"""Relational and vector operators over DataFrames."""

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import corpus_queries  # noqa: F401  the modules register their queries
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

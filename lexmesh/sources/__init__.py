@@ -1 +1 @@
-"""See the modules."""
+"""Readers and writers of corpora, anchors and vector spaces."""
