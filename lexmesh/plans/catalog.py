@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus_queries  # noqa: F401  the modules register their queries
+from . import corpus_queries, vector_queries  # noqa: F401  the modules register their queries
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
