@@ -89,7 +89,7 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text") -> dict:
                     letters += (flat.scripts() * n[:, None]).sum(0)
                 at, sc = np.flatnonzero(total), np.flatnonzero(letters)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * (len(at) + len(sc))), pa.array(np.concatenate([at, -1 - sc]).astype(np.int32)), pa.array(np.concatenate([total[at], letters[sc]]))], ["lang", "at", "n"]
+                    [pa.array([name] * (len(at) + len(sc)), pa.string()), pa.array(np.concatenate([at, -1 - sc]).astype(np.int32)), pa.array(np.concatenate([total[at], letters[sc]]))], ["lang", "at", "n"]
                 )
             counts.clear()
 
@@ -228,7 +228,7 @@ def identify(docs: DataFrame, model: dict, text: str = "text", penalty: float =
                 if hi > lo:
                     part = b.slice(lo, hi - lo)
                     p, s, sp = label(part.column(b.num_columns - 1).to_pylist())
-                    yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(b.num_columns - 1)), pa.array(p), pa.array(s, pa.float64()), pa.array(sp, span)], [*rest, "lang_pred", "score", "spans"])
+                    yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(b.num_columns - 1)), pa.array(p, pa.string()), pa.array(s, pa.float64()), pa.array(sp, span)], [*rest, "lang_pred", "score", "spans"])
 
     return ordered.mapInArrow(work, schema)
 
