@@ -27,7 +27,8 @@ def corpus_stats(lines_: DataFrame, line: str = "line") -> DataFrame:
     """Lines, non-empty cleaned lines, tokens and distinct tokens, each from partial sums."""
     tokens = clean_tokens(F.col(line))
     rows = lines_.select(F.size(tokens).cast("long").alias("k")).agg(F.count("*").alias("n_lines"), F.count_if(F.col("k") > 0).alias("n_clean_lines"), F.sum("k").alias("n_tokens"))
-    return rows.join(token_frequency(lines_, line).agg(F.count("*").alias("n_distinct")), F.lit(True))
+    distinct = token_frequency(lines_, line).agg(F.count("*").alias("n_distinct"))
+    return rows.withColumn("n_distinct", distinct.scalar())
 
 
 def keep_longest(texts: DataFrame, key: str, size: Column, ordinal: str) -> DataFrame:

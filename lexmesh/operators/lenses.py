@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_junk_gloss
@@ -92,9 +92,8 @@ def bridges(rows: DataFrame, centers: DataFrame, group: str, limit: int = 4096)
 
 
 def members(assigned: DataFrame, group: str, first: int = 5) -> DataFrame:
-    """(group, members): the first ids of each group in id order, from bounded partial lists."""
-    w = assigned.select(group, "id").repartition(group)
-    from pyspark.sql import Window
-
-    ranked = w.withColumn("rn", F.row_number().over(Window.partitionBy(group).orderBy("id"))).filter(F.col("rn") <= first)
-    return ranked.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ",").alias("members"))
+    """(group, members): the first ids of each group in id order; parts of a group are cut to their first ids before they meet."""
+    parts = assigned.withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(64)))
+    some = parts.withColumn("_r", F.row_number().over(Window.partitionBy(group, "_s").orderBy("id"))).filter(F.col("_r") <= first)
+    ids = F.transform(F.slice(F.array_sort(F.collect_list("id")), 1, first), lambda x: x.cast("string"))
+    return some.groupBy(group).agg(F.array_join(ids, ",").alias("members"))

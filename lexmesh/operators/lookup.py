@@ -52,6 +52,26 @@ class SemanticLookup:
         return hop.join(words.withColumnRenamed("qid", "id"), "id").select("qid", "rank", F.col("id").alias("source_id"), "targets")
 
 
+def compare(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Two ranked answers (qid, rank, id) side by side; a rank that one lacks stays with a null."""
+    x = left.select("qid", "rank", F.col("id").alias("left_id"))
+    return x.join(right.select("qid", "rank", F.col("id").alias("right_id")), ["qid", "rank"], "full")
+
+
+def gloss_of(found: DataFrame) -> DataFrame:
+    """(qid, gloss): a query's answers in one line, best first."""
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda s: s["id"].cast("string"))
+    return found.groupBy("qid").agg(F.array_join(ids, " ").alias("gloss"))
+
+
+def extract_cluster(found: DataFrame, back: DataFrame, least: float = 0.1) -> DataFrame:
+    """(qid, n_sources, n_discovered): seeds' sources above a score, and the words these lead back to that are no seed."""
+    near = found.filter(F.col("score") > least)
+    words = near.select("qid", F.col("id").alias("source_id")).join(back.select(F.col("qid").alias("source_id"), F.col("id").alias("word")), "source_id")
+    new = words.join(found.select(F.col("qid").alias("word")).distinct(), "word", "left_anti").groupBy("qid").agg(F.count_distinct("word").alias("n_discovered"))
+    return near.groupBy("qid").agg(F.count("*").alias("n_sources")).join(new, "qid", "left").fillna(0, ["n_discovered"])
+
+
 def displacement(pairs: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
     """Pairs (source_id, target_id, ...) with cos and distance; unknown ids give no row."""
     x = pairs.join(source.select(F.col("id").alias("source_id"), F.col("vec").alias("_s")), "source_id")

@@ -126,6 +126,33 @@ def reverse_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.SemanticLookup(space(spark, sf_dir, "a"), b).reverse(b.filter(QUERY), 3, 3)
 
 
+@query(f"""WITH {SPACE_SQL}, qa AS (SELECT id, a AS v FROM e WHERE {QUERY}), qb AS (SELECT id, b AS v FROM e WHERE {QUERY}), {_top_sql('qa', 'a', 10, name='ta')}, {_top_sql('qb', 'b', 5, name='tb')}
+    SELECT coalesce(ta.qid, tb.qid) AS qid, coalesce(ta.rank, tb.rank) AS rank, ta.id AS left_id, tb.id AS right_id FROM ta FULL JOIN tb ON tb.qid = ta.qid AND tb.rank = ta.rank""")
+def cluster_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q8: the ten nearest in one space beside the five nearest in the other."""
+    a, b = space(spark, sf_dir, "a"), space(spark, sf_dir, "b")
+    return lookup.compare(lookup.SemanticLookup(a, a).find_vectors(a.filter(QUERY), 10), lookup.SemanticLookup(b, b).find_vectors(b.filter(QUERY), 5))
+
+
+@query(f"{FIND_SQL} SELECT qid, string_agg(id, ' ' ORDER BY rank) AS gloss FROM top GROUP BY qid")
+def geometric_gloss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """N8."""
+    a, b = space(spark, sf_dir, "a"), space(spark, sf_dir, "b")
+    return lookup.gloss_of(lookup.SemanticLookup(a, b).find_vectors(b.filter(QUERY), 10))
+
+
+@query(f"""WITH {SPACE_SQL}, q AS (SELECT id, b AS v FROM e WHERE {QUERY}), {_top_sql('q', 'a', 5)}, s AS (SELECT DISTINCT e.id, a AS v FROM e JOIN top ON top.id = e.id), {_top_sql('s', 'b', 5, name='back')},
+    n AS (SELECT qid, count(*) AS n_sources FROM top WHERE score > 0.1 GROUP BY qid),
+    d AS (SELECT top.qid, count(DISTINCT back.id) AS n_discovered FROM top JOIN back ON back.qid = top.id WHERE top.score > 0.1 AND back.id NOT IN (SELECT qid FROM top) GROUP BY top.qid)
+    SELECT n.qid, n_sources, coalesce(n_discovered, 0) AS n_discovered FROM n LEFT JOIN d USING (qid)""")
+def extract_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """N1."""
+    a, b = space(spark, sf_dir, "a"), space(spark, sf_dir, "b")
+    found = lookup.SemanticLookup(a, b).find_vectors(b.filter(QUERY), 5)
+    sources = found.select("id").distinct().join(a.select("id", "vec"), "id")
+    return lookup.extract_cluster(found, lookup.SemanticLookup(b, b).find_vectors(sources, 5))
+
+
 LENS1_SQL = f"WITH {SPACE_SQL}, {ANCHOR_SQL}, d AS (SELECT source_token, target_word, CAST(confidence AS DOUBLE) AS confidence, round(list_dot_product(s.f, t.f), 6) AS cos FROM anch JOIN e s ON s.id = source_id JOIN e t ON t.id = target_id)"
 
 

@@ -31,9 +31,9 @@ def markdown(df: DataFrame, most: int = 50) -> str:
 
 def bars(histogram: DataFrame, width: int = 40) -> DataFrame:
     """K7: a histogram (bin, n) with a bar of at most width marks."""
-    top = histogram.agg(F.max("n").alias("top"))
+    topped = histogram.withColumn("top", histogram.agg(F.max("n").alias("top")).scalar())
     size = F.when(F.col("top") > 0, F.floor(F.col("n") / F.col("top") * width)).otherwise(0).cast("int")
-    return histogram.join(top, F.lit(True)).select("bin", "n", F.repeat(F.lit("█"), size).alias("bar"))
+    return topped.select("bin", "n", F.repeat(F.lit("█"), size).alias("bar"))
 
 
 def fingerprint(files: DataFrame) -> DataFrame:
