@@ -80,9 +80,9 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text") -> dict:
             for name, own in counts.items():
                 total, letters = np.zeros(BUCKETS, np.int64), np.zeros(len(NAMES), np.int64)
                 pairs = [(w, n) for c, n in own.items() if (w := word_of(c.decode(errors="replace")))]
-                for lo in range(0, len(pairs), 100_000):
-                    flat = Flat([w for w, _ in pairs[lo : lo + 100_000]])
-                    n = np.array([n for _, n in pairs[lo : lo + 100_000]], np.int64)
+                for lo in range(0, len(pairs), 40_000):
+                    flat = Flat([w for w, _ in pairs[lo : lo + 40_000]])
+                    n = np.array([n for _, n in pairs[lo : lo + 40_000]], np.int64)
                     for order in ORDERS:
                         bucket, ok = flat.grams(order)
                         total += np.bincount(bucket[ok], weights=n[flat.of[ok]], minlength=BUCKETS).astype(np.int64)
@@ -96,7 +96,7 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text") -> dict:
         for b in batches:
             for name, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 counts.setdefault(name, Counter()).update(x.encode(errors="replace").split())
-                if sum(map(len, counts.values())) > 1_000_000:
+                if sum(map(len, counts.values())) > 400_000:
                     yield from flush()
         yield from flush()
 
@@ -188,7 +188,7 @@ def identify(docs: DataFrame, model: dict, text: str = "text", penalty: float =
 
         def label(texts: list[str | None]) -> tuple[list, list, list]:
             nonlocal table, letters
-            if len(index) > 500_000:
+            if len(index) > 300_000:
                 index.clear()
                 table, letters = table[:0], letters[:0]
             put = index.setdefault

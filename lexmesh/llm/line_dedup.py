@@ -100,13 +100,13 @@ def segment_table(lines: DataFrame, tau: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for whole in batches:
-            for at in range(0, whole.num_rows, 4000):
-                b = whole.slice(at, 4000)
+            for at in range(0, whole.num_rows, 2000):
+                b = whole.slice(at, 2000)
                 own: dict[int, str] = {}
                 for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     if i not in seen:
                         own[i] = x
-                if len(seen) > 2_000_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 seen.update(own)
                 if own:

@@ -45,7 +45,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_hashes) > 1_000_000:
+    if len(_hashes) > 200_000:
         _hashes.clear()
     get, digest = _hashes.get, xxhash.xxh64_intdigest
     out = []

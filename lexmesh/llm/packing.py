@@ -38,7 +38,7 @@ class Encoder:
     holds them. Chunks of plain Latin letters go to the model directly, all others through the tokenizer's whole chain.
     """
 
-    LIMIT = 600_000
+    LIMIT = 300_000
     SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
     def __init__(self, path: str):

@@ -42,7 +42,7 @@ def measure(text: str | None, hashed: int) -> tuple[list[float], list[int]]:
     raw = (text or "").encode(errors="replace")
     chunks = raw.split()
     distinct = set(chunks)
-    if len(_buckets) > 500_000:
+    if len(_buckets) > 200_000:
         _buckets.clear()
     get, found = _buckets.get, set()
     for c in distinct:

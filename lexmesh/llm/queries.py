@@ -96,7 +96,47 @@ _ALL = (
     op7_best_fit_packing, op8_benchmark_decontamination, op9_quality_classifier, op10_html_extraction,
 )
 QUERIES = {f.__name__: f for f in _ALL}
+SPLIT = r"'[^\x20\x09-\x0D]+'"
+MARKS = r"#*$%&|<>{}\\^~="
+
 ORACLES: dict[str, str] = {
+    "op1_quality_rules": rf"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT r, doc_id, text, regexp_extract_all(text, {SPLIT}) AS w FROM d),
+        g AS (SELECT r, i, list_slice(w, i, i + 4) AS win FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) > 5)),
+        rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS c FROM g) WHERE c > 1),
+        rw AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM rep) GROUP BY r),
+        l0 AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
+        l1 AS (SELECT r, line, regexp_extract_all(line, {SPLIT}) AS w FROM l0),
+        l2 AS (SELECT *, len(w) AS n FROM l1 WHERE len(w) > 0),
+        l3 AS (SELECT r, line, n, CASE
+            WHEN len(list_filter(w, lambda x: x IN ('|', '||', '»', '>', '>>', '/', '•', '·', '<', '›', '-', '::'))) > 0.2 * n THEN 'navigation'
+            WHEN n <= 25 AND regexp_matches(line, 'cookie (?:policy|settings|preferences)|accept (?:all )?cookies|all rights reserved|enable javascript|terms of (?:use|service)|privacy policy|skip to (?:main )?content|sign (?:in|up) (?:to|for)|log in to|subscribe to (?:our|the)|share (?:this|on)|follow us on|click here|read more|back to top|lorem ipsum', 'i') THEN 'boilerplate'
+            WHEN n > 3 AND len(list_filter(range(1, n), lambda i: w[i] = w[i + 1])) > 0.3 * n THEN 'boilerplate'
+            WHEN len(list_filter(w, lambda x: regexp_matches(x, '[{MARKS}]{{2,}}|^[{MARKS}]+$|[A-Za-zÀ-ɏ][#$%*|<>{{}}]+$'))) > 0.3 * n THEN 'punctuation'
+            WHEN n >= 6 AND length(line) - length(replace(line, '!', '')) + length(regexp_replace(substring(line, 1, 200), '[^\p{{Lu}}]', '', 'g')) > 20
+                AND len(list_filter(w, lambda x: length(x) > 1 AND regexp_matches(x, '\p{{Lu}}') AND NOT regexp_matches(x, '\p{{Ll}}'))) > 0.6 * n THEN 'punctuation'
+            WHEN n >= 60 AND NOT regexp_matches(line, '[.!?…。！？؟।;:]') THEN 'punctuation' END AS fault FROM l2),
+        f AS (SELECT r, fault, count(*) AS k FROM l3 WHERE fault IS NOT NULL GROUP BY r, fault),
+        fs AS (SELECT r, string_agg(fault || ':' || k, ',' ORDER BY fault) AS removed_by FROM f GROUP BY r),
+        ls AS (SELECT r, count(*) - count(DISTINCT line) AS dup, count(fault) AS lost_lines, coalesce(sum(n) FILTER (fault IS NOT NULL), 0) AS lost FROM l3 GROUP BY r),
+        t AS (SELECT w.r, doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+                coalesce(dup, 0) AS n_dup_lines, coalesce(rw.n, 0) AS n_repeat_words, coalesce(lost_lines, 0) AS n_removed_lines, coalesce(lost, 0) AS n_removed_words, removed_by
+            FROM w LEFT JOIN rw ON rw.r = w.r LEFT JOIN ls ON ls.r = w.r LEFT JOIN fs ON fs.r = w.r)
+        SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, n_dup_lines, n_repeat_words,
+            n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+            NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_removed_words <= 0.5 * n_words AS kept, n_removed_lines, CAST(n_removed_words AS BIGINT) AS n_removed_words, removed_by FROM t""",
+    "op2_near_duplicates": rf"""
+        WITH RECURSIVE t AS (SELECT min(doc_id) AS rep, text FROM documents WHERE text IS NOT NULL GROUP BY text),
+        w AS (SELECT rep, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {SPLIT}) AS w FROM t),
+        g AS (SELECT DISTINCT rep, w[i : i + least(len(w), 5) - 1] AS sh FROM (SELECT rep, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+        s AS (SELECT rep, count(*) AS n FROM g GROUP BY rep),
+        p AS (SELECT x.rep AS a, y.rep AS b, count(*) AS k FROM g x JOIN g y ON x.sh = y.sh AND x.rep < y.rep GROUP BY 1, 2),
+        l AS (SELECT a, b FROM p JOIN s x ON x.rep = a JOIN s y ON y.rep = b WHERE k / (x.n + y.n - k) >= 0.8),
+        e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        r AS (SELECT rep AS id, rep AS node FROM t UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.node),
+        c AS (SELECT id, min(node) AS cls FROM r GROUP BY id)
+        SELECT d.doc_id, coalesce(c.cls, d.doc_id) AS class_id FROM documents d LEFT JOIN t ON t.text = d.text LEFT JOIN c ON c.id = t.rep""",
     "op8_benchmark_decontamination": r"""
         WITH d AS (
             SELECT doc_id, row_number() OVER () AS r,
