@@ -134,3 +134,30 @@ def read_anchors(spark: SparkSession, path: str) -> DataFrame:
     schema = "sumerian string, english string, confidence double, frequency long, source string"
     rows = spark.read.schema(schema).json(path, multiLine=True)
     return rows.filter("sumerian IS NOT NULL AND english IS NOT NULL AND confidence IS NOT NULL")
+
+
+def read_zip_members(spark: SparkSession, path: str, pattern: str = ".*") -> DataFrame:
+    """(path, member, text) of the members of zip archives whose names match; undecodable bytes are replaced.
+
+    Archives are read one at a time within a task; an unreadable one gives no rows.
+    """
+    import io
+    import re
+    import zipfile
+
+    def work(batches):
+        import pandas as pd
+
+        wanted = re.compile(pattern)
+        for pdf in batches:
+            for where, content in zip(pdf["path"], pdf["content"]):
+                try:
+                    z = zipfile.ZipFile(io.BytesIO(content))
+                except zipfile.BadZipFile:
+                    continue
+                for name in sorted(z.namelist()):
+                    if wanted.search(name) and not name.endswith("/"):
+                        yield pd.DataFrame({"path": [where], "member": [name], "text": [z.read(name).decode("utf-8", "replace")]})
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(work, "path string, member string, text string")

@@ -65,3 +65,18 @@ def test_vectors_and_sinks(spark, tmp_path):
     assert sinks.markdown(spark.createDataFrame([("a|b", 0.5)], "k string, v double")).endswith("| a\\|b | 0.5000 |")
     (tmp_path / "a.json").write_text(json.dumps([{"sumerian": "a", "english": "b", "confidence": 0.5}, {"sumerian": "a"}]))
     assert corpora.read_anchors(spark, str(tmp_path / "a.json")).count() == 1
+
+
+def test_zip_members_and_reports(spark, tmp_path):
+    import zipfile
+
+    from lexmesh.plans.jobs import run_audit
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("x/corpusjson/P1.json", '{"cdl":[]}')
+        z.writestr("x/readme.txt", "no")
+    (tmp_path / "b.zip").write_text("no archive")
+    got = corpora.read_zip_members(spark, str(tmp_path / "*.zip"), r"corpusjson/.*\.json$").collect()
+    assert [(r.member, r.text) for r in got] == [("x/corpusjson/P1.json", '{"cdl":[]}')]
+    made = run_audit(spark, "/root/testdata/sf0.001", str(tmp_path / "out"))
+    assert made["anchor_audit_buckets"].count() == 9 and spark.read.json(str(tmp_path / "out/metadata")).count() == 1
