@@ -130,7 +130,7 @@ def classify(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...] = ("qu
     known = labels.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), *kinds)
     n = known.count()
     part = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, sample / max(n, 1))))
-    train = settle(training_vectors(base.join(known.filter(part), "doc_id"), "text", hashed).select("_features", *(f"y_{t}" for t in targets)))
+    train = settle(training_vectors(base.filter(part).join(known.filter(part), "doc_id"), "text", hashed).select("_features", *(f"y_{t}" for t in targets)))
     models: dict[str, tuple[np.ndarray, float] | None] = {}
     for t in targets:
         own = train.filter(F.col(f"y_{t}").isNotNull())
