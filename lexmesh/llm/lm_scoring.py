@@ -1,14 +1,16 @@
 """Operator 5, language-model scoring by a weighted backoff automaton.
 
-Counts: every document block's distinct tokens meet all other blocks' by token, so a block learns the corpus-wide counts of
-just its own tokens; no vocabulary goes through the driver. N-grams of two and more words that make up at least ``share``
-of the training tokens (and occur twice) become arcs, found level by level as frequent sequences are: an n-gram can't be
-more frequent than its parts. At most 1/share n-grams of an order can pass, whatever the corpus, so this part of the model
-has a proven bound and is broadcast. Absolute discounting leaves each state the mass of its failure arc.
-
-Scoring walks a text once: from a state, the token's arc adds its log10 probability; without one the failure arc adds its
-weight and leads to the shorter history, down to the root, whose arcs are all tokens of the block; tokens never seen in
-training share the root's unseen mass.
+Every n-gram of two and three words that occurs twice or more in the training texts is an arc, whatever the size of the
+corpus; so the model grows with it, and no part of the model is held whole by the driver or any task. A block of documents
+sends the keys of its distinct n-grams, with their counts in its training texts, to the buckets of the keys' ranges; a bucket
+adds up and answers each block with the corpus-wide counts of just the block's own n-grams that are arcs. An n-gram can't be
+more frequent than its parts, so a block that has an arc also has all of the arcs and counts below it: one block for each arc
+adds the arc's share to its history's sums, from which come the failure weights (absolute discounting leaves each history the
+mass of its failure arc), and these go to the blocks by the same buckets.
+
+A state is the last two words, so all places of a block's texts are scored at once: the token's arc from the state adds its
+log10 probability; without one the failure arc adds its weight and leads to the shorter history, down to the root, whose arcs
+are all tokens; tokens never seen in training share the root's unseen mass. ``automaton`` is the same model in one table.
 
 Defined cases: a null text is empty, so it is the end token alone. Without training documents all scores fall on the unseen
 mass. Repeated rows are scored each on its own; a null id counts as training. Very long texts are walked whole; a block is
@@ -19,23 +21,24 @@ from __future__ import annotations
 
 import math
 from array import array
-from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
 from .common import settle
-from .language_id import held_out
+from .near_duplicates import GAMMA, mix
 
 END = b"\n"  # no word holds a newline
 DISCOUNT = 0.75
-BEGIN = 0  # the frequent-token number of the place before a text
+BEGIN = 0  # in ``automaton``, the number of the place before a text
+BEGIN_KEY = 0x5851F42D4C957F2D  # in blocks, its key
+BUCKET_BYTES = 4_000_000  # text of the corpus for each bucket of keys
+LEAST = 2  # occurrences that make an n-gram an arc
 
 def tokens_of(text: str | None) -> list[bytes]:
     return (text or "").encode(errors="replace").lower().split() + [END]
@@ -52,108 +55,179 @@ def in_blocks(docs: DataFrame, doc_id: str, text: str, train: str, block_rows: i
         return settle(docs.select(*cols, F.floor(F.monotonically_increasing_id() / block_rows).alias("block")))
 
 
-def block_tokens(docs: DataFrame) -> DataFrame:
-    """(block, key, n): the distinct tokens of each block and their counts in its training texts."""
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers as planes of bytes: of sorted keys and of small counts the high planes compress to almost nothing."""
+    return np.ascontiguousarray(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpacked(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of all rows, how many each row has) of a column of packed."""
+    parts = [np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(np.int64)[:, 0] for x in column.to_pylist()]
+    return np.concatenate([np.empty(0, np.int64), *parts]), np.array([len(x) for x in parts], np.int64)
+
+
+def stream(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, number of the text, whether it is the place before a text) of the places of all texts: each has one more than tokens."""
+    place: dict[bytes, int] = {}
+    put, flat, sizes = place.setdefault, array("i"), []
+    for x in texts:
+        own = [put(t, len(place)) for t in tokens_of(x)]
+        flat.append(-1)
+        flat.extend(own)
+        sizes.append(len(own) + 1)
+    keys = np.append(np.fromiter(map(xxhash.xxh64_intdigest, place), np.uint64, len(place)), np.uint64(BEGIN_KEY))
+    ids = np.frombuffer(flat, np.int32)
+    return keys[ids], np.repeat(np.arange(len(sizes)), sizes), ids < 0
+
+
+def ngrams(t: np.ndarray, begin: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(key, whether there is one) of the bigram and the trigram, up to order, that end in each place."""
+    out = []
+    before, there = t, np.ones(len(t), bool)
+    for _ in range(2, order + 1):
+        key = np.zeros(len(t), np.uint64)
+        key[1:] = mix(before[:-1] * GAMMA + before[1:] + np.uint64(1))
+        there = ~begin & np.append(False, there[:-1])
+        out.append((key, there))
+        before = key
+    return out
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets are ranges of the keys as unsigned numbers."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def block_ngrams(docs: DataFrame, order: int, buckets: int) -> DataFrame:
+    """(bucket, block, keys, least, n): the distinct tokens and n-grams of each block, how often one must occur, its count in training texts."""
+
+    def rows(block: int, texts: list[str | None], train: list[bool]) -> Iterator[pa.RecordBatch]:
+        t, of, begin = stream(texts)
+        learn = np.array(train, bool)[of]
+        keys, counts, kinds = [], [], []
+        for kind, (k, there) in enumerate([(t, begin), (t, ~begin), *ngrams(t, begin, order)]):
+            u, at = np.unique(k[there], return_inverse=True)
+            keys.append(u), counts.append(np.bincount(at, learn[there], len(u)).astype(np.int64)), kinds.append(np.full(len(u), kind, np.int64))
+        k, n, kind = np.concatenate(keys), np.concatenate(counts), np.concatenate(kinds)
+        by = np.argsort(k, kind="stable")
+        k, n, kind = k[by], n[by], kind[by]
+        bucket = bucket_of(k, buckets)
+        ends = np.flatnonzero(np.append(np.diff(bucket) > 0, True)) + 1
+        starts = np.append(0, ends[:-1])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(bucket[starts]), pa.array(np.full(len(starts), block))]
+            + [pa.array([packed(x[a:b]) for a, b in zip(starts, ends)], pa.binary()) for x in (k.view(np.int64), kind, n)],
+            ["bucket", "block", "keys", "kind", "n"],
+        )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, counts = None, Counter()
+        now, texts, train, size = None, [], [], 0
+        for b in batches:
+            for block, learn, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if texts and (block != now or size > 8_000_000):  # a block may send several rows to a bucket
+                    yield from rows(now, texts, train)
+                    texts, train, size = [], [], 0
+                now, size = block, size + len(x or "")
+                texts.append(x), train.append(bool(learn))
+        if texts:
+            yield from rows(now, texts, train)
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            if counts:
-                keys = np.fromiter(map(xxhash.xxh64_intdigest, counts), np.uint64, len(counts)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(counts), now)), pa.array(keys), pa.array(np.fromiter(counts.values(), np.int64, len(counts)))], ["block", "key", "n"])
-                counts.clear()
+    return docs.select("block", "train", "text").mapInArrow(work, "bucket long, block long, keys binary, kind binary, n binary")
 
-        for b in batches:
-            for block, train, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if block != now:
-                    yield from flush()
-                    now = block
-                if train:
-                    counts.update(tokens_of(x))
-                else:
-                    counts.update(dict.fromkeys(tokens_of(x), 0))
-        yield from flush()
-
-    return docs.select("block", F.col("train").cast("int"), "text").mapInArrow(work, "block long, key long, n long")
-
-
-def corpus_counts(docs: DataFrame) -> tuple[DataFrame, int, int]:
-    """((block, key, c, mine) with c the corpus-wide count, N, V). mine marks one row of each key."""
-    w = Window.partitionBy("key")
-    one = F.row_number().over(w.orderBy("block")) == 1  # a block that two tasks read has a row of each
-    counted = block_tokens(docs).withColumns({"c": F.sum("n").over(w), "mine": one}).filter("c > 0")
-    counted = settle(counted.select("block", "key", "c", "n", "mine"))
-    n, v = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("mine").cast("long")), F.lit(0))).first()
-    return counted, int(n), int(v)
-
-
-def frequent_ngrams(docs: DataFrame, vocabulary: list[int], order: int, least: int) -> list[dict[tuple[int, ...], int]]:
-    """Of each order from 2, the n-grams of vocabulary tokens in training texts that occur at least so often; numbers from 1 are places in vocabulary, 0 is before the text."""
-    sc = docs.sparkSession.sparkContext
-    numbers = {k: i + 1 for i, k in enumerate(vocabulary)}
-    levels: list[dict[tuple[int, ...], int]] = []
-    width = len(vocabulary) + 1
-    train = docs.filter("train").select("text")
-    for n in range(2, order + 1):
-        if levels and not levels[-1]:
-            break
-        # an n-gram is a history of the level before and one more token; histories are numbered
-        known = sorted(levels[-1]) if levels else []
-        sent = sc.broadcast((numbers, {g: i for i, g in enumerate(known)}, n))
-
-        def work(batches: Iterator[pa.RecordBatch], sent=sent, n=n, width=width) -> Iterator[pa.RecordBatch]:
-            numbers, known, n = sent.value
-            codes = np.array(sorted(int(a) * width + b for a, b in known), np.int64) if n == 3 else None
-            place: dict[bytes, int] = {}
-            number = np.zeros(0, np.int64)
-            held: list[np.ndarray] = []
-            size = 0
-
-            def flush() -> Iterator[pa.RecordBatch]:
-                if held:
-                    u, c = np.unique(np.concatenate(held), return_counts=True)
-                    held.clear()
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(c.astype(np.int64))], ["g", "n"])
-
-            for whole in batches:
-                for lo in range(0, whole.num_rows, 1000):
-                    if len(place) > 300_000:
-                        place.clear()
-                        number = number[:0]
-                    put, flat = place.setdefault, array("i")
-                    for x in whole.column(0).slice(lo, 1000).to_pylist():
-                        flat.append(-1)
-                        flat.extend([put(t, len(place)) for t in tokens_of(x)])
-                    new = map(xxhash.xxh64_intdigest, islice(place, len(number), None))
-                    number = np.concatenate([number, np.fromiter((numbers.get(h - (1 << 64) if h >> 63 else h, -1) for h in new), np.int64)])
-                    ids = np.frombuffer(flat, np.int32)
-                    a = np.where(ids < 0, 0, number[ids])  # 0 is before a text, so no n-gram spans two texts: none has 0 but first
-                    pair = np.where((a[:-1] >= 0) & (a[1:] > 0), a[:-1] * width + a[1:], -1)
-                    if n == 2:
-                        got = pair[pair >= 0]
-                    else:
-                        at = np.searchsorted(codes, pair)
-                        at[at == len(codes)] = 0
-                        ok = codes[at] == pair
-                        both = ok[:-1] & ok[1:]
-                        got = at[:-1][both] * np.int64(width) + a[2:][both]
-                    held.append(got)
-                    size += len(got)
-                    if size > 4_000_000:
-                        yield from flush()
-                        size = 0
-            yield from flush()
-
-        rows = train.mapInArrow(work, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow()
-        g, c = rows.column("g").to_numpy(), rows.column("n").to_pylist()
-        high, low = (g // width).tolist(), (g % width).tolist()
-        head = (lambda h: (h,)) if n == 2 else (lambda h, known=known: known[h])
-        levels.append({(*head(h), t): k for h, t, k in zip(high, low, c)})
-        sent.unpersist()
-        if n == 3:
-            break
-    return levels
+
+def corpus_counts(docs: DataFrame, order: int, buckets: int) -> DataFrame:
+    """(bucket, block, keys, c, mine, n, v): of each block's tokens and n-grams those that count, with their corpus-wide counts.
+
+    mine marks one row of each key. n and v are the tokens and the distinct tokens of the row's bucket, given once a bucket.
+    """
+
+    def work(t: pa.Table) -> pa.Table:
+        keys, sizes = unpacked(t.column("keys"))
+        kind, n = unpacked(t.column("kind"))[0], unpacked(t.column("n"))[0]
+        u, first, at = np.unique(keys, return_index=True, return_inverse=True)
+        c = np.bincount(at, n, len(u)).astype(np.int64)
+        keep = (c >= np.where(kind[first] < 2, 1, LEAST))[at]
+        mine = np.zeros(len(keys), np.int64)
+        mine[first] = 1
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        ends = np.cumsum(np.bincount(row[keep], minlength=len(sizes)))
+        starts = np.append(0, ends[:-1])
+        made = [pa.array([packed(x[a:b]) for a, b in zip(starts, ends)], pa.binary()) for x in (keys[keep], c[at][keep], mine[keep])]
+        tokens = c[(kind[first] == 1) & (c > 0)]
+        once = lambda x: pa.array([int(x)] + [0] * (len(sizes) - 1), pa.int64())
+        return pa.Table.from_arrays([t.column("bucket"), t.column("block"), *made, once(tokens.sum()), once(len(tokens))], ["bucket", "block", "keys", "c", "mine", "n", "v"])
+
+    counted = block_ngrams(docs, order, buckets).groupBy("bucket").applyInArrow(work, "bucket long, block long, keys binary, c binary, mine binary, n long, v long")
+    return settle(counted)
+
+
+class Counts:
+    """A block's keys with their corpus-wide counts and other columns; a key that the block doesn't have has zeros."""
+
+    def __init__(self, rows: pa.Table, *columns: str):
+        keys = unpacked(rows.column("keys"))[0].view(np.uint64)
+        self.keys, first = np.unique(keys, return_index=True)
+        self.columns = {}
+        for name in columns:
+            x = unpacked(rows.column(name))[0]
+            self.columns[name] = np.maximum.reduceat(x[np.argsort(keys, kind="stable")], np.searchsorted(np.sort(keys), self.keys)) if name == "mine" and len(x) else x[first]
+
+    def __call__(self, name: str, keys: np.ndarray) -> np.ndarray:
+        x = self.columns[name]
+        if not len(x):
+            return np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(x) - 1)
+        return np.where(self.keys[at] == keys, x[at], 0)
+
+
+def failure_weights(docs: DataFrame, counted: DataFrame, order: int, n: int) -> DataFrame:
+    """(key, weight): log10 of the failure weight of each history with arcs, as in ``automaton``."""
+    total, d = max(n, 1), DISCOUNT
+
+    def work(texts: pa.Table, counts: pa.Table) -> pa.Table:
+        t, _, begin = stream(texts.column("text").to_pylist())
+        of = Counts(counts, "c", "mine")
+        out: list[tuple] = []
+        c = of("c", t)
+        below, low = t, (c - d) / total  # the histories' keys, the probability of a place's token a level lower
+        for key, there in ngrams(t, begin, order):
+            u, first = np.unique(key[there], return_index=True)
+            at = np.flatnonzero(there)[first][of("mine", u) > 0]
+            p = (of("c", key[at]) - d) / c[at - 1]
+            out.append((below[at - 1], p, low[at]))
+            own = of("c", key)
+            low = (own - d) / np.maximum(np.append(1, c[:-1]), 1)
+            below, c = key, own
+        if out:
+            h, p, low = (np.concatenate([x[k] for x in out]) for k in range(3))
+        else:
+            h, p, low = np.empty(0, np.uint64), np.empty(0), np.empty(0)
+        u, at = np.unique(h, return_inverse=True)
+        sums = [np.bincount(at, x, len(u)).astype(float) for x in (p, low)]
+        return pa.Table.from_arrays([pa.array(u.view(np.int64)), pa.array(sums[0]), pa.array(sums[1])], ["key", "kept", "lower"])
+
+    sums = docs.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(work, "key long, kept double, lower double")
+    left = lambda c: F.greatest(F.lit(1e-12), 1 - F.sum(c))
+    return sums.groupBy("key").agg(F.log10(left("kept") / left("lower")).alias("weight"))
+
+
+def with_weights(counted: DataFrame, weights: DataFrame, buckets: int) -> DataFrame:
+    """(block, keys, c, weight): counted's rows with the failure weights of their keys, as bits; 0 without one."""
+
+    def work(counts: pa.Table, weights: pa.Table) -> pa.Table:
+        own, w = weights.column("key").to_numpy(), weights.column("weight").to_numpy()
+        by = np.argsort(own)
+        own, w = own[by], w[by]
+        made = []
+        for x in counts.column("keys"):
+            keys = unpacked(pa.chunked_array([[x.as_py()]], pa.binary()))[0]
+            at = np.minimum(np.searchsorted(own, keys), max(0, len(own) - 1))
+            made.append(packed((np.where(own[at] == keys, w[at], 0.0) if len(own) else np.zeros(len(keys))).view(np.int64)))
+        return pa.Table.from_arrays([counts.column("block"), counts.column("keys"), counts.column("c"), pa.array(made, pa.binary())], ["block", "keys", "c", "weight"])
+
+    of = F.shiftright(F.shiftrightunsigned("key", 32) * F.lit(buckets).cast("long"), 32)
+    sent = weights.withColumn("bucket", of)
+    return counted.select("bucket", "block", "keys", "c").groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(work, "block long, keys binary, c binary, weight binary")
 
 
 def automaton(vocabulary: list[int], counts: list[int], begins: int, levels: list[dict[tuple[int, ...], int]], total: int) -> dict:
@@ -212,74 +286,42 @@ def automaton(vocabulary: list[int], counts: list[int], begins: int, levels: lis
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_blocks(docs: DataFrame, counted: DataFrame, model: dict, n: int, v: int, least: int) -> DataFrame:
-    """SCORED of every row of docs: each block's texts beside its tokens' corpus counts."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    total, unseen = max(n, 1), max(DISCOUNT * v, 1e-3)
+def score_blocks(docs: DataFrame, counted: DataFrame, order: int, n: int, v: int) -> DataFrame:
+    """SCORED of every row of docs: each block's texts beside the counts and failure weights of its tokens and n-grams."""
+    total, unseen, d = max(n, 1), max(DISCOUNT * v, 1e-3), DISCOUNT
 
     def work(texts: pa.Table, counts: pa.Table) -> pa.Table:
-        m = sent.value
-        arcs, fail, weight, start, numbers = m["arcs"], m["fail"], m["weight"], m["from_root"], m["numbers"]
-        place: dict[bytes, int] = {}
-        put, ids_of = place.setdefault, []
-        for x in texts.column("text").to_pylist():
-            ids_of.append(array("i", [put(t, len(place)) for t in tokens_of(x)]))
-        keys = np.fromiter(map(xxhash.xxh64_intdigest, place), np.uint64, len(place)).view(np.int64)
-        own, c_own = counts.column("key").to_numpy(), counts.column("c").to_numpy()
-        order = np.argsort(own)
-        own, c_own = own[order], c_own[order]
-        c = np.zeros(len(keys), np.int64)
-        if len(own) and len(keys):
-            at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
-            c = np.where(own[at] == keys, c_own[at], 0)
-        often = c >= least
-        token = np.full(len(keys), -1, np.int64)  # frequent-token number, or -1
-        token[often] = [numbers[k] for k in keys[often].tolist()]
-        root = np.log10(np.where(c > 0, c - DISCOUNT, unseen) / total)
+        t, text, begin = stream(texts.column("text").to_pylist())
+        of = Counts(counts, "c", "weight")
+        c = of("c", t)
         base, known = np.log10((c + 1) / (n + v + 1)), c > 0
-        token, root = token.tolist(), root.tolist()
-        del place
-
-        first = start[BEGIN]
-        out: list[tuple] = []
-        for doc_id, train, ids in zip(texts.column("doc_id").to_pylist(), texts.column("train").to_pylist(), ids_of):
-            s, total_p = first, 0.0
-            for i in ids:
-                f = token[i]
-                if f > 0:
-                    while True:
-                        if a := arcs[s].get(f):
-                            total_p += a[0]
-                            s = a[1]
-                            break
-                        if not s:
-                            total_p += root[i]
-                            s = start[f]
-                            break
-                        total_p += weight[s]
-                        s = fail[s]
-                else:
-                    while s:
-                        total_p += weight[s]
-                        s = fail[s]
-                    total_p += root[i]
-            here = np.frombuffer(ids, np.int32)
-            out.append((doc_id, not train, len(ids), int(known[here].sum()), n, float(base[here].sum()), total_p))
-        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        return pa.Table.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], [x.split()[0] for x in SCORED.split(", ")])
-
-    return docs.groupBy("block").cogroup(counted.select("block", "key", "c").groupBy("block")).applyInArrow(work, SCORED)
-
-
-def score_texts(docs: DataFrame, train: str, doc_id: str = "doc_id", text: str = "text", order: int = 3, share: float = 1e-6, block_rows: int = 4096) -> DataFrame:
+        p = np.log10(np.where(c > 0, c - d, unseen) / total)
+        below, there = t, np.ones(len(t), bool)  # the histories' keys, and whether there is one
+        for key, has in ngrams(t, begin, order):
+            own = of("c", key) * has
+            arc = own > 0
+            h = np.append(0.0, np.where(there, of("weight", below).view(np.float64), 0.0)[:-1])
+            p = np.where(arc, np.log10(np.where(arc, own - d, 1) / np.maximum(np.append(1, c[:-1]), 1)), h + p)
+            below, there, c = key, has, own
+        size = len(texts)
+        place = ~begin
+        add = lambda x: np.bincount(text[place], x[place], size)
+        return pa.Table.from_arrays(
+            [
+                texts.column("doc_id"), pa.array([not x for x in texts.column("train").to_pylist()]), pa.array(add(np.ones(len(t))).astype(np.int64)),
+                pa.array(add(known).astype(np.int64)), pa.array(np.full(size, n)), pa.array(add(base)), pa.array(add(p)),
+            ],
+            [x.split()[0] for x in SCORED.split(", ")],
+        )
+
+    return docs.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(work, SCORED)
+
+
+def score_texts(docs: DataFrame, train: str, doc_id: str = "doc_id", text: str = "text", order: int = 3, block_rows: int = 4096) -> DataFrame:
     """SCORED of every row; train names a boolean column: the rows to learn from."""
     placed = in_blocks(docs, doc_id, text, train, block_rows)
-    counted, n, v = corpus_counts(placed)
-    least = max(2, math.ceil(share * n))
-    frequent = counted.filter(F.col("mine") & (F.col("c") >= least)).select("key", "c").toArrow()  # 1/share rows at most
-    rows = sorted(zip(frequent.column("key").to_pylist(), frequent.column("c").to_pylist()))
-    vocabulary, counts = [k for k, _ in rows], [c for _, c in rows]
-    levels = frequent_ngrams(placed, vocabulary, order, least)
-    begins = placed.filter("train").count()
-    model = automaton(vocabulary, counts, begins, levels, max(n, 1))
-    return score_blocks(placed, counted, model, n, v, least)
+    buckets = 1 + int(placed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) // BUCKET_BYTES
+    counted = corpus_counts(placed, order, buckets)
+    n, v = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    weights = failure_weights(placed.select("block", "text"), counted.select("block", "keys", "c", "mine"), order, int(n))
+    return score_blocks(placed, with_weights(counted, weights, buckets), order, int(n), int(v))

@@ -213,6 +213,36 @@ def test_blocks_do_not_change_scores(spark):
     assert a == b == c
 
 
+def test_every_repeated_ngram_is_an_arc_in_a_large_corpus(spark):
+    rnd = random.Random(3)
+    texts = [(k, " ".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(0, 30))), k % 4 != 0) for k in range(120)]
+    pad = [(1000 + k, "pad " * 10_000, True) for k in range(300)]  # three million tokens: n-grams seen twice are below a millionth
+    got = {r.doc_id: r.score for r in lm_scoring.score_texts(spark.createDataFrame(texts + pad, "doc_id long, text string, learn boolean"), "learn", block_rows=7).collect()}
+    grams = [collections.Counter() for _ in range(4)]
+    for _, x, learn in texts + pad[:1]:
+        w = ["<", *(t.decode() for t in lm_scoring.tokens_of(x))]
+        for n in (1, 2, 3):
+            for k in range(len(w) - n + 1 if learn else 0):
+                grams[n][tuple(w[k : k + n])] += len(pad) if "pad" in w else 1
+    begins = grams[1].pop(("<",))
+    words = sorted(w for (w,), c in grams[1].items() if c >= 2)
+    number = {w: k + 1 for k, w in enumerate(words)} | {"<": 0}
+    levels = [{tuple(number[w] for w in g): c for g, c in grams[n].items() if c >= 2} for n in (2, 3)]
+    total = sum(grams[1].values())
+    m = lm_scoring.automaton(list(range(len(words))), [grams[1][(w,)] for w in words], begins, levels, total)
+    for i, x, _ in texts:
+        s, p = m["from_root"][0], 0.0
+        for t in lm_scoring.tokens_of(x):
+            f, c = number.get(t.decode()), grams[1][(t.decode(),)]
+            while s and f not in m["arcs"][s]:
+                p, s = p + m["weight"][s], m["fail"][s]
+            if f in m["arcs"][s]:
+                p, s = p + m["arcs"][s][f][0], m["arcs"][s][f][1]
+            else:
+                p, s = p + math.log10((c - lm_scoring.DISCOUNT if c else lm_scoring.DISCOUNT * len(grams[1])) / total), m["from_root"][f] if f else 0
+        assert math.isclose(got[i], p, rel_tol=1e-9), i
+
+
 # --- 6 ----------------------------------------------------------------------------------------------------------------
 
 
