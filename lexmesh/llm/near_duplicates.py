@@ -3,8 +3,10 @@
 A document is its five-word shingles (lower-cased words between ASCII white space), each weighted 1 + ln(its count). Every
 shingle is a Poisson process of that rate whose arrivals fall on the signature's registers at random; a register keeps the
 shingle that came first, so two signatures agree in a register with the probability Jaccard of the two documents. A shingle's
-arrivals stop as soon as they come later than every register's first. Bands of registers give candidates, and candidates are
-verified on their whole shingle sets. Links are classes' edges; the answer is each document's class.
+arrivals stop as soon as they come later than every register's first. Links are by the Jaccard of the shingle sets, so texts
+whose counts differ get a second signature with equal weights, in which two texts agree with the probability of just that;
+where all counts are equal, both signatures are the same. Bands of registers give candidates, and candidates are verified on
+their whole shingle sets. Links are classes' edges; the answer is each document's class.
 
 Exact copies are one node. Pairs are not spelled out within a bucket: its members are compared with its most central one.
 Buckets that are one class then are done, as no further link could change a class. In the others, members outside the
@@ -96,7 +98,7 @@ def bands_of(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
-    """(id, t1, t2, bands) of docs' (id, t1, t2, text); bands is empty without words."""
+    """(id, t1, t2, bands) of docs' (id, t1, t2, text): the bands by equal weights, and by counts where these differ; empty without words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -108,9 +110,15 @@ def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: int = S
                 if own:
                     d = np.repeat(np.arange(len(own)), [len(sets[k][0]) for k in own])
                     e = np.concatenate([sets[k][0] for k in own])
-                    w = 1 + np.log(np.concatenate([sets[k][1] for k in own]))
-                    for k, row in zip(own, bands_of(prob_minhash(e, w, d, len(own), bands * rows), bands, rows)):
+                    for k, row in zip(own, bands_of(prob_minhash(e, np.ones(len(e)), d, len(own), bands * rows), bands, rows)):
                         out[k] = row
+                varied = [k for k in own if (sets[k][1] != sets[k][1][0]).any()]
+                if varied:
+                    d = np.repeat(np.arange(len(varied)), [len(sets[k][0]) for k in varied])
+                    e = np.concatenate([sets[k][0] for k in varied])
+                    w = 1 + np.log(np.concatenate([sets[k][1] for k in varied]))
+                    for k, row in zip(varied, bands_of(prob_minhash(e, w, d, len(varied), bands * rows), bands, rows)):
+                        out[k] = np.union1d(out[k], row)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, pa.list_(pa.int64()))], ["id", "t1", "t2", "bands"])
 
     return docs.mapInArrow(work, "id long, t1 long, t2 long, bands array<long>")

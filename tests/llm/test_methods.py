@@ -106,6 +106,19 @@ def test_near_duplicates_of_a_large_group_by_brute_force(spark):
     assert got == brute_classes(texts)
 
 
+def test_near_duplicates_with_repeated_passages(spark):
+    rnd = random.Random(9)
+    texts = []
+    for i in range(0, 120, 2):
+        base = [f"d{i}w{k}" for k in range(200)]
+        menu = " ".join(base[:60])
+        near = list(base)
+        near[150 + rnd.randrange(40)] += "x"
+        texts += [(i, " ".join(base)), (i + 1, f"{(menu + ' ') * rnd.choice([100, 300])}{' '.join(near)}")]
+    got = {r.doc_id: r.class_id for r in near_duplicates.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == brute_classes(texts) == {i: i - i % 2 for i, _ in texts}
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 130)] + [(7, 7)]
     got = {r.id: r.cls for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
