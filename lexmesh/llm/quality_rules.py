@@ -72,7 +72,7 @@ def line_fault(line: str, words: list[bytes], rules: LineRules) -> str | None:
     if any(c in line for c in "#*$%&|<>{}\\^~="):
         if sum(MARKED.search(w.decode(errors="replace")) is not None for w in words) > rules.max_symbol_share * n:
             return "punctuation"
-    if n >= rules.caps_from and line.count("!") + sum(c.isupper() for c in line[:200]) > 20:
+    if n >= rules.caps_from and line.count("!") + sum(map(str.isupper, line)) > 20:
         caps = sum(1 for w in line.split() if len(w) > 1 and w.isupper())
         if caps > rules.max_caps_share * n:
             return "punctuation"

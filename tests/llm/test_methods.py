@@ -53,6 +53,12 @@ def test_line_rules():
     assert rows[6] and rows[-1] == "Good words stand here in a row for all of us."
 
 
+def test_capitals_count_over_the_whole_line():
+    line = "plain words of the usual kind. " * 8 + "AND THEN ALL IS IN CAPITALS " * 400
+    assert not any(map(str.isupper, line[:200])) and quality_rules.line_fault(line, line.encode().split(), quality_rules.LineRules()) == "punctuation"
+    assert not quality_rules.judge(line, quality_rules.LineRules(max_repeat_pct=100))[6]
+
+
 # --- 2 ----------------------------------------------------------------------------------------------------------------
 
 
