@@ -233,9 +233,9 @@ def line_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ta
     return out.select("doc_id", "line_no", "n_words", "class_id", "class_size", "n_links", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"), (~here).alias("removed"))
 
 
-def stage(docs: DataFrame, min_words: int = 3) -> DataFrame:
-    """The pipeline's stage: texts without the lines of min_words or more that were there before; documents left without a word go."""
-    gone = line_classes(docs).filter("removed").filter(F.col("n_words") >= min_words)
+def stage(docs: DataFrame) -> DataFrame:
+    """The pipeline's stage: texts without the occurrences that line_classes marks removed; documents left without a word go."""
+    gone = line_classes(docs).filter("removed")
     gone = settle(gone.filter("doc_id is not null").groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("gone")))
     at = docs.join(gone.withColumnRenamed("doc_id", "_gone_id"), F.col("doc_id") == F.col("_gone_id"), "left")
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.coalesce(F.array_contains("gone", i), F.lit(False)))

@@ -186,6 +186,15 @@ def test_edit_join_by_brute_force(spark):
     assert got == want and len(want) > 50
 
 
+def test_stage_removes_every_marked_line(spark):
+    para = "人工知能の研究は長い歴史を持ち、多くの人がこの分野で働いている。" * 3
+    rows = [(1, f"First text here.\nLes.\n{para}"), (2, f"Les.\nSecond one, quite unlike it.\n{para}"), (3, "Les.\n\nThird")]
+    df = spark.createDataFrame([(i, x, len(x)) for i, x in rows], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in line_dedup.stage(df).collect()}
+    want = {1: rows[0][1], 2: "Second one, quite unlike it.", 3: "\nThird"}
+    assert got == {i: (x, len(x)) for i, x in want.items()}
+
+
 # --- 5 ----------------------------------------------------------------------------------------------------------------
 
 
