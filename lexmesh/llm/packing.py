@@ -4,6 +4,7 @@ Documents become token pieces of at most ``capacity``; pieces are dealt to group
 best-fit decreasing, and dual-feasible functions give a lower bound of the group's bins. A group whose bins equal its bound
 is proven and final. A group with a gap keeps its full bins and hands the documents of its other bins to the exchange,
 where the open groups are dealt anew, fewer each round, and best-fit decreasing runs again. No step sees more than a group.
+Every piece names the bins and the bound of the group that it was packed in last.
 
 Defined cases: a null text counts as empty, so its document is the end token alone. Repeated rows are packed each on its
 own (pieces carry their row's key in the exchange, doc_id may repeat or be null). An empty table gives an empty result.
@@ -11,7 +12,6 @@ own (pieces carry their row's key in the exchange, doc_id may repeat or be null)
 
 from __future__ import annotations
 
-import heapq
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import settle
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PACKED = "grp long, doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, open boolean"
+PACKED = "grp long, doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, group_bins long, group_bound long, open boolean"
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -34,11 +34,13 @@ _encoders: dict[str, "Encoder"] = {}
 class Encoder:
     """Token ids of whole texts, as little-endian bytes, by a tokenizer file of the word-end kind.
 
-    Its pre-tokens never span white space, so a text's ids are its chunks' ids in turn, and chunks repeat: a bounded cache
-    holds them. Chunks of plain Latin letters go to the model directly, all others through the tokenizer's whole chain.
+    Its pre-tokens never span white space, so a text's ids are its chunks' ids in turn, and chunks repeat: a cache holds
+    them, in two generations of at most LIMIT chunks. When the young one is full it becomes the old one, and chunks that
+    still occur move back from there, so rare chunks leave and frequent ones stay. Chunks of plain Latin letters go to the
+    model directly, all others through the tokenizer's whole chain.
     """
 
-    LIMIT = 300_000
+    LIMIT = 700_000
     SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
     def __init__(self, path: str):
@@ -47,7 +49,9 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.special = [str(t.content) for t in self.whole.get_added_tokens_decoder().values()]
-        self.cache: dict[bytes, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         # the byte-level alphabet: printable bytes stand for themselves, the others for the code points from 256 on
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         spare = iter(range(256, 512))
@@ -57,28 +61,36 @@ class Encoder:
         return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def word(self, token: str) -> bytes:
-        key = token.encode()
-        if (got := self.cache.get(key)) is None:
-            got = np.array([t.id for t in self.model.tokenize(key.decode("latin-1").translate(self.bytes))], "<u4").tobytes()
-            self.cache[key] = got
+        spelled = token if token.isascii() else token.encode().decode("latin-1").translate(self.bytes)
+        return np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+
+    def part(self, token: str) -> bytes:
+        """word of a part of a chunk: marks and stems repeat over chunks."""
+        if (got := self.parts.get(token)) is None:
+            if len(self.parts) >= self.LIMIT // 10:
+                self.parts.clear()
+            got = self.parts[token] = self.word(token)
         return got
 
     def chunk(self, chunk: bytes) -> bytes:
-        text = chunk.decode()
-        if max(text) >= "ɐ" or not text.isprintable():
-            got = self.slow(text)
-        else:
-            got = b"".join(self.word(t) for t in self.SPLIT.findall(text.lower()))
-        if len(self.cache) >= self.LIMIT:
-            self.cache.clear()
-        self.cache[chunk] = got
+        if (got := self.old.get(chunk)) is None:
+            text = chunk.decode()
+            if max(text) >= "ɐ" or not text.isprintable():
+                got = self.slow(text)
+            elif text.isalpha():
+                got = self.word(text.lower())
+            else:
+                got = b"".join(map(self.part, self.SPLIT.findall(text.lower())))
+        if len(self.young) >= self.LIMIT:
+            self.old, self.young = self.young, {}
+        self.young[chunk] = got
         return got
 
     def ids(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return self.slow(text)
-        get, make = self.cache.get, self.chunk
-        return b"".join([get(c) or make(c) for c in text.encode(errors="replace").split()])
+        make, chunks = self.chunk, text.encode(errors="replace").split()
+        return b"".join([got or make(c) for c, got in zip(chunks, map(self.young.get, chunks))])
 
 
 def encoder(path: str) -> Encoder:
@@ -158,32 +170,36 @@ def pack_groups(pieces: DataFrame, capacity: int, last: bool) -> DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
         sizes = pdf["length"].to_numpy(np.int64)
         where, offset = best_fit_decreasing(sizes, capacity)
-        gap = int(where.max()) + 1 - lower_bound(sizes, capacity)
+        bins, bound = int(where.max()) + 1, lower_bound(sizes, capacity)
         full = np.bincount(where, weights=sizes) >= capacity
-        return pdf.assign(bin=where, offset=offset, open=(~full[where]) & (gap > 0) & (not last))[[x.split()[0] for x in PACKED.split(", ")]]
+        made = pdf.assign(bin=where, offset=offset, group_bins=bins, group_bound=bound, open=(~full[where]) & (bins > bound) & (not last))
+        return made[[x.split()[0] for x in PACKED.split(", ")]]
 
     return pieces.groupBy("grp").applyInPandas(work, PACKED)
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, group_rows: int = 20_000, rounds: int = 3) -> DataFrame:
-    """pieces with sequence_id and offset.
+def pack(pieces: DataFrame, capacity: int = 2048, group_rows: int = 5_000, rounds: int = 8) -> DataFrame:
+    """pieces with sequence_id and offset, and of the group that a piece was packed in last, its bins and their lower bound.
 
     group_rows bounds a group: pieces are dealt by a hash, so a hot document or source can't fill one group. Each exchange
-    deals the open documents of all gapped groups over groups of the same bound; after the last round all bins are final.
+    deals the open documents of all gapped groups over groups of the same bound; group_bins = group_bound certifies a group.
+    Rounds end when no group has a gap, when one group alone saw every open document (nobody is left to exchange with), or
+    after ``rounds``; then all bins are final.
     """
     pieces, done = settle(pieces), []
     for k in range(rounds):
         n = pieces.count()
+        if k and not n:
+            break
         groups = max(1, -(-n // group_rows))
         dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(k), F.monotonically_increasing_id()), F.lit(groups)))
-        packed = settle(pack_groups(dealt, capacity, last=k == rounds - 1))
+        last = groups == 1 or k == rounds - 1
+        packed = settle(pack_groups(dealt, capacity, last))
         done.append(packed.filter("not open").withColumn("sequence_id", (F.col("grp") * F.lit(rounds) + F.lit(k)) * F.lit(1 << 24) + F.col("bin")))
-        pieces = packed.filter("open").drop("grp", "bin", "offset", "open")
-        if k == rounds - 1 or groups == 1:
-            if k < rounds - 1:  # one group alone saw every document: nobody is left to exchange with
-                done.append(packed.filter("open").withColumn("sequence_id", (F.col("grp") * F.lit(rounds) + F.lit(k)) * F.lit(1 << 24) + F.col("bin")))
+        if last:
             break
+        pieces = packed.filter("open").select(*(x.split()[0] for x in PIECES.split(", ")))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "group_bins", "group_bound")
