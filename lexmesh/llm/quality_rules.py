@@ -43,6 +43,7 @@ class LineRules:
     max_symbol_share: float = 0.3  # punctuation: words of a line that carry symbols
     max_caps_share: float = 0.6  # punctuation: words in capitals, in lines of caps_from words or more
     caps_from: int = 6
+    phrase_words: int = 25  # boilerplate: a line has at most so many words for each phrase of page furniture in it
     max_stutter_share: float = 0.3  # boilerplate: words of a line that repeat the word before them
     run_from: int = 60  # punctuation: a line of so many words must hold a sentence mark
     max_lost_share: float = 0.5  # a document that loses more of its words is rejected
@@ -51,11 +52,14 @@ class LineRules:
 SEPARATORS = {b"|", b"||", b"\xc2\xbb", b">", b">>", b"/", b"\xe2\x80\xa2", b"\xc2\xb7", b"<", b"\xe2\x80\xba", b"-", b"::"}
 MARKED = re.compile(r"[#*$%&|<>{}\\^~=]{2,}|^[#*$%&|<>{}\\^~=]+$|[A-Za-zÀ-ɏ][#$%*|<>{}]+$")
 SENTENCE = re.compile(r"[.!?…。！？؟।;:]")
-#: Fixed phrases of page furniture; a short line holding one is boilerplate.
+#: Fixed phrases of page furniture in the corpus's languages.
 BOILERPLATE = re.compile(
     r"cookie (?:policy|settings|preferences)|accept (?:all )?cookies|all rights reserved|enable javascript|"
     r"terms of (?:use|service)|privacy policy|skip to (?:main )?content|sign (?:in|up) (?:to|for)|log in to|"
-    r"subscribe to (?:our|the)|share (?:this|on)|follow us on|click here|read more|back to top|lorem ipsum",
+    r"subscribe to (?:our|the)|share (?:this|on)|follow us on|click here|read more|back to top|lorem ipsum|"
+    r"alle rechte vorbehalten|cookie-richtlinie|cookies akzeptieren|nutzungsbedingungen|zum inhalt springen|newsletter abonnieren|"
+    r"tous droits réservés|accepter les cookies|politique de confidentialité|conditions d'utilisation|aller au contenu|"
+    r"todos los derechos reservados|aceptar (?:las )?cookies|política de (?:privacidad|cookies)|condiciones de uso|ir al contenido",
     re.IGNORECASE,
 )
 
@@ -65,7 +69,7 @@ def line_fault(line: str, words: list[bytes], rules: LineRules) -> str | None:
     n = len(words)
     if sum(w in SEPARATORS for w in words) > rules.max_separator_share * n:
         return "navigation"
-    if n <= 25 and BOILERPLATE.search(line):
+    if BOILERPLATE.search(line) and n <= rules.phrase_words * len(BOILERPLATE.findall(line)):
         return "boilerplate"
     if n > 3 and sum(map(eq, words, words[1:])) > rules.max_stutter_share * n:
         return "boilerplate"
@@ -127,12 +131,13 @@ def judge(text: str | None, rules: LineRules) -> tuple:
     return n, chars, marks, dup, repeated, failed, kept, lines, lost_lines, lost, reasons, clean
 
 
-def judge_documents(docs: DataFrame, text: str = "text", rules: LineRules = LineRules()) -> DataFrame:
-    """docs with the fields of JUDGED; clean_text is the text without the lines that failed."""
+def judge_documents(docs: DataFrame, text: str = "text", rules: LineRules = LineRules(), prefix: str = "") -> DataFrame:
+    """docs with the fields of JUDGED, their names after prefix; clean_text is the text without the lines that failed."""
     at = docs.columns.index(text)
-    names = {f.name.lower() for f in JUDGED}
+    made_fields = [T.StructField(prefix + f.name, f.dataType) for f in JUDGED]
+    names = {f.name.lower() for f in made_fields}
     rest = [c for c in docs.columns if c.lower() not in names]
-    schema = T.StructType([docs.schema[c] for c in rest] + list(JUDGED))
+    schema = T.StructType([docs.schema[c] for c in rest] + made_fields)
     place = [docs.columns.index(c) for c in rest]
     kinds = [pa.bool_() if f.dataType == T.BooleanType() else pa.string() if f.dataType == T.StringType() else pa.int64() for f in JUDGED]
 
@@ -148,7 +153,11 @@ def judge_documents(docs: DataFrame, text: str = "text", rules: LineRules = Line
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """The pipeline's stage: kept documents, with their cleaned text, in the columns of docs."""
-    judged = judge_documents(docs).filter("kept")
-    made = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
-    return judged.select(*[made[c].alias(c) if c in made else F.col(c) for c in docs.columns])
+    """The pipeline's stage: kept documents, with their cleaned text and its length, in the columns of docs, whatever the names of the others."""
+    prefix = "_judged_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    judged = judge_documents(docs, prefix=prefix).filter(F.col(f"{prefix}kept"))
+    clean = F.col(f"{prefix}clean_text")
+    made = {"text": clean, "n_chars": F.length(clean).cast("long")}
+    return judged.select(*[made[c].alias(c) if c in made else F.col(f"`{c}`") for c in docs.columns])

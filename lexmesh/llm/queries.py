@@ -97,6 +97,13 @@ _ALL = (
 )
 QUERIES = {f.__name__: f for f in _ALL}
 SPLIT = r"'[^\x20\x09-\x0D]+'"
+FURNITURE = (
+    "(?i)cookie (?:policy|settings|preferences)|accept (?:all )?cookies|all rights reserved|enable javascript|terms of (?:use|service)|privacy policy|skip to (?:main )?content|"
+    "sign (?:in|up) (?:to|for)|log in to|subscribe to (?:our|the)|share (?:this|on)|follow us on|click here|read more|back to top|lorem ipsum|"
+    "alle rechte vorbehalten|cookie-richtlinie|cookies akzeptieren|nutzungsbedingungen|zum inhalt springen|newsletter abonnieren|"
+    "tous droits réservés|accepter les cookies|politique de confidentialité|conditions d''utilisation|aller au contenu|"
+    "todos los derechos reservados|aceptar (?:las )?cookies|política de (?:privacidad|cookies)|condiciones de uso|ir al contenido"
+)
 MARKS = r"#*$%&|<>{}\\^~="
 
 ORACLES: dict[str, str] = {
@@ -111,10 +118,10 @@ ORACLES: dict[str, str] = {
         l2 AS (SELECT *, len(w) AS n FROM l1 WHERE len(w) > 0),
         l3 AS (SELECT r, line, n, CASE
             WHEN len(list_filter(w, lambda x: x IN ('|', '||', '»', '>', '>>', '/', '•', '·', '<', '›', '-', '::'))) > 0.2 * n THEN 'navigation'
-            WHEN n <= 25 AND regexp_matches(line, 'cookie (?:policy|settings|preferences)|accept (?:all )?cookies|all rights reserved|enable javascript|terms of (?:use|service)|privacy policy|skip to (?:main )?content|sign (?:in|up) (?:to|for)|log in to|subscribe to (?:our|the)|share (?:this|on)|follow us on|click here|read more|back to top|lorem ipsum', 'i') THEN 'boilerplate'
+            WHEN n <= 25 * len(regexp_extract_all(line, '{FURNITURE}')) THEN 'boilerplate'
             WHEN n > 3 AND len(list_filter(range(1, n), lambda i: w[i] = w[i + 1])) > 0.3 * n THEN 'boilerplate'
             WHEN len(list_filter(w, lambda x: regexp_matches(x, '[{MARKS}]{{2,}}|^[{MARKS}]+$|[A-Za-zÀ-ɏ][#$%*|<>{{}}]+$'))) > 0.3 * n THEN 'punctuation'
-            WHEN n >= 6 AND length(line) - length(replace(line, '!', '')) + length(regexp_replace(substring(line, 1, 200), '[^\p{{Lu}}]', '', 'g')) > 20
+            WHEN n >= 6 AND length(line) - length(replace(line, '!', '')) + length(regexp_replace(line, '[^\p{{Lu}}]', '', 'g')) > 20
                 AND len(list_filter(w, lambda x: length(x) > 1 AND regexp_matches(x, '\p{{Lu}}') AND NOT regexp_matches(x, '\p{{Ll}}'))) > 0.6 * n THEN 'punctuation'
             WHEN n >= 60 AND NOT regexp_matches(line, '[.!?…。！？؟।;:]') THEN 'punctuation' END AS fault FROM l2),
         f AS (SELECT r, fault, count(*) AS k FROM l3 WHERE fault IS NOT NULL GROUP BY r, fault),
