@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -17,12 +18,21 @@ BITS = 1 << 20  # of a bit map of hashes
 WORDS_OF_BITS = BITS // 64
 
 
+#: Paths that settle has written, by open ``distilled``; the first list is of what no distilled is open for.
+_written: list[list[str]] = [[]]
+#: The folder of an application whose driver and executors are one process.
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share, which spark.checkpoint.dir names; a local master, where it is unset, gets one of its own."""
+    named, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share; intermediate tables go there")
+        if context.applicationId not in _local:
+            _local[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        named = _local[context.applicationId]
     return named
 
 
@@ -31,9 +41,29 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def distilled(spark: SparkSession, work: Callable[[], DataFrame]) -> DataFrame:
+    """work's result, settled; the tables that were settled for it are deleted from the shared folder."""
+    _written.append([])
+    try:
+        out = settle(work())
+        kept = _written[-1].pop()
+    except BaseException:
+        _written[-2].extend(_written.pop())
+        raise
+    paths = _written.pop()
+    _written[-1].append(kept)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = hadoop.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    return out
+
+
 def lower_ascii(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -65,3 +95,33 @@ def bit_map(hashes: DataFrame) -> DataFrame:
 def has_bit(bits: Column, h: Column) -> Column:
     at, bit = bit_of(h)
     return F.getbit(F.get(bits, at), bit) == 1
+
+
+def row_key(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Column:
+    """A key of each row's text: doc_id where no other row has it, else a hash of id and text (so rows of one id stay apart by text).
+
+    Ids that repeat are known by a bit map; an id that shares a bit with one of them gets a hash too, which does no harm.
+    """
+    own = F.col(doc_id).cast("long")
+    twice = docs.filter(own.isNotNull()).groupBy(own.alias("h")).agg(F.count("*").alias("n")).filter("n > 1")
+    hashed = F.xxhash64(F.lit("row"), F.col(doc_id), F.col(text))
+    if twice.isEmpty():
+        return F.coalesce(own, hashed)
+    bits = bit_map(settle(twice.select(F.xxhash64("h").alias("h"))))
+    return F.when(own.isNull() | has_bit(bits.scalar(), F.xxhash64(own)), hashed).otherwise(own)
+
+
+def split_rows(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows that may be among keys, rows that are not): a bit map of fixed size keeps most other rows out of the joins that follow."""
+    bits = bit_map(keys.select(F.xxhash64(key).alias("h")))
+    bit = spare(rows, "_bit")
+    marked = rows.withColumn(bit, has_bit(bits.scalar(), F.xxhash64(key)))
+    return marked.filter(F.col(bit)).drop(bit), marked.filter(~F.col(bit)).drop(bit)
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """name, or with as many _ after it as it takes for df not to have such a column."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name

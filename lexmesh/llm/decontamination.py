@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_map, has_bit, let, lower_ascii, settle
+from .common import bit_map, distilled, has_bit, let, lower_ascii, settle, spare, split_rows
 
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -127,8 +127,18 @@ def decontaminate(
 
 
 def stage(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The pipeline's stage: the documents that share no window with the benchmark."""
-    windows = settle(benchmark_windows(items, "item_id", "text", 10, 5))
-    bad = settle(hits(scan(docs, windows, "doc_id", "text", 10, 5), windows).select("doc_id", "th").distinct()).alias("b")
-    a = docs.alias("a")
-    return a.join(bad, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.xxhash64("a.text") == F.col("b.th")), "left_anti")
+    """The pipeline's stage: the documents that share no window with the benchmark, all their columns as they are.
+
+    A row goes by its id and a hash of its text, so rows of one doc_id are judged apart; null texts stay.
+    """
+    th, bad_id = spare(docs, "_th"), spare(docs, "_bad_id")
+
+    def work() -> DataFrame:
+        windows = settle(benchmark_windows(items, "item_id", "text", 10, 5))
+        found = hits(scan(docs.select("doc_id", "text"), windows, "doc_id", "text", 10, 5), windows)
+        return found.select(F.col("doc_id").alias(bad_id), F.col("th").alias(th)).distinct()
+
+    bad = distilled(docs.sparkSession, work)
+    touched, rest = split_rows(docs.withColumn(th, F.xxhash64("text")), bad.select(th), th)
+    left = touched.join(bad.hint("merge"), touched["doc_id"].eqNullSafe(bad[bad_id]) & (touched[th] == bad[th]), "left_anti")
+    return rest.unionByName(left).drop(th)

@@ -1,17 +1,19 @@
 """Operator 4, line dedup by a segment-partition edit join.
 
-Lines that differ by at most ``tau`` edits share one of their tau+1 even segments at about the same place. Every line is
-indexed by its segments and probes, for each length it could match, the substrings that the multi-match-aware bounds leave;
-both sides are rows of one table of (hash of segment, line), and only keys that two different lines have go on. Candidates
-are verified on their whole texts by bit-parallel edit distance over a band of 2*tau+1 diagonals. Equal lines are one node;
-links between different lines make classes; every occurrence but a class's first is a duplicate.
+Lines that differ by at most tau edits share one of their tau+1 even segments at about the same place; tau goes by the length
+of the shorter line, in the bands of ``TAUS``. Every line is indexed by its segments and probes, for each length it could
+match, the substrings that the multi-match-aware bounds leave; both sides are rows of one table of (hash of segment, line),
+and only keys that two different lines have go on. Candidates are verified on their whole texts by bit-parallel edit distance
+over a band of 2*tau+1 diagonals. Equal lines (by 128 bits of hash) are one node; links between different lines make classes;
+every occurrence but a class's first is a duplicate.
 
-Lines are split at newlines and compared as they are; lines without a word are left out. Lines of fewer than ``fuzzy_from``
-characters match exactly only, as so few edits would turn one short line into another.
+Lines are split at newlines and compared as they are; lines without a word are left out. Lines below the first band match
+exactly only: one edit would turn one word into another.
 
 Defined cases: null and empty texts have no lines. Rows that repeat (also a null doc_id) are occurrences of their own: ties
-for the first occurrence go to the least doc_id (null first), then the least line, and all but one row at that place count
-as duplicates. An empty table gives an empty result. Only the named columns are read, so extra columns can't clash.
+for the first occurrence go to the least doc_id (null first), then the least line, then one of the rows at that place, and
+all others count as duplicates. An empty table gives an empty result. Only the named columns are read, so extra columns can't
+clash.
 """
 
 from __future__ import annotations
@@ -23,17 +25,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_map, has_bit, settle
+from .common import bit_map, distilled, has_bit, let, row_key, settle, spare, split_rows
 from .components import components
 
-TAU = 2
-FUZZY_FROM = 24
+#: (characters, tau): from so many characters of the shorter line on, lines within tau edits are linked.
+TAUS = ((12, 1), (24, 2), (512, 3))
 BASE = 0x9E3779B97F4A7C15
 
 
 def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, line_no, line) of all lines with a word, line_no from 0."""
-    lines = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
+    """(doc_id, row, line_no, line) of all lines with a word, line_no from 0; row tells rows of one doc_id apart."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text)
+    lines = rows.select("doc_id", "row", F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
     return lines.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
@@ -41,6 +44,11 @@ def line_key(line: Column) -> Column:
     return F.xxhash64(line)
 
 
+def taus_of(n: np.ndarray, taus: tuple = TAUS) -> np.ndarray:
+    """tau of lines of n characters; 0 below the first band."""
+    return np.array([0, *(t for _, t in taus)])[np.searchsorted([c for c, _ in taus], n, "right")]
+
+
 def segments(length: np.ndarray, tau: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """(start, length) of the tau+1 even segments of lines of these lengths; the last ones take what is left over."""
     k = tau + 1
@@ -52,7 +60,7 @@ def segments(length: np.ndarray, tau: int) -> list[tuple[np.ndarray, np.ndarray]
     return out
 
 
-def segment_rows(lines: list[str], ids: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def segment_rows(lines: list[str], ids: np.ndarray, taus: tuple = TAUS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, line, probe) of the segments that lines are indexed by (probe 0) and the substrings that they look for (1)."""
     n = np.array([len(x) for x in lines], np.int64)
     codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -79,22 +87,27 @@ def segment_rows(lines: list[str], ids: np.ndarray, tau: int) -> tuple[np.ndarra
     def put(k: np.ndarray, own: np.ndarray, is_probe: int) -> None:
         keys.append(k), who.append(own), probe.append(np.full(len(k), is_probe, np.int8))
 
-    for i, (start, size) in enumerate(segments(n, tau)):
-        put(key(value(start, size, begin), n, i), ids, 0)
-    for less in range(tau + 1):  # the indexed line is shorter by so much
-        total = n - less
-        for i, (start, size) in enumerate(segments(total, tau)):
-            low = np.maximum.reduce([start - i, start + less - (tau - i), np.zeros_like(start)])
-            high = np.minimum.reduce([start + i, start + less + (tau - i), n - size])
-            for step in range(2 * tau + 1):
-                at = low + step
-                ok = (at <= high) & (size > 0) & (total > 0)
-                if ok.any():
-                    put(key(value(at[ok], size[ok], begin[ok]), total[ok], i), ids[ok], 1)
+    for less in range(max(t for _, t in taus) + 1):  # the indexed line is shorter by so much
+        for tau in sorted({t for _, t in taus}):
+            if less > tau or not len(on := np.flatnonzero(taus_of(n - less, taus) == tau)):
+                continue
+            at0, own, total = begin[on], ids[on], n[on] - less
+            for i, (start, size) in enumerate(segments(total, tau)):
+                if not less:
+                    put(key(value(start, size, at0), total, i), own, 0)
+                low = np.maximum.reduce([start - i, start + less - (tau - i), np.zeros_like(start)])
+                high = np.minimum.reduce([start + i, start + less + (tau - i), n[on] - size])
+                for step in range(2 * tau + 1):
+                    at = low + step
+                    ok = at <= high
+                    if ok.any():
+                        put(key(value(at[ok], size[ok], at0[ok]), total[ok], i), own[ok], 1)
+    if not keys:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int8)
     return np.concatenate(keys).view(np.int64), np.concatenate(who), np.concatenate(probe)
 
 
-def segment_table(lines: DataFrame, tau: int) -> DataFrame:
+def segment_table(lines: DataFrame, taus: tuple = TAUS) -> DataFrame:
     """(key, id, probe) of lines' (id, line); a line that repeats within a task is taken once."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +123,7 @@ def segment_table(lines: DataFrame, tau: int) -> DataFrame:
                     seen.clear()
                 seen.update(own)
                 if own:
-                    made = segment_rows(list(own.values()), np.array(list(own), np.int64), tau)
+                    made = segment_rows(list(own.values()), np.array(list(own), np.int64), taus)
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["key", "id", "probe"])
 
     return lines.mapInArrow(work, "key long, id long, probe byte")
@@ -162,12 +175,14 @@ def within(a: str, b: str, tau: int) -> int | None:
     return next((e for e in range(tau + 1) if reach[e] & last), None)
 
 
-def verify(pairs: DataFrame, tau: int) -> DataFrame:
-    """(a, b, distance) of pairs' (a, b, x, y) whose texts x and y are within tau edits."""
+def verify(pairs: DataFrame, taus: tuple = TAUS) -> DataFrame:
+    """(a, b, distance) of pairs' (a, b, x, y) whose texts x and y are within the tau of the shorter one."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [within(x, y, tau) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            left, right = b.column(2).to_pylist(), b.column(3).to_pylist()
+            most = taus_of(np.array([min(len(x), len(y)) for x, y in zip(left, right)], np.int64), taus).tolist()
+            found = [within(x, y, tau) for x, y, tau in zip(left, right, most)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.int32())], ["a", "b", "distance"])
 
     return pairs.select("a", "b", "x", "y").mapInArrow(work, "a long, b long, distance int").filter("distance is not null")
@@ -187,12 +202,12 @@ def with_bags(lines: DataFrame) -> DataFrame:
     return lines.mapInArrow(work, "id long, line string, bag array<int>")
 
 
-def edit_links(lines: DataFrame, tau: int = TAU, fuzzy_from: int = FUZZY_FROM) -> DataFrame:
+def edit_links(lines: DataFrame, taus: tuple = TAUS) -> DataFrame:
     """(a, b, distance), a < b: all links between different lines (id, line), id the line's key."""
     from pyspark.sql import Window
 
-    long = lines.filter(F.length("line") >= fuzzy_from)
-    rows = segment_table(long.select("id", "line"), tau)
+    long = lines.filter(F.length("line") >= taus[0][0])
+    rows = segment_table(long.select("id", "line"), taus)
     w = Window.partitionBy("key")
     shared = rows.withColumns({"lo": F.min("id").over(w), "hi": F.max("id").over(w)}).filter("lo < hi").select("key", "id", "probe").distinct()
     shared = settle(shared)
@@ -205,41 +220,62 @@ def edit_links(lines: DataFrame, tau: int = TAU, fuzzy_from: int = FUZZY_FROM) -
     p = tagged.filter("probe = 1").select(F.col("key").alias("pk"), F.col("id").alias("p"), F.col("bag").alias("pb"))
     # an edit changes the counts of two characters at most, so counts that differ by more than 2 tau are no link
     apart = F.aggregate(F.zip_with("ib", "pb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    pairs = i.join(p, (F.col("key") == F.col("pk")) & (F.col("i") != F.col("p")) & (apart <= 2 * tau))
+    pairs = i.join(p, (F.col("key") == F.col("pk")) & (F.col("i") != F.col("p")) & (apart <= 2 * max(t for _, t in taus)))
     pairs = settle(pairs.select(F.least("i", "p").alias("a"), F.greatest("i", "p").alias("b")).distinct())
     full = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-    return verify(full, tau).groupBy("a", "b").agg(F.min("distance").alias("distance"))
+    return verify(full, taus).groupBy("a", "b").agg(F.min("distance").alias("distance"))
 
 
-def line_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tau: int = TAU, fuzzy_from: int = FUZZY_FROM) -> DataFrame:
+def line_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", taus: tuple = TAUS) -> DataFrame:
     """One row per occurrence of a line whose class has two occurrences or more.
 
     doc_id, line_no, n_words (of the line), class_id (the least key of the class's lines), class_size (occurrences),
     n_links (other lines within tau edits), first_doc_id, first_line_no, removed (every occurrence but the first).
     """
     lines = lines_of(docs, doc_id, text).withColumn("id", line_key(F.col("line")))
-    occurrences = settle(lines.select("doc_id", "line_no", "id", F.regexp_count("line", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_words")))
-    links = settle(edit_links(lines.select("id", "line"), tau, fuzzy_from))
+    n_words = F.regexp_count("line", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_words")
+    occurrences = settle(lines.select("doc_id", "row", "line_no", "id", F.xxhash64(F.lit(7), "line").alias("id2"), n_words))
+    links = settle(edit_links(lines.select("id", "line"), taus))
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     linked = settle(components(links).join(degree, "id"))
-    # of exact copies, sums before the classes are joined: one row a line
-    first = F.min(F.struct("doc_id", "line_no"))
-    by_line = occurrences.groupBy("id").agg(F.count("*").alias("n"), first.alias("first")).join(linked, "id", "left").withColumn("class_id", F.coalesce("cls", "id"))
-    by_line = settle(by_line.filter("n > 1 or cls is not null").select("id", "class_id", "n", "first", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")))
-    by_class = by_line.groupBy("class_id").agg(F.sum("n").alias("class_size"), F.min("first").alias("first"))
-    known = by_line.select("id", "class_id", "n_links").join(by_class, "class_id")
-    out = occurrences.join(known, "id")
-    here = F.struct("doc_id", "line_no").eqNullSafe(F.col("first"))
+    # of exact copies, sums before the classes are joined: one row a line; a line without links is a class by both its hashes
+    first = F.min(F.struct("doc_id", "line_no", "row"))
+    by_line = occurrences.groupBy("id", "id2").agg(F.count("*").alias("n"), first.alias("first")).join(linked, "id", "left")
+    by_line = by_line.withColumns({"class_id": F.coalesce("cls", "id"), "class2": F.when(F.col("cls").isNull(), F.col("id2")).otherwise(0)})
+    by_line = settle(by_line.filter("n > 1 or cls is not null").select("id", "id2", "class_id", "class2", "n", "first", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")))
+    by_class = by_line.groupBy("class_id", "class2").agg(F.sum("n").alias("class_size"), F.min("first").alias("first"))
+    known = by_line.select("id", "id2", "class_id", "class2", "n_links").join(by_class, ["class_id", "class2"])
+    out = occurrences.join(known, ["id", "id2"])
+    here = F.struct("doc_id", "line_no", "row").eqNullSafe(F.col("first"))
     return out.select("doc_id", "line_no", "n_words", "class_id", "class_size", "n_links", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"), (~here).alias("removed"))
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """The pipeline's stage: texts without the occurrences that line_classes marks removed; documents left without a word go."""
-    gone = line_classes(docs).filter("removed")
-    gone = settle(gone.filter("doc_id is not null").groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("gone")))
-    at = docs.join(gone.withColumnRenamed("doc_id", "_gone_id"), F.col("doc_id") == F.col("_gone_id"), "left")
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.coalesce(F.array_contains("gone", i), F.lit(False)))
-    left = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    made = {"text": left, "n_chars": F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length(left).cast("long"))}
-    out = at.select(*[made[c].alias(c) if c in made else F.col(c) for c in docs.columns])
+    """The pipeline's stage: texts without the occurrences that line_classes marks removed; documents left without a word go.
+
+    Rows are told apart by ``row_key``, so lines of one row never go for another's of the same doc_id; of rows alike in id and
+    text, a line goes only if it is removed in all of them. Null texts have no word. n_chars follows the text; other columns
+    pass through, whatever their names.
+    """
+    spark, node, gone = docs.sparkSession, spare(docs, "_node"), spare(docs, "_gone")
+    key = row_key(docs)
+
+    def work() -> DataFrame:
+        marked = line_classes(docs.select(key.alias("doc_id"), "text"))
+        places = lambda c: F.collect_set(F.when(c, F.col("line_no")))
+        by_row = marked.groupBy(F.col("doc_id").alias(node)).agg(places(F.col("removed")).alias("out"), places(~F.col("removed")).alias("stays"))
+        return by_row.select(node, F.array_sort(F.array_except("out", "stays")).alias(gone)).filter(F.size(gone) > 0)
+
+    removed = distilled(spark, work)
+    touched, rest = split_rows(docs.withColumn(node, key), removed.select(node), node)
+    at = touched.join(removed.hint("merge"), node, "left")
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(let(F.split("text", "\n"), lambda lines: F.array_join(_without(lines, F.col(gone)), "\n")))
+    own = lambda df, c: F.col(f"`{c}`") if df is rest or c not in ("text", "n_chars") else text.alias(c) if c == "text" else F.when(F.col(gone).isNull(), F.col(c)).otherwise(F.length(text)).cast(docs.schema[c].dataType).alias(c)
+    out = rest.select(*(own(rest, c) for c in docs.columns)).unionByName(at.select(*(own(at, c) for c in docs.columns)))
     return out.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+
+
+def _without(lines: Column, gone: Column) -> Column:
+    """lines without those at the places gone (sorted, from 0): the runs between them."""
+    ends = F.concat(F.array(F.lit(-1)), gone, F.array(F.size(lines)))
+    return let(ends, lambda e: F.flatten(F.transform(F.sequence(F.lit(1), F.size(e) - 1), lambda k: F.slice(lines, F.get(e, k - 1) + 2, F.get(e, k) - F.get(e, k - 1) - 1))))

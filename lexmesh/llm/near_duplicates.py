@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import distilled, row_key, settle, spare, split_rows
 from .components import components
 
 M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -234,9 +234,23 @@ def _classes(ids: DataFrame, copied: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """The pipeline's stage: one document of each class, that with the least id; rows without an id stay."""
-    first = settle(near_duplicates(docs).filter("doc_id = class_id").select("doc_id").distinct())
-    kept = docs.filter("doc_id is not null").join(first, "doc_id", "left_semi")
-    if not docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null"))
+    """The pipeline's stage: of each class one row stays, with the least ``row_key`` (the doc_id, or a hash where an id is null or repeats).
+
+    Different texts that share a doc_id are nodes of their own; of rows alike in id and text one stays. Null and wordless texts
+    stay, but for exact copies. Columns other than doc_id and text pass through, whatever their names.
+    """
+    spark, node = docs.sparkSession, spare(docs, "_node")
+    key = row_key(docs)
+
+    def work() -> DataFrame:
+        classes = near_duplicates(docs.select(key.alias("doc_id"), "text"))
+        per_row = classes.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("n"))
+        return per_row.filter("doc_id != class_id or n > 1").select(F.col("doc_id").alias(node), (F.col("doc_id") != F.col("class_id")).alias("drop"))
+
+    touched = distilled(spark, work)
+    marked, rest = split_rows(docs.withColumn(node, key), touched.select(node), node)
+    left = marked.join(touched.filter("drop").select(node).hint("merge"), node, "left_anti")
+    if not touched.filter("not drop").isEmpty():
+        left = left.dropDuplicates([node])
+    return rest.unionByName(left).select(*(F.col(f"`{c}`") for c in docs.columns))
+

@@ -1,4 +1,9 @@
-"""The stages of the corpus pipeline: each takes (spark, docs, sf_dir); all but the last return the columns of docs."""
+"""The stages of the corpus pipeline: each takes (spark, docs, sf_dir); all but the last return the columns of docs.
+
+Defined cases: an empty table passes every stage empty. A null or wordless text fails the first stage; where a stage is called
+alone, line dedup drops it, near-dedup and decontamination keep it and packing makes it an end token. Rows that share a
+doc_id, and rows without one, are judged each by its own text. Columns beside doc_id, text and n_chars pass through.
+"""
 
 from __future__ import annotations
 
