@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,31 +53,49 @@ class LineRules:
 SEPARATORS = {b"|", b"||", b"\xc2\xbb", b">", b">>", b"/", b"\xe2\x80\xa2", b"\xc2\xb7", b"<", b"\xe2\x80\xba", b"-", b"::"}
 MARKED = re.compile(r"[#*$%&|<>{}\\^~=]{2,}|^[#*$%&|<>{}\\^~=]+$|[A-Za-zÀ-ɏ][#$%*|<>{}]+$")
 SENTENCE = re.compile(r"[.!?…。！？؟।;:]")
-#: Fixed phrases of page furniture in the corpus's languages.
-BOILERPLATE = re.compile(
-    r"cookie (?:policy|settings|preferences)|accept (?:all )?cookies|all rights reserved|enable javascript|"
-    r"terms of (?:use|service)|privacy policy|skip to (?:main )?content|sign (?:in|up) (?:to|for)|log in to|"
-    r"subscribe to (?:our|the)|share (?:this|on)|follow us on|click here|read more|back to top|lorem ipsum|"
-    r"alle rechte vorbehalten|cookie-richtlinie|cookies akzeptieren|nutzungsbedingungen|zum inhalt springen|newsletter abonnieren|"
-    r"tous droits réservés|accepter les cookies|politique de confidentialité|conditions d'utilisation|aller au contenu|"
-    r"todos los derechos reservados|aceptar (?:las )?cookies|política de (?:privacidad|cookies)|condiciones de uso|ir al contenido",
-    re.IGNORECASE,
-)
+#: Phrases of page furniture in the corpus's languages, in lower case.
+PHRASES = (
+    "cookie policy", "cookie settings", "cookie preferences", "accept cookies", "accept all cookies", "all rights reserved", "enable javascript", "terms of use",
+    "terms of service", "privacy policy", "skip to content", "skip to main content", "sign in to", "sign in for", "sign up to", "sign up for", "log in to",
+    "subscribe to our", "subscribe to the", "share this", "share on", "follow us on", "click here", "read more", "back to top", "lorem ipsum",
+    "alle rechte vorbehalten", "cookie-richtlinie", "cookies akzeptieren", "nutzungsbedingungen", "zum inhalt springen", "newsletter abonnieren",
+    "tous droits réservés", "accepter les cookies", "politique de confidentialité", "conditions d'utilisation", "aller au contenu",
+    "todos los derechos reservados", "aceptar cookies", "aceptar las cookies", "política de privacidad", "política de cookies", "condiciones de uso", "ir al contenido",
+)
+NOT_SMALL = bytes([*range(65, 91), *range(128, 256)])  # A-Z, and what isn't ASCII
+BOILERPLATE = re.compile("|".join(map(re.escape, PHRASES)))
+
+
+def _searcher() -> ahocorasick.Automaton:
+    out = ahocorasick.Automaton()
+    for p in PHRASES:
+        out.add_word(p, p)
+    out.make_automaton()
+    return out
+
+
+FINDER = _searcher()
+
+
+def may_shout(line: str, n: int, rules: LineRules) -> bool:
+    """False only if too few of the characters can be capitals for the capitals' rule: a quick test before the exact one."""
+    data = line.encode(errors="replace")
+    return len(data) - len(data.translate(None, NOT_SMALL)) > rules.max_caps_share * n
 
 
-def line_fault(line: str, words: list[bytes], rules: LineRules) -> str | None:
-    """The rule that a line with words breaks, or None."""
+def line_fault(line: str, words: list[bytes], rules: LineRules, phrases: bool = True) -> str | None:
+    """The rule that a line with words breaks, or None; phrases: whether it may hold any of PHRASES."""
     n = len(words)
-    if sum(w in SEPARATORS for w in words) > rules.max_separator_share * n:
+    if sum(map(SEPARATORS.__contains__, words)) > rules.max_separator_share * n:
         return "navigation"
-    if BOILERPLATE.search(line) and n <= rules.phrase_words * len(BOILERPLATE.findall(line)):
+    if phrases and n <= rules.phrase_words * len(BOILERPLATE.findall(line.lower())):
         return "boilerplate"
     if n > 3 and sum(map(eq, words, words[1:])) > rules.max_stutter_share * n:
         return "boilerplate"
     if any(c in line for c in "#*$%&|<>{}\\^~="):
         if sum(MARKED.search(w.decode(errors="replace")) is not None for w in words) > rules.max_symbol_share * n:
             return "punctuation"
-    if n >= rules.caps_from and line.count("!") + sum(map(str.isupper, line)) > 20:
+    if n >= rules.caps_from and may_shout(line, n, rules) and line.count("!") + sum(map(str.isupper, line)) > 20:
         caps = sum(1 for w in line.split() if len(w) > 1 and w.isupper())
         if caps > rules.max_caps_share * n:
             return "punctuation"
@@ -107,6 +126,7 @@ def judge(text: str | None, rules: LineRules) -> tuple:
     seen: set[str] = set()
     dup = lines = lost_lines = lost = 0
     kept_lines, by = [], Counter()
+    phrases = next(FINDER.iter(text.lower()), None) is not None
     for line in text.split("\n"):
         own = line.encode(errors="replace").split()
         if not own:
@@ -116,7 +136,7 @@ def judge(text: str | None, rules: LineRules) -> tuple:
         if line in seen:
             dup += 1
         seen.add(line)
-        if fault := line_fault(line, own, rules):
+        if fault := line_fault(line, own, rules, phrases):
             by[fault] += 1
             lost_lines, lost = lost_lines + 1, lost + len(own)
         else:

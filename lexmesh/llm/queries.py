@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .quality_rules import PHRASES
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -97,13 +98,7 @@ _ALL = (
 )
 QUERIES = {f.__name__: f for f in _ALL}
 SPLIT = r"'[^\x20\x09-\x0D]+'"
-FURNITURE = (
-    "(?i)cookie (?:policy|settings|preferences)|accept (?:all )?cookies|all rights reserved|enable javascript|terms of (?:use|service)|privacy policy|skip to (?:main )?content|"
-    "sign (?:in|up) (?:to|for)|log in to|subscribe to (?:our|the)|share (?:this|on)|follow us on|click here|read more|back to top|lorem ipsum|"
-    "alle rechte vorbehalten|cookie-richtlinie|cookies akzeptieren|nutzungsbedingungen|zum inhalt springen|newsletter abonnieren|"
-    "tous droits réservés|accepter les cookies|politique de confidentialité|conditions d''utilisation|aller au contenu|"
-    "todos los derechos reservados|aceptar (?:las )?cookies|política de (?:privacidad|cookies)|condiciones de uso|ir al contenido"
-)
+FURNITURE = "(?i)" + "|".join(p.replace("'", "''") for p in PHRASES)
 MARKS = r"#*$%&|<>{}\\^~="
 
 ORACLES: dict[str, str] = {
