@@ -22,16 +22,18 @@ def dictionary_anchors(lemmas: DataFrame, least: int = 5) -> DataFrame:
 def cooccurrence_anchors(pairs: DataFrame, least: int = 3, confidence: float = 0.3) -> DataFrame:
     """A2: from (transliteration, translation) lines, each source word's most frequent companion, the least word on ties.
 
-    Words are sets by line. Sources too rare to pass go before pairs are made, so only they multiply.
+    Words are sets by line. frequency is the source word's number of lines; the threshold is on the exact share, which is then
+    rounded. Sources too rare to pass go before pairs are made, so only they multiply.
     """
-    given = pairs.filter(F.coalesce("translation", F.lit("")) != "")
+    given = pairs.filter((F.coalesce("transliteration", F.lit("")) != "") & (F.coalesce("translation", F.lit("")) != ""))
     words = given.select(source_words(F.col("transliteration")).alias("s"), target_words(F.col("translation")).alias("t"))
     totals = words.select(F.explode("s").alias("source_token")).groupBy("source_token").agg(F.count("*").alias("total")).filter(F.col("total") >= least)
     each = words.select(F.explode("s").alias("source_token"), "t").join(totals, "source_token")
     counted = each.select("source_token", "total", F.explode("t").alias("target_word")).groupBy("source_token", "total", "target_word").agg(F.count("*").alias("n"))
     best = counted.groupBy("source_token", "total").agg(F.min(F.struct((-F.col("n")).alias("m"), "target_word")).alias("b"))
-    made = best.select("source_token", F.col("b.target_word").alias("target_word"), (-F.col("b.m")).alias("frequency"), F.round(-F.col("b.m") / F.col("total"), 4).alias("confidence"))
-    return made.filter(F.col("confidence") >= confidence).withColumn("provenance", F.lit("COOC"))
+    share = -F.col("b.m") / F.col("total")
+    made = best.filter(share >= confidence).select("source_token", F.col("b.target_word").alias("target_word"), F.col("total").alias("frequency"), F.round(share, 4).alias("confidence"))
+    return made.withColumn("provenance", F.lit("COOC"))
 
 
 def merge_anchors(*sources: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Exact vector search in blocks: a bounded block of queries goes to every task, and one pass over the rows answers it."""
+"""Exact vector search: blocks of queries meet blocks of rows in tasks, and partial tops meet by query."""
 
 from __future__ import annotations
 
@@ -9,7 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 4096  # queries in a block: BLOCK x dimension doubles are sent to each task
+BLOCK = 4096  # queries in a block, and rows in a block of pairs
+ROWS = 65_536  # rows in a block that meets a block of queries
+STRIP = 4096  # rows scored at once
+NONE = -2_000_000  # below every score in millionths
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -20,105 +23,126 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) if n else np.zeros((0, 0))
 
 
-def query_blocks(queries: DataFrame) -> Iterator[pa.Table]:
-    """(id, vec) in blocks of at most BLOCK rows, ordered by id, one block on the driver at a time."""
-    after = None
-    while True:
-        rest = queries if after is None else queries.filter(F.col("id") > after)
-        block = rest.orderBy("id").limit(BLOCK).toArrow()
-        if block.num_rows:
-            yield block
-        if block.num_rows < BLOCK:
-            return
-        after = block.column("id")[-1].as_py()
-
-
-def _sorted_top(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best: score descending, then id ascending."""
-    if len(score) > 4 * k:
-        bar = np.partition(score, len(score) - k)[len(score) - k]
-        at = np.flatnonzero(score >= bar)
-    else:
-        at = np.arange(len(score))
-    return at[np.lexsort((ids[at], -score[at]))][:k]
+class Top:
+    """The k best rows of each query so far: score in millionths descending, then id ascending."""
+
+    def __init__(self, qids: np.ndarray, q: np.ndarray, k: int, other: bool):
+        self.qids, self.q, self.k, self.other = qids, q, k, other
+        self.scores, self.ids = np.full((len(qids), 0), NONE), None
+
+    def add(self, ids: np.ndarray, v: np.ndarray) -> None:
+        by = np.argsort(ids, kind="stable")
+        for lo in range(0, len(by), STRIP):
+            at = by[lo : lo + STRIP]
+            s = np.rint(np.clip(self.q @ v[at].T, -1, 1) * 1e6).astype(np.int64)
+            if self.other:
+                s[self.qids[:, None] == ids[at][None, :]] = NONE
+            m = len(at)
+            if m > self.k:  # a place's number breaks ties, so a partition finds just the k best
+                best = np.argpartition(-(s * m + (m - 1 - np.arange(m))), self.k - 1, axis=1)[:, : self.k]
+            else:
+                best = np.broadcast_to(np.arange(m), s.shape)
+            own, found = np.take_along_axis(s, best, 1), ids[at][best]
+            self.scores = np.concatenate([self.scores, own], axis=1)
+            self.ids = found if self.ids is None else np.concatenate([self.ids, found], axis=1)
+            codes = np.unique(self.ids, return_inverse=True)[1].reshape(self.ids.shape) if self.ids.dtype == object else self.ids
+            order = np.lexsort((codes, -self.scores), axis=1)[:, : self.k]
+            self.scores, self.ids = np.take_along_axis(self.scores, order, 1), np.take_along_axis(self.ids, order, 1)
+
+    def table(self, kind: pa.DataType) -> pa.Table:
+        i, j = np.nonzero(self.scores > NONE)
+        ids = self.ids[i, j] if self.ids is not None else []
+        return pa.table({"qid": pa.array(self.qids[i], pa.int64()), "id": pa.array(ids, kind), "score": pa.array(self.scores[i, j] / 1e6)})
+
+
+def numbers(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy()
 
 
 def nearest(queries: DataFrame, rows: DataFrame, k: int, other: bool = False) -> DataFrame:
     """(qid, rank, id, score), the k rows of highest cosine for each query, ranked by the rounded score, then id.
 
-    queries and rows are (id, vec) with unit vectors; other leaves out the row that has the query's id.
+    queries (id long) and rows (id long or string) have unit vectors vec; other leaves out the row that has the query's id.
+    One block of queries is sent to all tasks; more blocks of queries are paired with blocks of rows by a join on block numbers,
+    so no side is held whole anywhere.
     """
-    spark, out = rows.sparkSession, None
-    for block in query_blocks(queries):
-        sent = spark.sparkContext.broadcast((block.column("id").to_numpy(), matrix(block.column("vec"))))
-
-        def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            qids, q = sent.value
-            best = [(np.empty(0), np.empty(0, np.int64))] * len(qids)
+    spark, kind = rows.sparkSession, rows.schema["id"].dataType.simpleString()
+    arrow = pa.string() if kind == "string" else pa.int64()
+    schema = f"qid long, id {kind}, score double"
+    n = queries.count()
+    if n <= BLOCK:
+        block = queries.select("id", "vec").limit(BLOCK).toArrow()
+        sent = spark.sparkContext.broadcast((numbers(block.column("id")), matrix(block.column("vec"))))
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            top = Top(*sent.value, k, other)
             for b in batches:
-                ids, v = b.column(0).to_numpy(), matrix(b.column(1))
-                for lo in range(0, len(ids), 8192):
-                    own = ids[lo : lo + 8192]
-                    scores = np.round(np.clip(q @ v[lo : lo + 8192].T, -1, 1), 6)
-                    for i, s in enumerate(scores):
-                        o = own
-                        if other:
-                            keep = own != qids[i]
-                            s, o = s[keep], own[keep]
-                        at = _sorted_top(s, o, k)
-                        s, o = np.concatenate([best[i][0], s[at]]), np.concatenate([best[i][1], o[at]])
-                        at = _sorted_top(s, o, k)
-                        best[i] = (s[at], o[at])
-            n = [len(s) for s, _ in best]
-            if sum(n):
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, n)), pa.array(np.concatenate([o for _, o in best])), pa.array(np.concatenate([s for s, _ in best]))], ["qid", "id", "score"])
-
-        part = rows.select("id", "vec").mapInArrow(work, "qid long, id long, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], "qid long, rank int, id long, score double")
-    # a query's candidates are k from each task at most
-    top = out.groupBy("qid").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("m"), "id"))), 1, k).alias("t"))
+                if len(top.qids) and b.num_rows:
+                    top.add(numbers(b.column(0)), matrix(b.column(1)))
+            yield from top.table(arrow).to_batches()
+
+        found = rows.select("id", "vec").mapInArrow(work, schema)
+    else:
+        nq, nr = -(-n // BLOCK), max(1, -(-rows.count() // ROWS))
+        block_of = lambda count: F.pmod(F.xxhash64("id"), F.lit(count))
+        each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)).cast("array<long>"))
+        q = queries.select(block_of(nq).alias("qb"), each(nr).alias("rb"), "id", "vec")
+        r = rows.select(each(nq).alias("qb"), block_of(nr).alias("rb"), "id", "vec")
+
+        def meet(q: pa.Table, r: pa.Table) -> pa.Table:
+            top = Top(numbers(q.column("id")), matrix(q.column("vec")), k, other)
+            if q.num_rows and r.num_rows:
+                top.add(numbers(r.column("id")), matrix(r.column("vec")))
+            return top.table(arrow)
+
+        found = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInArrow(meet, schema)
+    # a query's candidates are k from each task or block at most
+    top = found.groupBy("qid").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("m"), "id"))), 1, k).alias("t"))
     return top.select("qid", F.posexplode("t").alias("pos", "x")).select("qid", (F.col("pos") + 1).alias("rank"), F.col("x.id").alias("id"), (-F.col("x.m")).alias("score"))
 
 
+def nearest_named(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(qid, rank, word): nearest over rows (word, vec), ties by word."""
+    return nearest(queries, rows.select(F.col("word").alias("id"), "vec"), k).select("qid", "rank", F.col("id").alias("word"))
+
+
 def pair_report(rows: DataFrame, top: int, low: float, high: float, bins: int) -> tuple[DataFrame, DataFrame]:
     """(a, b, score) of the top pairs of all rows, and (bin, n) of pairs from low to high, the last bin closed.
 
-    Tasks keep their best pairs and bin counts only, so the pairs themselves are never rows.
+    Every pair of blocks of rows is one group; groups keep their best pairs and bin counts only, so pairs are never rows.
     """
-    spark, tops, counts = rows.sparkSession, None, None
-    for block in query_blocks(rows):
-        sent = spark.sparkContext.broadcast((block.column("id").to_numpy(), matrix(block.column("vec"))))
-
-        def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            qids, q = sent.value
-            a = b2 = np.empty(0, np.int64)
-            best, n = np.empty(0), np.zeros(bins, np.int64)
-            for b in batches:
-                ids, v = b.column(0).to_numpy(), matrix(b.column(1))
-                for lo in range(0, len(ids), 2048):
-                    own = ids[lo : lo + 2048]
-                    scores = np.round(q @ v[lo : lo + 2048].T, 6)
-                    scores[qids[:, None] >= own[None, :]] = -2
-                    inside = scores[(scores >= low) & (scores <= high)]
-                    n += np.bincount(np.minimum(((inside - low) / (high - low) * bins + 1e-9).astype(np.int64), bins - 1), minlength=bins)
-                    bar = best.min() if len(best) >= top else -1.5
-                    i, j = np.nonzero(scores >= bar)
-                    if len(i) > 4 * top:
-                        flat = scores[i, j]
-                        bar = np.partition(flat, len(flat) - top)[len(flat) - top]
-                        i, j = i[flat >= bar], j[flat >= bar]
-                    best, a, b2 = np.concatenate([best, scores[i, j]]), np.concatenate([a, qids[i]]), np.concatenate([b2, own[j]])
-                    at = np.lexsort((b2, a, -best))[:top]
-                    best, a, b2 = best[at], a[at], b2[at]
-            k = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, -1 - k])), pa.array(np.concatenate([b2, n[k]])), pa.array(np.concatenate([best, np.zeros(len(k))]))], ["a", "b", "score"])
-
-        part = rows.select("id", "vec").mapInArrow(work, "a long, b long, score double")
-        tops = part if tops is None else tops.unionByName(part)
-    if tops is None:
-        tops = spark.createDataFrame([], "a long, b long, score double")
+    spark = rows.sparkSession
+    blocks = max(1, -(-rows.count() // BLOCK))
+    own = rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b"), "id", "vec")
+    each = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>"))).select(F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), "b", "id", "vec")
+
+    def work(t: pa.Table) -> pa.Table:
+        block, ids, v = (numbers(t.column("b")), numbers(t.column("id")), matrix(t.column("vec")))
+        x = np.flatnonzero(block == block.min())
+        y = x if block.min() == block.max() and t.column("lo")[0].as_py() == t.column("hi")[0].as_py() else np.flatnonzero(block != block.min())
+        a = b = np.empty(0, np.int64)
+        best, n = np.empty(0), np.zeros(bins, np.int64)
+        for lo in range(0, len(x), 1024):
+            i0 = x[lo : lo + 1024]
+            scores = np.round(v[i0] @ v[y].T, 6)
+            if y is x:
+                scores[ids[i0][:, None] >= ids[y][None, :]] = -2
+            inside = scores[(scores >= low) & (scores <= high)]
+            n += np.bincount(np.minimum(((inside - low) / (high - low) * bins + 1e-9).astype(np.int64), bins - 1), minlength=bins)
+            bar = best.min() if len(best) >= top else -1.5
+            i, j = np.nonzero(scores >= bar)
+            if len(i) > 4 * top:
+                flat = scores[i, j]
+                bar = np.partition(flat, len(flat) - top)[len(flat) - top]
+                i, j = i[flat >= bar], j[flat >= bar]
+            first, second = ids[i0][i], ids[y][j]
+            best, a, b = np.concatenate([best, scores[i, j]]), np.concatenate([a, np.minimum(first, second)]), np.concatenate([b, np.maximum(first, second)])
+            at = np.lexsort((b, a, -best))[:top]
+            best, a, b = best[at], a[at], b[at]
+        k = np.flatnonzero(n)
+        return pa.table({"a": pa.array(np.concatenate([a, -1 - k])), "b": pa.array(np.concatenate([b, n[k]])), "score": pa.array(np.concatenate([best, np.zeros(len(k))]))})
+
+    tops = each.groupBy("lo", "hi").applyInArrow(work, "a long, b long, score double")
     edges = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
     found = tops.filter("a < 0").groupBy((-1 - F.col("a")).cast("int").alias("bin")).agg(F.sum("b").alias("n"))
     counts = edges.join(found, "bin", "left").select("bin", F.coalesce("n", F.lit(0).cast("long")).alias("n"))

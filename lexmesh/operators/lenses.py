@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_junk_gloss
-from ..functions.vectors import unit
+from ..functions.vectors import cosine, unit
 from .knn import matrix, nearest
 from .lookup import displacement
 
@@ -97,3 +97,46 @@ def members(assigned: DataFrame, group: str, first: int = 5) -> DataFrame:
     some = parts.withColumn("_r", F.row_number().over(Window.partitionBy(group, "_s").orderBy("id"))).filter(F.col("_r") <= first)
     ids = F.transform(F.slice(F.array_sort(F.collect_list("id")), 1, first), lambda x: x.cast("string"))
     return some.groupBy(group).agg(F.array_join(ids, ",").alias("members"))
+
+
+def spread(rows: DataFrame, group: str) -> DataFrame:
+    """(group, n, spread): the mean cosine distance of a group's rows to its centroid."""
+    c = centroids(rows, group).withColumnRenamed("vec", "_c")
+    return rows.join(c, group).groupBy(group).agg(F.count("*").alias("n"), F.round(F.avg(1 - cosine(F.col("vec"), F.col("_c"))), 6).alias("spread"))
+
+
+def merges_splits(grid: DataFrame, ratio: float = 2.0, least: float = 0.01) -> DataFrame:
+    """(a, b, kind) of pairs (a, b, da, db) whose distances in two spaces differ by the ratio; pairs nearer than least are left out."""
+    merged, split = F.col("db") / F.col("da") >= ratio, F.col("da") / F.col("db") >= ratio
+    g = grid.filter((F.col("da") >= least) & (F.col("db") >= least))
+    return g.filter(merged | split).select("a", "b", F.when(merged, "merge").otherwise("split").alias("kind"))
+
+
+def rank_domains(domains: DataFrame, pairs: DataFrame, similar: DataFrame) -> DataFrame:
+    """(domain, merges, splits, score) with score = 2 merges + 2 splits + 5 (1 - mean similarity); pairs as from merges_splits."""
+    each = pairs.select(F.explode(F.array("a", "b")).alias("label"), "kind")
+    counts = each.groupBy("label").agg(F.count_if(F.col("kind") == "merge").alias("merges"), F.count_if(F.col("kind") == "split").alias("splits"))
+    x = domains.join(counts, "label", "left").join(similar, "label", "left").fillna({"merges": 0, "splits": 0, "similarity": 0.0})
+    score = 2 * F.col("merges") + 2 * F.col("splits") + 5 * (1 - F.col("similarity"))
+    return x.select(F.col("label").alias("domain"), "merges", "splits", F.round(score, 6).alias("score"))
+
+
+def permutation_test(rows: DataFrame, rounds: int = 999, seed: int = 42) -> DataFrame:
+    """(grp, n, mean, p_value) for rows (grp, id, value): the share of random dealings whose mean for the group is at least its own.
+
+    A dealing draws, for each of a group's rows, the value of a row that a seeded hash picks among all (with replacement), so
+    a round is one pass of sums; p counts the observed dealing too.
+    """
+    own = rows.groupBy("grp").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    values = rows.groupBy("value").agg(F.count("*").alias("c"))
+    if values.limit(100_001).count() > 100_000:
+        raise ValueError("round the values: more than 100000 distinct ones")
+    ladder = values.agg(F.array_sort(F.collect_list(F.struct("value", "c")))).scalar()
+    upto = lambda s, x: F.coalesce(F.try_element_at(s, F.lit(-1))["upto"], F.lit(0)) + x["c"]
+    steps = F.aggregate("l", F.array().cast("array<struct<upto:bigint,value:double>>"), lambda s, x: F.concat(s, F.array(F.struct(upto(s, x).alias("upto"), x["value"].alias("value")))))
+    base = rows.select("grp", "id", ladder.alias("l")).select("grp", "id", steps.alias("steps")).withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+    at = F.pmod(F.xxhash64(F.lit(seed), "round", "id"), F.try_element_at("steps", F.lit(-1))["upto"])
+    drawn = base.select("grp", "round", F.get(F.filter("steps", lambda s: s["upto"] > at), 0)["value"].alias("value"))
+    means = drawn.groupBy("grp", "round").agg(F.avg("value").alias("drawn"))
+    beat = means.join(own, "grp").groupBy("grp").agg(F.count_if(F.col("drawn") >= F.col("mean") - 1e-12).alias("k"))
+    return own.join(beat, "grp").select("grp", "n", F.round("mean", 6).alias("mean"), F.round((F.col("k") + 1) / (rounds + 1), 6).alias("p_value"))

@@ -28,18 +28,29 @@ def find_passages(queries: DataFrame, lines: DataFrame, most: int = 3, context:
     return full.groupBy("query", "rank", "text_id", "line_no").agg(line.alias("line"), text.alias("context"))
 
 
-def preflight(concepts: DataFrame, vocabulary: DataFrame, neighbours: DataFrame, passages: DataFrame) -> DataFrame:
-    """Concepts (concept) with n_neighbours, degenerate share, n_passages, status and reasons.
+def preflight(concepts: DataFrame, vocabulary: DataFrame, spaces: dict[str, DataFrame], neighbours: DataFrame, passages: DataFrame) -> DataFrame:
+    """Concepts (source_token, target_word) with what was found, status, failure reasons and warnings.
 
-    neighbours (concept, token, score): a neighbour is degenerate that has one letter; passages (concept).
+    spaces: by name, the target words (word) that a space has; neighbours (target_word, token): the first five answers of every
+    space; one of up to two characters is degenerate, and a concept without any counts as wholly so. passages (source_token):
+    one row a matching line. A missing source, both spaces missing or no passage fail; the rest are warnings.
     """
-    known = concepts.join(vocabulary.select(F.col("word").alias("concept")).distinct().withColumn("_in", F.lit(True)), "concept", "left")
-    n = neighbours.groupBy("concept").agg(F.count("*").alias("n_neighbours"), F.round(F.avg((F.length("token") <= 1).cast("double")), 4).alias("degenerate"))
-    p = passages.groupBy("concept").agg(F.count("*").alias("n_passages"))
-    x = known.join(n, "concept", "left").join(p, "concept", "left").fillna({"n_neighbours": 0, "degenerate": 0.0, "n_passages": 0})
-    reasons = F.array_compact(
-        F.array(
-            F.when(F.col("_in").isNull(), "vocabulary miss"), F.when(F.col("degenerate") > 0.5, "degenerate neighbours"), F.when(F.col("n_passages") == 0, "no passages")
-        )
-    )
-    return x.select("concept", "n_neighbours", "degenerate", "n_passages", F.when(F.size(reasons) > 0, "fail").otherwise("pass").alias("status"), F.array_join(reasons, "; ").alias("reasons"))
+    sources = vocabulary.select(F.col("word").alias("source_token")).distinct().withColumn("in_vocabulary", F.lit(True))
+    x = concepts.join(sources, "source_token", "left").withColumn("in_vocabulary", F.coalesce("in_vocabulary", F.lit(False)))
+    for name, words in spaces.items():
+        own = words.select(F.lower("word").alias("_w")).distinct().withColumn(f"in_{name}", F.lit(True))
+        x = x.join(own, F.lower("target_word") == F.col("_w"), "left").drop("_w").withColumn(f"in_{name}", F.coalesce(f"in_{name}", F.lit(False)))
+    n = neighbours.groupBy("target_word").agg(F.avg((F.length("token") <= 2).cast("double")).alias("degenerate"))
+    p = passages.groupBy("source_token").agg(F.count("*").alias("n_passages"))
+    x = x.join(n, "target_word", "left").join(p, "source_token", "left").fillna({"degenerate": 1.0, "n_passages": 0})
+    missing = [~F.col(f"in_{name}") for name in spaces]
+    all_missing = missing[0]
+    for m in missing[1:]:
+        all_missing = all_missing & m
+    listed = lambda *tests: F.array_compact(F.array(*[F.when(test, what) for test, what in tests]))
+    reasons = listed((~F.col("in_vocabulary"), "sumerian_vocab_miss"), (all_missing, "english_missing_both_spaces"), (F.col("n_passages") == 0, "zero_etcsl_passages"))
+    warnings = listed((F.col("degenerate") > 0.5, "degenerate_top5"), *[(m, f"english_missing_{name}") for m, name in zip(missing, spaces)])
+    return x.select(
+        "source_token", "target_word", "in_vocabulary", *(f"in_{name}" for name in spaces), "n_passages", F.round("degenerate", 3).alias("degenerate"),
+        F.when(F.size(reasons) > 0, "fail").otherwise("pass").alias("status"), F.array_join(reasons, ";").alias("reasons"), F.array_join(warnings, ";").alias("warnings"),
+    )

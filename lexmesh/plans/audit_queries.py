@@ -1,19 +1,22 @@
 """Audit, coverage, passage, format and streaming queries.
 
-Anchors under audit: each whitespace token of the conversations with the token that follows it most often. Vocabulary: the
+The corpus is cleaned and counted once a query; vocabulary and n-grams come from the counts. Anchors under audit: each whitespace token of the conversations with the token that follows it most often. Vocabulary: the
 cleaned tokens of the documents that occur five times or more. English vocabularies: the benchmark's and the answers' words.
 """
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE, ngrams, normalize_token
+from ..functions.text import SPACE, morphemes, ngrams, normalize_token
+from ..functions.vectors import unit
 from ..operators import audit, corpus, passages
+from ..operators.knn import nearest_named
 from ..sources import corpora
+from ..storage import new_path, settle
 from ..streaming import counts
 from .corpus_queries import CLEAN_SQL, norm_sql
 from .registry import query, table
@@ -26,11 +29,11 @@ def _words(spark: SparkSession, sf_dir: str, name: str, where: str = "true") ->
 
 
 def _frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.token_frequency(corpus.lines(table(spark, sf_dir, "documents"))).withColumnRenamed("token", "word")
+    return settle(corpus.token_frequency(corpus.lines(table(spark, sf_dir, "documents"))).withColumnRenamed("token", "word"))
 
 
-def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _frequency(spark, sf_dir).filter("n >= 5").select("word")
+def _vocabulary(frequency: DataFrame) -> DataFrame:
+    return frequency.filter("n >= 5").select("word")
 
 
 def _anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,29 +51,34 @@ def _collisions(anchors: DataFrame) -> DataFrame:
     return n.join(low, "k").filter("source_token <> low").select(F.col("source_token").alias("word"))
 
 
-def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _anchors(spark, sf_dir)
-    return audit.classify_anchors(a, _vocabulary(spark, sf_dir), _words(spark, sf_dir, "benchmark"), _words(spark, sf_dir, "conversations", "role = 'assistant'"), _collisions(a))
+def _classified(spark: SparkSession, sf_dir: str, frequency: DataFrame | None = None) -> DataFrame:
+    a = settle(_anchors(spark, sf_dir))
+    v = _vocabulary(frequency or _frequency(spark, sf_dir))
+    return audit.classify_anchors(a, v, _words(spark, sf_dir, "benchmark"), _words(spark, sf_dir, "conversations", "role = 'assistant'"), _collisions(a))
 
 
-def _diagnosed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = table(spark, sf_dir, "conversations").select(F.explode(F.split("text", SPACE)).alias("w")).filter("w <> ''").distinct()
-    surfaces = raw.select(normalize_token(F.col("w")).alias("cf"), F.regexp_replace(F.lower("w"), r"[.,:;!?]+$", "").alias("form")).distinct()
-    v = _vocabulary(spark, sf_dir)
+    return raw.select(normalize_token(F.col("w")).alias("cf"), F.regexp_replace(F.lower("w"), r"[.,:;!?]+$", "").alias("form")).distinct()
+
+
+def _diagnosed(spark: SparkSession, sf_dir: str, frequency: DataFrame | None = None) -> DataFrame:
+    frequency = frequency or _frequency(spark, sf_dir)
+    v = _vocabulary(frequency)
     grams = v.select(F.explode(ngrams(F.col("word"), 3, 6)).alias("gram")).distinct()
-    misses = _classified(spark, sf_dir).filter("bucket = 'sumerian_vocab_miss'").select("source_token")
-    return audit.classify_misses(misses, v, _frequency(spark, sf_dir), surfaces, grams)
+    misses = _classified(spark, sf_dir, frequency).filter("bucket = 'sumerian_vocab_miss'").select("source_token", "target_word")
+    return audit.classify_misses(misses, v, frequency, _surfaces(spark, sf_dir), grams)
 
 
-AUDIT_SQL = f"""WITH {CLEAN_SQL}, freq AS (SELECT word, count(*) AS n FROM (SELECT unnest(tokens) AS word FROM clean) GROUP BY word), voc AS (SELECT word FROM freq WHERE n >= 5),
+AUDIT_SQL = f"""WITH {CLEAN_SQL}, freq AS MATERIALIZED (SELECT word, count(*) AS n FROM (SELECT unnest(tokens) AS word FROM clean) GROUP BY word), voc AS (SELECT word FROM freq WHERE n >= 5),
     cw AS (SELECT role, regexp_split_to_array(text, '\\s+') AS w FROM conversations),
     pr AS (SELECT w[i] AS s, w[i + 1] AS t, count(*) AS n FROM (SELECT w, unnest(range(1, len(w))) AS i FROM cw) GROUP BY 1, 2),
-    an AS (SELECT s AS source_token, t AS target_word, round(n / total, 4) AS confidence FROM (SELECT *, sum(n) OVER (PARTITION BY s) AS total, row_number() OVER (PARTITION BY s ORDER BY n DESC, t) AS rn FROM pr) WHERE rn = 1),
+    an AS MATERIALIZED (SELECT s AS source_token, t AS target_word, round(n / total, 4) AS confidence FROM (SELECT *, sum(n) OVER (PARTITION BY s) AS total, row_number() OVER (PARTITION BY s ORDER BY n DESC, t) AS rn FROM pr) WHERE rn = 1),
     glove AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '\\s+')) AS word FROM benchmark),
     gemma AS (SELECT DISTINCT lower(unnest(w)) AS word FROM cw WHERE role = 'assistant'),
     nk AS (SELECT source_token, {norm_sql('source_token')} AS k FROM an), col AS (SELECT source_token AS word FROM (SELECT *, min(source_token) OVER (PARTITION BY k) AS low FROM nk) WHERE source_token <> low),
     fl AS (SELECT an.*, source_token IN (SELECT word FROM voc) AS iv, lower(trim(target_word)) IN (SELECT word FROM glove WHERE word <> '') AS ig, lower(trim(target_word)) IN (SELECT word FROM gemma WHERE word <> '') AS im, source_token IN (SELECT word FROM col) AS ic FROM an),
-    cl AS (SELECT *, CASE WHEN length(trim(source_token)) <= 1 THEN 'junk_sumerian' WHEN ic THEN 'duplicate_collision' WHEN confidence < 0.3 THEN 'low_confidence' WHEN NOT iv THEN 'sumerian_vocab_miss'
+    cl AS MATERIALIZED (SELECT *, CASE WHEN length(trim(source_token)) <= 1 THEN 'junk_sumerian' WHEN ic THEN 'duplicate_collision' WHEN confidence < 0.3 THEN 'low_confidence' WHEN NOT iv THEN 'sumerian_vocab_miss'
         WHEN regexp_matches(lower(trim(target_word)), '[\\s_\\-]') THEN 'multiword_english' WHEN NOT ig AND NOT im THEN 'english_both_miss' WHEN NOT ig THEN 'english_glove_miss' WHEN NOT im THEN 'english_gemma_miss' ELSE 'survives' END AS bucket FROM fl)"""
 
 
@@ -83,23 +91,50 @@ def anchor_audit_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.counted(_classified(spark, sf_dir), "bucket", audit.BUCKETS)
 
 
-@query(f"{AUDIT_SQL} SELECT ig AS in_glove, im AS in_gemma, count(*) AS n FROM cl WHERE bucket IN ('english_both_miss', 'english_glove_miss', 'english_gemma_miss', 'survives') GROUP BY 1, 2")
+@query(f"""{AUDIT_SQL} SELECT g.b AS in_glove, m.b AS in_gemma, (SELECT count(*) FROM cl WHERE bucket IN ('english_both_miss', 'english_glove_miss', 'english_gemma_miss', 'survives') AND ig = g.b AND im = m.b) AS n
+    FROM (VALUES (true), (false)) g(b), (VALUES (true), (false)) m(b)""")
 def anchor_audit_venn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A8."""
+    """All four cells, also those without anchors."""
     four = _classified(spark, sf_dir).filter(F.col("bucket").isin(*audit.BUCKETS[-4:]))
-    return four.groupBy("in_glove", "in_gemma").agg(F.count("*").alias("n"))
+    cells = [(g, m) for g in (True, False) for m in (True, False)]
+    test = lambda g, m: (F.col("in_glove") == g) & (F.col("in_gemma") == m)
+    each = F.array(*[F.struct(F.lit(g).alias("in_glove"), F.lit(m).alias("in_gemma"), F.count_if(test(g, m)).alias("n")) for g, m in cells])
+    return four.agg(each.alias("a")).select(F.explode("a").alias("x")).select("x.*")
+
+
+@query(f"""{AUDIT_SQL}, r AS (SELECT bucket, source_token, row_number() OVER (PARTITION BY bucket ORDER BY md5('42' || source_token), source_token) AS rn FROM cl) SELECT bucket, source_token FROM r WHERE rn <= 10""")
+def anchor_audit_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten examples a bucket, by a seeded hash."""
+    return audit.examples(_classified(spark, sf_dir), "bucket", "source_token", 10, 42).select("bucket", "source_token")
 
 
 GRAMS = "list_distinct(flatten(list_transform(list_filter([3, 4, 5, 6], lambda n: n <= length({w}) + 2), lambda n: list_transform(range(1, length({w}) + 4 - n), lambda i: substring('<' || {w} || '>', i, n)))))"
-DIAG_SQL = f"""{AUDIT_SQL}, ms AS (SELECT source_token, {norm_sql('source_token')} AS norm FROM cl WHERE bucket = 'sumerian_vocab_miss'),
+DIAG_SQL = f"""{AUDIT_SQL}, ms AS MATERIALIZED (SELECT source_token, lower(target_word) AS expected, trim(source_token) AS raw, {norm_sql('trim(source_token)')} AS norm FROM cl WHERE bucket = 'sumerian_vocab_miss'),
     raww AS (SELECT DISTINCT unnest(w) AS w FROM cw), sf AS (SELECT DISTINCT {norm_sql('w')} AS cf, regexp_replace(lower(w), '[.,:;!?]+$', '') AS form FROM raww WHERE w <> ''),
-    sfi AS (SELECT DISTINCT cf FROM sf WHERE form IN (SELECT word FROM voc)), gr AS (SELECT DISTINCT unnest({GRAMS.format(w='word')}) AS gram FROM voc),
-    mp AS (SELECT source_token, bool_and(m IN (SELECT word FROM voc)) AS ok FROM (SELECT source_token, unnest(list_transform(string_split(source_token, '-'), lambda p: {norm_sql('p')})) AS m FROM ms WHERE contains(source_token, '-')) WHERE m <> '' GROUP BY source_token),
-    ov AS (SELECT source_token, round(avg(CASE WHEN g IN (SELECT gram FROM gr) THEN 1.0 ELSE 0.0 END), 6) AS overlap FROM (SELECT source_token, unnest({GRAMS.format(w='norm')}) AS g FROM ms) GROUP BY source_token),
-    dg0 AS (SELECT ms.source_token, norm, coalesce(f1.n, 0) AS nr, coalesce(f2.n, 0) AS nn, norm IN (SELECT word FROM voc) AS norm_in, norm IN (SELECT cf FROM sfi) AS surface_in, coalesce(mp.ok, false) AS morphemes_in, coalesce(ov.overlap, 0) AS overlap
-        FROM ms LEFT JOIN freq f1 ON f1.word = ms.source_token LEFT JOIN freq f2 ON f2.word = norm LEFT JOIN mp ON mp.source_token = ms.source_token LEFT JOIN ov ON ov.source_token = ms.source_token),
-    dg AS (SELECT *, greatest(nr, nn) AS n_corpus, CASE WHEN norm <> source_token AND norm_in THEN 'normalization_recoverable' WHEN nr BETWEEN 1 AND 4 OR nn BETWEEN 1 AND 4 THEN 'in_corpus_below_min_count' WHEN surface_in THEN 'oracc_lemma_surface'
-        WHEN morphemes_in THEN 'morpheme_composition' WHEN overlap >= 0.5 THEN 'subword_inference' ELSE 'genuinely_missing' END AS cause FROM dg0)"""
+    sfv AS MATERIALIZED (SELECT DISTINCT cf, form FROM sf JOIN voc ON voc.word = form), gr AS MATERIALIZED (SELECT DISTINCT unnest({GRAMS.format(w='word')}) AS gram FROM voc),
+    mo AS MATERIALIZED (SELECT source_token, m, m IN (SELECT word FROM voc) AS ok FROM (SELECT source_token, unnest(list_transform(string_split(raw, '-'), lambda p: {norm_sql('p')})) AS m FROM ms WHERE contains(raw, '-')) WHERE m <> ''),
+    mp AS (SELECT source_token, bool_and(ok) AS ok FROM mo GROUP BY source_token),
+    og AS MATERIALIZED (SELECT source_token, unnest({GRAMS.format(w='norm')}) AS g FROM ms),
+    ov AS (SELECT source_token, count(gr.gram) / count(*) AS overlap FROM og LEFT JOIN gr ON gr.gram = og.g GROUP BY source_token),
+    dg0 AS (SELECT ms.*, coalesce(f1.n, 0) AS nr, coalesce(f2.n, 0) AS nn, norm IN (SELECT word FROM voc) AS norm_in, raw IN (SELECT word FROM voc) AS raw_in, norm IN (SELECT cf FROM sfv) AS surface_in, coalesce(mp.ok, false) AS morphemes_in, coalesce(ov.overlap, 0) AS overlap
+        FROM ms LEFT JOIN freq f1 ON f1.word = ms.raw LEFT JOIN freq f2 ON f2.word = norm LEFT JOIN mp ON mp.source_token = ms.source_token LEFT JOIN ov ON ov.source_token = ms.source_token),
+    dg AS MATERIALIZED (SELECT *, CASE WHEN norm <> '' AND norm_in THEN 'normalization_recoverable' WHEN nr BETWEEN 1 AND 4 OR nn BETWEEN 1 AND 4 THEN 'in_corpus_below_min_count' WHEN surface_in THEN 'oracc_lemma_surface_recoverable'
+        WHEN morphemes_in THEN 'morpheme_composition_recoverable' WHEN norm <> '' AND overlap >= 0.5 THEN 'subword_inference_recoverable' ELSE 'genuinely_missing' END AS cause FROM dg0)"""
+# tier 2: a word's vector is the row of embeddings that a hash of the word picks; the target of a row is the least target word that picks it
+PICK = "('0x' || substr(md5({w}), 1, 7))::BIGINT % (SELECT count(*) FROM embeddings)"
+TIER2_SQL = f"""{DIAG_SQL}, emb AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+    pick AS (SELECT min(word) AS word, k FROM (SELECT word, {PICK.format(w='word')} AS k FROM gemma WHERE word <> '') GROUP BY k),
+    tg AS MATERIALIZED (SELECT word, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM pick JOIN emb ON emb.vec_id = k),
+    cm AS (SELECT source_token, expected FROM dg WHERE morphemes_in), cs AS (SELECT source_token, expected FROM dg WHERE norm <> '' AND NOT norm_in AND overlap >= 0.5),
+    part AS (SELECT 'm' AS kind, mo.source_token, mo.m AS part FROM mo JOIN cm USING (source_token) UNION ALL SELECT 's', og.source_token, og.g FROM og JOIN cs USING (source_token) JOIN gr ON gr.gram = og.g),
+    pv AS (SELECT kind, source_token, v FROM (SELECT kind, source_token, {PICK.format(w='part')} AS k FROM part) JOIN emb ON emb.vec_id = k),
+    qm AS (SELECT kind, source_token, list(x ORDER BY pos) AS v FROM (SELECT kind, source_token, pos, avg(x) AS x FROM (SELECT kind, source_token, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM pv) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+    qv AS MATERIALIZED (SELECT qm.kind, qm.source_token, c.expected, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM qm JOIN (SELECT 'm' AS kind, * FROM cm UNION ALL SELECT 's', * FROM cs) c USING (kind, source_token)),
+    gold AS (SELECT qv.*, round(list_dot_product(qv.v, tg.v), 6) AS score FROM qv JOIN tg ON tg.word = qv.expected),
+    rk AS (SELECT g.kind, g.source_token, count(*) FILTER (round(list_dot_product(g.v, tg.v), 6) > g.score OR (round(list_dot_product(g.v, tg.v), 6) = g.score AND tg.word < g.expected)) + 1 AS rank FROM gold g, tg GROUP BY 1, 2),
+    t2 AS (SELECT kind, count(*) AS tested, count(*) FILTER (rank <= 1) AS top1, count(*) FILTER (rank <= 5) AS top5, count(*) FILTER (rank <= 10) AS top10 FROM rk GROUP BY kind),
+    res AS (SELECT 'm' AS kind, count(*) AS resolvable FROM cm UNION ALL SELECT 's', count(*) FROM cs),
+    sm AS (SELECT res.kind, resolvable, coalesce(tested, 0) AS tested, coalesce(top1, 0) AS top1, coalesce(top5, 0) AS top5, coalesce(top10, 0) AS top10, resolvable - coalesce(tested, 0) AS skipped FROM res LEFT JOIN t2 USING (kind))"""
 
 
 @query(f"{DIAG_SQL} SELECT b.cause, count(dg.cause) AS n, round(100 * count(dg.cause) / (SELECT count(*) FROM dg), 2) AS pct FROM {_names_sql(audit.CAUSES, 'cause')} b LEFT JOIN dg ON dg.cause = b.cause GROUP BY b.cause")
@@ -107,22 +142,94 @@ def coverage_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.counted(_diagnosed(spark, sf_dir), "cause", audit.CAUSES)
 
 
-@query(f"{DIAG_SQL} SELECT source_token, norm, cause, n_corpus, CAST(overlap AS DOUBLE) AS overlap FROM dg")
+@query(f"""{DIAG_SQL} SELECT source_token, norm, cause, CASE WHEN cause = 'in_corpus_below_min_count' THEN CASE WHEN nr BETWEEN 1 AND 4 THEN raw ELSE norm END END AS matched_form,
+    CASE WHEN cause = 'in_corpus_below_min_count' THEN CASE WHEN nr BETWEEN 1 AND 4 THEN nr ELSE nn END END AS n_corpus, round(CAST(overlap AS DOUBLE), 6) AS overlap FROM dg""")
 def coverage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each missing anchor with its cause and subword overlap."""
-    return _diagnosed(spark, sf_dir).select("source_token", "norm", "cause", "n_corpus", "overlap")
+    """Each missing anchor with its cause, the form that is too rare, and its subword overlap."""
+    return _diagnosed(spark, sf_dir).select("source_token", "norm", "cause", "matched_form", "n_corpus", "overlap")
 
 
-@query(f"{DIAG_SQL} SELECT CAST(t AS INT) AS threshold, count(*) FILTER (n_corpus >= t AND n_corpus < 5) AS n FROM dg, (SELECT unnest([1, 2, 3, 4]) AS t) GROUP BY t")
+@query(f"{DIAG_SQL} SELECT CAST(t AS INT) AS threshold, count(*) FILTER (NOT raw_in AND NOT norm_in AND (nr >= t OR nn >= t)) AS n FROM dg, (SELECT unnest([1, 2, 3, 4]) AS t) GROUP BY t")
 def sim_lower_min_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.lower_min_count(_diagnosed(spark, sf_dir))
 
 
-@query(f"""{DIAG_SQL}, s AS (SELECT 'ascii_normalize' AS intervention, count(*) FILTER (norm_in) AS n FROM dg UNION ALL SELECT 'lower_min_count', count(*) FILTER (n_corpus BETWEEN 1 AND 4) FROM dg UNION ALL
-    SELECT 'lemma_expansion', count(*) FILTER (surface_in) FROM dg UNION ALL SELECT 'morpheme_composition', count(*) FILTER (morphemes_in) FROM dg UNION ALL SELECT 'subword_inference', count(*) FILTER (overlap >= 0.5) FROM dg)
-    SELECT intervention, n, CAST(row_number() OVER (ORDER BY n DESC, intervention) AS INT) AS rank FROM s""")
+@query(f"{DIAG_SQL} SELECT count(*) FILTER (norm <> '' AND norm_in) AS resolvable FROM dg")
+def sim_ascii_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _diagnosed(spark, sf_dir).agg(F.count_if((F.col("norm") != "") & F.col("norm_in")).alias("resolvable"))
+
+
+@query(f"{DIAG_SQL} SELECT (SELECT count(*) FROM dg WHERE surface_in) AS resolvable, (SELECT count(DISTINCT form) FROM sfv JOIN dg ON dg.norm = sfv.cf) AS surface_forms")
+def sim_lemma_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frequency = _frequency(spark, sf_dir)
+    return audit.lemma_expansion(_diagnosed(spark, sf_dir, frequency), _surfaces(spark, sf_dir), _vocabulary(frequency))
+
+
+def _unit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("k"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+
+
+def _pick(word: Column, rows: Column) -> Column:
+    """The row of embeddings that stands for a word."""
+    return F.conv(F.substring(F.md5(word), 1, 7), 16, 10).cast("long") % rows
+
+
+def _tier2(spark: SparkSession, sf_dir: str, diagnosed: DataFrame, grams: DataFrame, kind: str) -> DataFrame:
+    """The mean of a candidate's parts' vectors against the target words."""
+    rows = _unit_rows(spark, sf_dir)
+    size = rows.agg(F.count("*")).scalar()
+    words = _words(spark, sf_dir, "conversations", "role = 'assistant'")
+    targets = settle(words.groupBy(_pick(F.col("word"), size).alias("k")).agg(F.min("word").alias("word")).join(rows, "k").select("word", unit(F.col("v")).alias("vec")))
+    if kind == "morphemes":
+        found = diagnosed.filter("morphemes_in").select(F.col("source_token").alias("name"), F.col("target_word").alias("expected"), morphemes(F.trim("source_token")).alias("parts"))
+    else:
+        found = diagnosed.filter("norm <> '' AND NOT norm_in AND overlap >= 0.5").select(F.col("source_token").alias("name"), F.col("target_word").alias("expected"), ngrams(F.col("norm"), 3, 6).alias("parts"))
+    found = settle(found.withColumn("id", F.xxhash64("name")))
+    parts = found.select("id", F.explode("parts").alias("part"))
+    if kind == "subwords":
+        parts = parts.join(grams.select(F.col("gram").alias("part")), "part", "left_semi")
+    vectors = parts.select("id", _pick(F.col("part"), size).alias("k")).join(rows, "k").groupBy("id").agg(vector_to_array(Summarizer.mean(array_to_vector("v"))).alias("v"))
+    known = targets.select(F.xxhash64("word").alias("id"), "word", "vec")
+
+    def near(queries: DataFrame) -> DataFrame:
+        """Ten best by rounded score, then word: whoever ties with the tenth comes along first."""
+        return nearest_named(queries, known, 10)
+
+    return audit.tier2(found.select("id", "expected"), vectors.select("id", unit(F.col("v")).alias("vec")), targets.select("word"), near)
+
+
+def _grams(frequency: DataFrame) -> DataFrame:
+    return _vocabulary(frequency).select(F.explode(ngrams(F.col("word"), 3, 6)).alias("gram")).distinct()
+
+
+@query(f"{TIER2_SQL} SELECT resolvable, tested, top1, top5, top10, skipped FROM sm WHERE kind = 'm'")
+def sim_morpheme(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates whose morphemes are all known, by the mean of their vectors."""
+    frequency = _frequency(spark, sf_dir)
+    return _tier2(spark, sf_dir, settle(_diagnosed(spark, sf_dir, frequency)), _grams(frequency), "morphemes")
+
+
+@query(f"{TIER2_SQL} SELECT resolvable, tested, top1, top5, top10, skipped FROM sm WHERE kind = 's'")
+def sim_subword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates that share half of their n-grams with the vocabulary, by the mean of the shared ones' vectors."""
+    frequency = _frequency(spark, sf_dir)
+    return _tier2(spark, sf_dir, settle(_diagnosed(spark, sf_dir, frequency)), _grams(frequency), "subwords")
+
+
+@query(f"""{TIER2_SQL}, s AS (SELECT 1 AS o, 'ascii_normalize' AS intervention, count(*) FILTER (norm <> '' AND norm_in) AS n, 'exact' AS trust FROM dg UNION ALL SELECT 2, 'lower_min_count (t=1)', count(*) FILTER (NOT raw_in AND NOT norm_in AND (nr >= 1 OR nn >= 1)), 'exact' FROM dg UNION ALL
+    SELECT 3, 'oracc_lemma_expansion', count(*) FILTER (surface_in), 'exact' FROM dg UNION ALL SELECT 4, 'morpheme_composition (Tier-2 top-5)', (SELECT top5 FROM sm WHERE kind = 'm'), 'inferred (compositional)' UNION ALL SELECT 5, 'subword_inference (Tier-2 top-5)', (SELECT top5 FROM sm WHERE kind = 's'), 'inferred (character n-gram)')
+    SELECT CAST(row_number() OVER (ORDER BY n DESC, o) AS INT) AS rank, intervention, n, trust FROM s""")
 def ranked_interventions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.interventions(_diagnosed(spark, sf_dir))
+    frequency = _frequency(spark, sf_dir)
+    diagnosed, grams = settle(_diagnosed(spark, sf_dir, frequency)), _grams(frequency)
+    scored = [_tier2(spark, sf_dir, diagnosed, grams, kind) for kind in ("morphemes", "subwords")]
+    return audit.interventions(diagnosed, *scored)
+
+
+@query(f"{AUDIT_SQL} SELECT count(*) AS n_anchors, count(*) FILTER (iv) AS n_in_vocabulary, count(*) FILTER (NOT iv) AS n_missing, round(100 * count(*) FILTER (iv) / count(*), 2) AS pct FROM fl")
+def vocabulary_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """anchors that the vocabulary has and lacks."""
+    return audit.partition(_anchors(spark, sf_dir), "source_token", _vocabulary(_frequency(spark, sf_dir)))
 
 
 # --- passages --------------------------------------------------------------------------------------------------------
@@ -145,23 +252,34 @@ def passages_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.find_passages(_queries(spark, sf_dir), lines)
 
 
-@query(f"""{PASSAGE_SQL}, cw AS (SELECT regexp_split_to_array(text, '\\s+') AS w FROM conversations), {CLEAN_SQL.replace('lines AS (SELECT doc_id', 'lines AS (SELECT doc_id')}, voc AS (SELECT word FROM (SELECT unnest(tokens) AS word FROM clean) GROUP BY word HAVING count(*) >= 5),
-    nb AS (SELECT w[i] AS concept, w[i + 1] AS token FROM (SELECT w, unnest(range(1, len(w))) AS i FROM cw)),
-    n AS (SELECT concept, count(*) AS n_neighbours, round(avg(CASE WHEN length(token) <= 1 THEN 1.0 ELSE 0.0 END), 4) AS degenerate FROM nb GROUP BY concept),
-    p AS (SELECT query AS concept, count(*) AS n_passages FROM hit GROUP BY query),
-    x AS (SELECT query AS concept, query IN (SELECT word FROM voc) AS known, coalesce(n_neighbours, 0) AS n_neighbours, coalesce(degenerate, 0) AS degenerate, coalesce(n_passages, 0) AS n_passages FROM q LEFT JOIN n ON n.concept = query LEFT JOIN p ON p.concept = query)
-    SELECT concept, n_neighbours, CAST(degenerate AS DOUBLE) AS degenerate, n_passages, CASE WHEN known AND degenerate <= 0.5 AND n_passages > 0 THEN 'pass' ELSE 'fail' END AS status,
-        array_to_string(list_filter([CASE WHEN NOT known THEN 'vocabulary miss' END, CASE WHEN degenerate > 0.5 THEN 'degenerate neighbours' END, CASE WHEN n_passages = 0 THEN 'no passages' END], lambda z: z IS NOT NULL), '; ') AS reasons FROM x""")
+@query(f"""{PASSAGE_SQL}, {CLEAN_SQL}, voc AS (SELECT word FROM (SELECT unnest(tokens) AS word FROM clean) GROUP BY word HAVING count(*) >= 5),
+    cw AS (SELECT role, regexp_split_to_array(text, '\\s+') AS w FROM conversations), cc AS (SELECT DISTINCT string_split(text, ' ')[1] AS s, string_split(text, ' ')[2] AS t FROM benchmark),
+    ga AS (SELECT DISTINCT lower(unnest(w)) AS word FROM cw WHERE role = 'assistant'), gu AS (SELECT DISTINCT lower(unnest(w)) AS word FROM cw WHERE role = 'user'),
+    pr AS (SELECT role, lower(w[i]) AS t, w[i + 1] AS token, count(*) AS n FROM (SELECT role, w, unnest(range(1, len(w))) AS i FROM cw WHERE role IN ('assistant', 'user')) GROUP BY 1, 2, 3),
+    nb AS (SELECT t, token FROM (SELECT *, row_number() OVER (PARTITION BY role, t ORDER BY n DESC, token) AS rn FROM pr) WHERE rn <= 5),
+    dn AS (SELECT t, avg(CASE WHEN length(token) <= 2 THEN 1.0 ELSE 0.0 END) AS degenerate FROM nb GROUP BY t),
+    ps AS (SELECT query AS s, count(*) AS n FROM (SELECT DISTINCT query, doc_id, no FROM tk JOIN qn USING (token) WHERE token <> '') GROUP BY query),
+    x AS (SELECT cc.s, cc.t, cc.s IN (SELECT word FROM voc) AS known, lower(cc.t) IN (SELECT word FROM ga) AS ia, lower(cc.t) IN (SELECT word FROM gu) AS iu, coalesce(degenerate, 1) AS degenerate, coalesce(ps.n, 0) AS n FROM cc LEFT JOIN dn ON dn.t = lower(cc.t) LEFT JOIN ps ON ps.s = cc.s)
+    SELECT s AS source_token, t AS target_word, known AS in_vocabulary, ia AS in_gemma, iu AS in_glove, n AS n_passages, round(CAST(degenerate AS DOUBLE), 3) AS degenerate,
+        CASE WHEN known AND (ia OR iu) AND n > 0 THEN 'pass' ELSE 'fail' END AS status,
+        concat_ws(';', CASE WHEN NOT known THEN 'sumerian_vocab_miss' END, CASE WHEN NOT ia AND NOT iu THEN 'english_missing_both_spaces' END, CASE WHEN n = 0 THEN 'zero_etcsl_passages' END) AS reasons,
+        concat_ws(';', CASE WHEN degenerate > 0.5 THEN 'degenerate_top5' END, CASE WHEN NOT ia THEN 'english_missing_gemma' END, CASE WHEN NOT iu THEN 'english_missing_glove' END) AS warnings FROM x""")
 def preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A20 over the benchmark's first words."""
+    """A20 over the benchmark's first two words: answers' and users' words as the two spaces, the five commonest followers as neighbours."""
     w = F.split("text", SPACE)
-    pairs = F.transform(F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: i < F.size(w) - 1), lambda i: F.struct(F.get(w, i).alias("concept"), F.get(w, i + 1).alias("token")))
-    near = table(spark, sf_dir, "conversations").select(F.explode(pairs).alias("p")).select("p.*")
-    q = _queries(spark, sf_dir)
+    pairs = F.transform(F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: i < F.size(w) - 1), lambda i: F.struct(F.lower(F.get(w, i)).alias("t"), F.get(w, i + 1).alias("token")))
+    first = F.split("text", " ")
+    concepts = table(spark, sf_dir, "benchmark").select(F.get(first, 0).alias("source_token"), F.get(first, 1).alias("target_word")).distinct()
+    turns = table(spark, sf_dir, "conversations").filter("role IN ('assistant', 'user')").select("role", F.explode(pairs).alias("p")).select("role", "p.*")
+    wanted = turns.join(concepts.select(F.lower("target_word").alias("t")).distinct(), "t", "left_semi").groupBy("role", "t", "token").agg(F.count("*").alias("n"))
+    five = wanted.groupBy("role", "t").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "token"))), 1, 5).alias("x"))
+    near = concepts.select("target_word").distinct().join(five, F.lower("target_word") == F.col("t")).select("target_word", F.explode("x.token").alias("token"))
     lines = corpus.lines(table(spark, sf_dir, "documents"))
-    tokens = lines.select("doc_id", F.explode(F.array_distinct(F.transform(F.split("line", SPACE), normalize_token))).alias("token")).distinct()
-    found = tokens.join(q.select(F.col("query").alias("concept"), normalize_token(F.col("query")).alias("token")).filter("token <> ''"), "token").select("concept", "doc_id").distinct()
-    return passages.preflight(q.withColumnRenamed("query", "concept"), _vocabulary(spark, sf_dir), near.join(q.withColumnRenamed("query", "concept"), "concept", "left_semi"), found)
+    tokens = lines.select("doc_id", "line_no", F.explode(F.array_distinct(F.transform(F.split("line", SPACE), normalize_token))).alias("token"))
+    asked = concepts.select("source_token", normalize_token(F.col("source_token")).alias("token")).filter("token <> ''").distinct()
+    found = tokens.join(asked, "token").select("source_token", "doc_id", "line_no").distinct()
+    spaces = {"gemma": _words(spark, sf_dir, "conversations", "role = 'assistant'"), "glove": _words(spark, sf_dir, "conversations", "role = 'user'")}
+    return passages.preflight(concepts, _vocabulary(_frequency(spark, sf_dir)), spaces, near, found)
 
 
 # --- formats, over texts that Spark writes from the tables -----------------------------------------------------------
@@ -210,12 +328,26 @@ def match_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS line_no, array_to_string(regexp_split_to_array(trim(text), '\\s+'), ' ') AS line FROM conversations WHERE trim(text) <> ''""")
 def oracc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A conversation as a tree of lemmas, one line a turn."""
+    return corpora.lemma_lines(corpora.parse_lemmas(_trees(spark, sf_dir), "conv_id", "raw"), "conv_id")
+
+
+def _trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, raw): each conversation as a lemma tree in JSON."""
     words = F.filter(F.split(F.trim("text"), SPACE), lambda w: w != "")
     lemma = lambda w: F.struct(F.struct(F.lit("sux-x-emesal").alias("lang"), w.alias("form"), F.lower(w).alias("cf"), F.lit("N").alias("pos")).alias("f"))
     node = F.struct(F.lit("line-start").alias("type"), F.array(F.struct(F.transform(words, lemma).alias("cdl"))).alias("cdl"))
     trees = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.to_json(node).alias("x")))).alias("t"))
     raw = F.concat(F.lit('{"cdl":['), F.array_join(F.transform("t", lambda s: s["x"]), ","), F.lit("]}"))
-    return corpora.lemma_lines(corpora.parse_lemmas(trees.select("conv_id", raw.alias("raw")), "conv_id", "raw"), "conv_id")
+    return trees.select("conv_id", raw.alias("raw"))
+
+
+@query("""SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) AS INT) AS place, w AS form, lower(w) AS cf FROM (
+    SELECT conv_id, turn, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT conv_id, turn, regexp_split_to_array(trim(text), '\\s+') AS w FROM conversations WHERE trim(text) <> ''))""")
+def json_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lemmas of those trees, numbered in their order."""
+    found = corpora.parse_lemmas(_trees(spark, sf_dir), "conv_id", "raw")
+    ordered = F.array_sort(F.collect_list(F.struct("line_no", "pos", "form", "cf"))).alias("x")
+    return found.groupBy("conv_id").agg(ordered).select("conv_id", F.posexplode("x").alias("p", "l")).select("conv_id", (F.col("p") + 1).alias("place"), "l.form", "l.cf")
 
 
 @query("SELECT 'w' || vec_id AS token, CAST(len(embedding) AS INT) AS size, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total FROM embeddings")
@@ -229,14 +361,6 @@ def vectors_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streaming -------------------------------------------------------------------------------------------------------
 
 
-def _folder(spark: SparkSession, what: str) -> str:
-    """A new folder where driver and executors share one."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     # a pattern, as a stream's plain path must be a folder, and a table may be one file
     return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
@@ -244,13 +368,15 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query(f"WITH {CLEAN_SQL} SELECT token, count(*) AS n FROM (SELECT unnest(tokens) AS token FROM clean) GROUP BY token")
 def streaming_token_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _folder(spark, "tokens")
+    out = new_path(spark, "tokens")
     counts.run_available(counts.streaming_token_counts(corpus.lines(_stream(spark, sf_dir, "documents"))), out, f"{out}-state")
     return spark.read.parquet(out)
 
 
-@query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+@query("""SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n FROM events
+    WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY 1, 2""")
 def streaming_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _folder(spark, "events")
-    counts.run_available(counts.windowed_counts(_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type"), out, f"{out}-state")
+    """The days that the watermark has passed by the end of what is there."""
+    out = new_path(spark, "events")
+    counts.append_available(counts.windowed_counts(_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type"), out, f"{out}-state")
     return spark.read.parquet(out)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import anchors, corpus
+from ..operators import anchors, claims, corpus
 from .registry import query, table
 
 NORM_SQL = r"coalesce(trim(replace(translate(replace(lower(regexp_replace(translate({x},'₀₁₂₃₄₅₆₇₈₉','0123456789'),'\{{([^}}]*)\}}','\1','g')),'š','sz'),'ŋḫṣṭʾ','jhst'),'-','')),'')"
@@ -21,21 +21,21 @@ def _replace_chain(x: str) -> str:
     paren = (r"(^|[^0-9])\(([^)]*)\)", r"\1\2")
     for what, by in (
         (r"!\([^)]*\)", ""), (r"[\[\]]", ""), (r"<([^>]*)>", r"\1"), (r"\|[^|]*\|", ""), (r"\|[A-Z0-9.x+]+", ""), (r"[A-Z0-9.x+]+\|", ""),
-        (r"_[^_]*_", ""), paren, paren, (r"[#?!]", ""), (r"\{([^}]*)\}", r" \1 "),
+        (r"_[^_\s]*_", ""), paren, paren, (r"[#?!]", ""), (r"\{([^}]*)\}", r" \1 "),
     ):
         x = f"regexp_replace({x}, '{what}', '{by}', 'g')"
     return x
 
 
-TOKENS_SQL = (
-    "list_filter(list_transform(flatten(list_transform(regexp_split_to_array("
-    + _replace_chain("line")
-    + r", '\s+'), lambda t: CASE WHEN contains(t, '-') THEN list_concat([replace(t, '-', '')], string_split(t, '-')) ELSE [t] END)), "
-    "lambda t: lower(translate(t, '₀₁₂₃₄₅₆₇₈₉', '0123456789'))), "
-    r"lambda t: NOT (t = '' OR regexp_matches(t, '^\.+$') OR regexp_matches(t, '^[$%&+'']') OR (length(t) = 1 AND NOT regexp_matches(t, '^\p{L}$'))))"
-)
 LINES_SQL = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents)"
-CLEAN_SQL = f"{LINES_SQL}, clean AS (SELECT doc_id, line_no, {TOKENS_SQL} AS tokens FROM lines)"
+# a dot between its neighbours a and b stays if a ends or b begins with a digit
+CLEAN_SQL = (
+    f"{LINES_SQL}, marked AS (SELECT doc_id, line_no, {_replace_chain('line')} AS x FROM lines), "
+    r"spread AS (SELECT doc_id, line_no, array_to_string(flatten(list_transform(regexp_split_to_array(x, '\s+'), lambda t: CASE WHEN contains(t, '-') THEN list_concat([replace(t, '-', '')], string_split(t, '-')) ELSE [t] END)), ' ') AS x FROM marked), "
+    "dotless AS (SELECT doc_id, line_no, list_reduce(string_split(x, '.'), lambda a, b: a || CASE WHEN regexp_matches(right(a, 1), '[0-9]') OR regexp_matches(left(b, 1), '[0-9]') THEN '.' ELSE ' ' END || b) AS x FROM spread), "
+    r"clean AS MATERIALIZED (SELECT doc_id, line_no, list_filter(regexp_split_to_array(lower(translate(x, '₀₁₂₃₄₅₆₇₈₉', '0123456789')), '\s+'), "
+    r"lambda t: NOT (t = '' OR regexp_matches(t, '^[$%&+'']') OR (length(t) = 1 AND NOT regexp_matches(t, '^\p{L}$')))) AS tokens FROM dotless)"
+)
 
 
 @query(f"""WITH t AS (SELECT unnest(regexp_split_to_array(text, '\\s+')) AS raw FROM documents)
@@ -112,14 +112,16 @@ DICT_SQL = """lemma AS (SELECT 'u' || user_id AS cf, 'k' || CAST(json_extract(pr
     dict AS (SELECT source_token, target_word, count(*) AS frequency FROM (
         SELECT unnest(CASE WHEN cf = form THEN [cf] ELSE [cf, form] END) AS source_token, gw AS target_word FROM lemma) GROUP BY 1, 2 HAVING count(*) >= 10),
     dict_a AS (SELECT *, round(least(0.95, 0.5 + frequency / 100), 4) AS confidence, 'DICT' AS provenance FROM dict)"""
-STOP_SQL = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
+STOP_SQL = (
+    "'the','of','and','in','to','a','is','was','for','on','with','his','her','its','their','he','she','it','they','that','this','by','from','at','an','be','has','had','not','but','who','which','as','or','if','my','your'"
+)
 COOC_SQL = f"""par AS (SELECT row_number() OVER () AS r, u.text AS s, a.text AS t FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND u.role = 'user' AND a.role = 'assistant' WHERE a.text <> ''),
     sw AS (SELECT DISTINCT r, unnest(regexp_extract_all(lower(s), '([a-zA-ZšŠḫḪṭṬṣṢĝĜ]+\\d*)', 1)) AS w FROM par),
     tw AS (SELECT DISTINCT r, w FROM (SELECT r, unnest(regexp_extract_all(lower(t), '([a-z]+)', 1)) AS w FROM par) WHERE w NOT IN ({STOP_SQL})),
     tot AS (SELECT w, count(*) AS total FROM sw GROUP BY w HAVING count(*) >= 3),
     cnt AS (SELECT sw.w AS s, tw.w AS t, any_value(total) AS total, count(*) AS n FROM sw JOIN tot ON tot.w = sw.w JOIN tw ON tw.r = sw.r GROUP BY 1, 2),
-    cooc_a AS (SELECT s AS source_token, t AS target_word, n AS frequency, round(n / total, 4) AS confidence, 'COOC' AS provenance FROM (
-        SELECT *, row_number() OVER (PARTITION BY s ORDER BY n DESC, t) AS rn FROM cnt) WHERE rn = 1 AND round(n / total, 4) >= 0.3)"""
+    cooc_a AS (SELECT s AS source_token, t AS target_word, total AS frequency, round(n / total, 4) AS confidence, 'COOC' AS provenance FROM (
+        SELECT *, row_number() OVER (PARTITION BY s ORDER BY n DESC, t) AS rn FROM cnt) WHERE rn = 1 AND n / total >= 0.3)"""
 
 
 def _lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +153,7 @@ def merged_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchors.merge_anchors(anchors.dictionary_anchors(_lemmas(spark, sf_dir), 10), anchors.cooccurrence_anchors(parallel_lines(spark, sf_dir)))
 
 
-JUNK_SQL = ", ".join(f"'{w}'" for w in X.JUNK_GLOSSES)
+JUNK_SQL = "'x','xx','0','00','1','n','c','e','i','u','s','unmng','cf'"
 
 
 @query(f"""WITH w AS (SELECT unnest(regexp_split_to_array(text, '\\s+')) AS gloss FROM conversations)
@@ -163,21 +165,48 @@ def junk_gloss_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH w AS (SELECT DISTINCT lower(unnest(regexp_split_to_array(text, '\\s+'))) AS word FROM benchmark),
-    g AS (SELECT DISTINCT word, unnest(flatten(list_transform(list_filter([3, 4], lambda n: n <= length(word) + 2), lambda n: list_transform(range(1, length(word) + 4 - n), lambda i: substring('<' || word || '>', i, n))))) AS gram FROM w)
+    g AS (SELECT DISTINCT word, unnest(flatten(list_transform(list_filter([3, 4, 5, 6], lambda n: n <= length(word) + 2), lambda n: list_transform(range(1, length(word) + 4 - n), lambda i: substring('<' || word || '>', i, n))))) AS gram FROM w)
     SELECT gram, count(*) AS n_words FROM g GROUP BY gram""")
 def ngram_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), X.SPACE)).alias("word")).distinct()
-    return words.select(F.explode(X.ngrams(F.col("word"), 3, 4)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n_words"))
+    return words.select(F.explode(X.ngrams(F.col("word"), 3, 6)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n_words"))
+
 
+def score_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, line): each event as a sentence that claims two numbers."""
+    claim = lambda by: F.format_string("%.4f", ((F.col("event_id") * by) % 30001 - 15000) / 10000)
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), "event_id", F.concat(F.lit("  Event "), "event_id", F.lit(" of "), "event_type", F.lit(" scored "), claim(37), F.lit(" against "), claim(91), F.lit(".")).alias("line"))
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents),
-    c AS (SELECT doc_id, no, line, unnest(regexp_extract_all(line, '-?\\d+\\.\\d{1,4}')) AS claim FROM l)
-    SELECT doc_id, CAST(no AS INT) AS line_no, claim, substring(line, 1, 120) AS context, count(*) AS n FROM c WHERE CAST(claim AS DOUBLE) BETWEEN -1 AND 1 GROUP BY ALL""")
+
+SCORES_SQL = """score_lines AS (SELECT user_id AS doc_id, event_id, '  Event ' || event_id || ' of ' || event_type || ' scored ' || printf('%.4f', ((event_id * 37) % 30001 - 15000) / 10000.0) || ' against ' || printf('%.4f', ((event_id * 91) % 30001 - 15000) / 10000.0) || '.' AS line FROM events)"""
+CLAIMS_SQL = f"""{SCORES_SQL}, claims AS (SELECT doc_id, event_id, CAST(claim AS DOUBLE) AS value, context FROM (
+    SELECT doc_id, event_id, unnest(regexp_extract_all(line, '-?\\d+\\.\\d{{1,4}}')) AS claim, substring(trim(line), 1, 120) AS context FROM score_lines) WHERE CAST(claim AS DOUBLE) BETWEEN -1 AND 1)"""
+
+
+@query(f"WITH {CLAIMS_SQL} SELECT doc_id, event_id, value, context, count(*) AS n FROM claims GROUP BY ALL")
 def numeric_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P18."""
-    lines = corpus.lines(table(spark, sf_dir, "documents"))
-    claims = lines.select("doc_id", (F.col("line_no") + 1).alias("line_no"), F.explode(F.regexp_extract_all("line", F.lit(r"(-?\d+\.\d{1,4})"), 1)).alias("claim"), F.substring("line", 1, 120).alias("context"))
-    return claims.filter(F.col("claim").cast("double").between(-1, 1)).groupBy("doc_id", "line_no", "claim", "context").agg(F.count("*").alias("n"))
+    return claims.numeric_claims(score_lines(spark, sf_dir)).groupBy("doc_id", "event_id", "value", "context").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {CLAIMS_SQL}, metrics AS (SELECT DISTINCT round(CAST(x AS DOUBLE), 6) AS value FROM (SELECT unnest(embedding) AS x FROM embeddings WHERE vec_id % 50 = 0))
+    SELECT supported, count(*) AS n, count(DISTINCT value) AS n_values FROM (SELECT value, EXISTS (SELECT 1 FROM metrics m WHERE abs(m.value - c.value) <= 0.001) AS supported FROM claims c) GROUP BY supported""")
+def claims_in_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P20: claims that some metric supports, and those that none does."""
+    metrics = table(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0").select(F.explode("embedding").alias("x")).select(F.round(F.col("x").cast("double"), 6).alias("value")).distinct()
+    found = claims.supported(claims.numeric_claims(score_lines(spark, sf_dir)), metrics)
+    return found.groupBy("supported").agg(F.count("*").alias("n"), F.count_distinct("value").alias("n_values"))
+
+
+@query("""WITH d AS (SELECT doc_id, text, strpos(text, chr(10)) AS cut FROM documents), a AS (SELECT doc_id, CASE WHEN cut > 0 THEN substring(text, 1, cut - 1) ELSE text END AS body, CASE WHEN cut > 0 THEN substring(text, cut + 1) ELSE '' END AS appendix FROM d),
+    c AS (SELECT DISTINCT doc_id, appendix, unnest(regexp_extract_all(body, '[\\x{C0}-\\x{17F}]')) AS ch FROM a)
+    SELECT ch AS codepoint, count(*) FILTER (contains(appendix, ch)) AS n_covered, count(*) FILTER (NOT contains(appendix, ch)) AS n_missing FROM c GROUP BY ch""")
+def provenance_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signs of a document's first line that the rest, as its appendix, has or lacks."""
+    text = F.col("text")
+    marked = F.concat(F.substring_index(text, "\n", 1), F.lit("\n## Appendix: sign provenance\n"), F.when(text.contains("\n"), F.expr("substring(text, instr(text, '\n') + 1)")).otherwise(""))
+    found = claims.provenance(table(spark, sf_dir, "documents").select("doc_id", marked.alias("text")), "doc_id", "text", r"[\x{C0}-\x{17F}]")
+    return found.groupBy("codepoint").agg(F.count_if("covered").alias("n_covered"), F.count_if(~F.col("covered")).alias("n_missing"))
 
 
 @query("""SELECT lang, ch AS codepoint, count(*) AS n_docs FROM (SELECT DISTINCT doc_id, lang, unnest(regexp_extract_all(text, '[\\x{C0}-\\x{17F}]')) AS ch FROM documents) GROUP BY 1, 2""")

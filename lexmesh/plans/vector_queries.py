@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import norm, pad, unit
 from ..operators import lenses, linalg, lookup
 from ..operators.knn import pair_report
+from ..storage import settle
 from .registry import query, table
 
 QUERY = "id % 50 = 0"
@@ -49,10 +50,10 @@ def tokens(spark: SparkSession, sf_dir: str, part: str, lead: str) -> DataFrame:
     return space(spark, sf_dir, part).withColumn("token", F.concat(F.lit(lead), "id"))
 
 
-@query(f"WITH {RAW_SQL} SELECT id, round(sqrt(list_dot_product(v, v)), 6) AS norm, round(v[1] / sqrt(list_dot_product(v, v)), 6) AS x1 FROM raw")
+@query(f"WITH {RAW_SQL} SELECT id, round(sqrt(list_dot_product(v, v)), 6) AS norm, round(list_sum(list_transform(range(1, 65), lambda i: i * v[i])) / sqrt(list_dot_product(v, v)), 6) AS weighted FROM raw")
 def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.transform("embedding", lambda x: x.cast("double"))
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.round(norm(v), 6).alias("norm"), F.round(F.get(unit(v), 0), 6).alias("x1"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.round(norm(v), 6).alias("norm"), F.round(F.aggregate(F.transform(unit(v), lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x), 6).alias("weighted"))
 
 
 @query(f"WITH {RAW_SQL} SELECT id, CAST(2 * len(v) AS INT) AS size, round(list_sum(v), 6) AS total FROM raw")
@@ -198,9 +199,9 @@ DIV_SQL = f"""WITH {SPACE_SQL}, qa AS (SELECT id, a AS v FROM e WHERE {QUERY}),
     div AS (SELECT ta.qid AS id, round(1 - count(tb.id) / (20 - count(tb.id)), 6) AS jaccard FROM ta LEFT JOIN tb ON tb.qid = ta.qid AND tb.id = ta.id GROUP BY ta.qid)"""
 
 
-def _divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _divergence(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     a, b = space(spark, sf_dir, "a"), space(spark, sf_dir, "b")
-    return lenses.divergence(a.filter(QUERY), a, b.filter(QUERY), b)
+    return lenses.divergence(a.filter(QUERY), a, b.filter(QUERY), b, k)
 
 
 @query(f"{DIV_SQL} SELECT * FROM div ORDER BY jaccard DESC, id LIMIT 50")
@@ -264,7 +265,18 @@ def atlas_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-query()(atlas_summary)
+def _first_sql(lens: str, sql: str, item: str, value: str, least: str) -> str:
+    return f"SELECT '{lens}' AS lens, coalesce((SELECT {item} FROM ({sql}) x ORDER BY {least}, length({item}), {item} LIMIT 1), 'n/a') AS item, (SELECT {value} FROM ({sql}) x ORDER BY {least}, length({item}), {item} LIMIT 1) AS value"
+
+
+query(" UNION ALL ".join([
+    _first_sql("lens1", f"{LENS1_SQL} SELECT * FROM d", "source_token", "cos", "cos"),
+    _first_sql("lens2", LENS2_SQL, "CAST(id AS VARCHAR)", "score", "-score"),
+    _first_sql("lens3", f"{ISO_SQL} SELECT * FROM iso", "CAST(id AS VARCHAR)", "distance", "-distance"),
+    _first_sql("lens4", f"{DIV_SQL} SELECT * FROM div", "CAST(id AS VARCHAR)", "jaccard", "-jaccard"),
+    _first_sql("lens5", f"{PAIRS_SQL} SELECT * FROM p WHERE score >= 0.35", "a || '-' || b", "score", "-score"),
+    _first_sql("lens6", f"{BRIDGE_SQL} SELECT * FROM br", "CAST(id AS VARCHAR)", "bridge", "-bridge"),
+]))(atlas_summary)
 
 
 # --- linear algebra -------------------------------------------------------------------------------------------------
@@ -278,6 +290,9 @@ def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.join(pairs, "id").join(y, "gold").select("id", "vec", "y", "gold")
 
 
+ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0, 1000.0, 10_000.0, 100_000.0)
+
+
 def _aligned(spark: SparkSession, sf_dir: str, alphas: tuple[float, ...]) -> DataFrame:
     rows = _training(spark, sf_dir)
     g = linalg.gram(rows.filter(~linalg.is_test(F.col("id"))), "vec", "y")
@@ -298,8 +313,9 @@ def ridge_align_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def alpha_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One pass of sums, several penalties."""
-    return _aligned(spark, sf_dir, (0.01, 1.0, 100.0, 1000.0))
+    """One pass of sums, eight penalties; delta is to the first one's accuracy."""
+    swept = settle(_aligned(spark, sf_dir, ALPHAS))
+    return linalg.deltas(swept, swept.filter(F.col("alpha") == ALPHAS[0]).select("k", "accuracy"), "k", "accuracy")
 
 
 @query()
@@ -310,7 +326,7 @@ def ridge_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = linalg.gram(_training(spark, sf_dir), "vec", "y")
     coef, bias = linalg.ridge(g, 100.0)
     p = linalg.apply_linear(space(spark, sf_dir, "a").select("id", "vec"), "vec", coef, bias)
-    return p.select("id", F.array_join(F.transform(F.slice("projected", 1, 4), lambda x: F.format_number(half_precision(x), 5)), ",").alias("head"))
+    return p.select("id", F.array_join(F.transform("projected", lambda x: F.format_number(half_precision(x), 5)), ",").alias("projected"))
 
 
 @query(f"""WITH {RAW_SQL}, x AS (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM raw), s AS (SELECT pos, avg(x) AS m, var_samp(x) AS var FROM x GROUP BY pos)
@@ -377,8 +393,8 @@ def word2vec_space(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.corpus import lines
 
     words = lines(table(spark, sf_dir, "documents")).select(clean_tokens(F.col("line")).alias("w")).filter(F.size("w") > 0)
-    model = Word2Vec(vectorSize=16, windowSize=10, minCount=5, maxIter=1, numPartitions=8, seed=42, inputCol="w", outputCol="v").fit(words)
-    return model.getVectors().select("word", norm(vector_to_array("vector")).alias("norm"))
+    model = Word2Vec(vectorSize=32, windowSize=10, minCount=5, maxIter=2, numPartitions=8, seed=42, inputCol="w", outputCol="v").fit(words)
+    return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
 
 
 # --- extensions ------------------------------------------------------------------------------------------------------
@@ -420,21 +436,59 @@ def distance_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grid(spark, sf_dir).withColumn("diff", F.round(F.col("da") - F.col("db"), 6))
 
 
-@query(f"{GRID_SQL} SELECT a, b, CASE WHEN db / da >= 1.2 THEN 'merge' ELSE 'split' END AS kind FROM g WHERE da >= 0.01 AND db >= 0.01 AND (db / da >= 1.2 OR da / db >= 1.2)")
+@query(f"{GRID_SQL} SELECT a, b, CASE WHEN db / da >= 2 THEN 'merge' ELSE 'split' END AS kind FROM g WHERE da >= 0.01 AND db >= 0.01 AND (db / da >= 2 OR da / db >= 2)")
 def merge_split_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs whose distances in the two spaces differ by a factor."""
-    g = _grid(spark, sf_dir).filter("da >= 0.01 AND db >= 0.01")
-    merged = F.col("db") / F.col("da") >= 1.2
-    return g.filter(merged | (F.col("da") / F.col("db") >= 1.2)).select("a", "b", F.when(merged, "merge").otherwise("split").alias("kind"))
+    """Pairs whose distances in the two spaces differ by a factor of two."""
+    return lenses.merges_splits(_grid(spark, sf_dir))
 
 
-@query(f"{DIV_SQL} SELECT id, round(1 - jaccard, 6) AS similarity FROM div")
+NEAR20_SQL = DIV_SQL.replace("rank <= 10", "rank <= 20").replace("(20 - count(tb.id))", "(40 - count(tb.id))")
+
+
+@query(f"{NEAR20_SQL} SELECT id, round(1 - jaccard, 6) AS similarity FROM div")
 def neighborhood_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """N3."""
-    return _divergence(spark, sf_dir).select("id", F.round(1 - F.col("jaccard"), 6).alias("similarity"))
+    """Share of the twenty nearest that two spaces have in common."""
+    return _divergence(spark, sf_dir, 20).select("id", F.round(1 - F.col("jaccard"), 6).alias("similarity"))
+
+
+@query(f"""WITH {SPACE_SQL}, {CENTER_SQL} SELECT CAST(e.label AS BIGINT) AS label, count(*) AS n, round(avg(1 - greatest(-1, least(1, list_dot_product(e.f, c.v)))), 6) AS spread FROM e JOIN c USING (label) GROUP BY e.label""")
+def cluster_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean cosine distance of a label's tokens to their centroid."""
+    return lenses.spread(space(spark, sf_dir), "label")
+
+
+RANK_SQL = f"""{GRID_SQL}, ms AS (SELECT x.label AS d, count(*) FILTER (db / da >= 1.2) AS merges, count(*) FILTER (da / db >= 1.2) AS splits FROM (SELECT DISTINCT CAST(label AS BIGINT) AS label FROM e) x LEFT JOIN g ON (g.a = x.label OR g.b = x.label) AND da >= 0.01 AND db >= 0.01 GROUP BY x.label),
+    {DIV_SQL.removeprefix(f"WITH {SPACE_SQL}, ")}, sj AS (SELECT CAST(e.label AS BIGINT) AS d, avg(1 - jaccard) AS similarity FROM div JOIN e ON e.id = div.id GROUP BY e.label)"""
+
+
+@query(f"{RANK_SQL} SELECT d AS domain, merges, splits, round(2 * merges + 2 * splits + 5 * (1 - coalesce(similarity, 0)), 6) AS score FROM ms LEFT JOIN sj USING (d)")
+def rank_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels by how differently two spaces place them: pairs that come together or part by a fifth, and neighbours that change."""
+    e = space(spark, sf_dir).select("id", "label")
+    similar = _divergence(spark, sf_dir).join(e, "id").groupBy("label").agg(F.avg(1 - F.col("jaccard")).alias("similarity"))
+    return lenses.rank_domains(e.select("label").distinct(), lenses.merges_splits(_grid(spark, sf_dir), 1.2), similar)
 
 
 @query()
+def permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By label, the chance that tokens dealt at random diverge as much between two spaces as the label's own."""
+    e = space(spark, sf_dir).select("id", F.col("label").alias("grp"))
+    return lenses.permutation_test(_divergence(spark, sf_dir).join(e, "id").select("grp", "id", F.col("jaccard").alias("value")), 999)
+
+
+@query(f"""WITH {SPACE_SQL}, {ANCHOR_SQL}, cp AS (SELECT source_id, target_id FROM anch WHERE source_id % 50 = 0), qa AS (SELECT DISTINCT e.id, a AS v FROM e JOIN cp ON cp.target_id = e.id), qb AS (SELECT DISTINCT e.id, b AS v FROM e JOIN cp ON cp.target_id = e.id),
+    {_top_sql('qa', 'a', 10, name='ta')}, {_top_sql('qb', 'b', 10, name='tb')}
+    SELECT cp.source_id, cp.target_id, ta.rank, ta.id AS a_id, tb.id AS b_id, round(1 - round(greatest(-1, least(1, list_dot_product(x.a, y.a))), 6), 6) AS a_distance, round(1 - round(greatest(-1, least(1, list_dot_product(x.b, y.b))), 6), 6) AS b_distance
+    FROM cp JOIN ta ON ta.qid = cp.target_id JOIN tb ON tb.qid = cp.target_id AND tb.rank = ta.rank JOIN e x ON x.id = source_id JOIN e y ON y.id = target_id""")
+def concept_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q9: for each concept the ten nearest in both spaces side by side, and how far its translation lies in each."""
+    concepts = anchors(spark, sf_dir).filter("source_id % 50 = 0").select("source_id", "target_id")
+    spaces = {part: space(spark, sf_dir, part) for part in ("a", "b")}
+    return lookup.concept_tables(concepts, spaces)
+
+
+@query(f"""WITH {SPACE_SQL}, x AS (SELECT id, unnest(f) AS x, generate_subscripts(f, 1) AS i FROM e), m AS (SELECT i, avg(x) AS m FROM x GROUP BY i), c AS (SELECT id, x.i, x - m AS x FROM x JOIN m USING (i)),
+    cov AS (SELECT p.i, q.i AS j, avg(p.x * q.x) AS v FROM c p JOIN c q USING (id) GROUP BY 1, 2) SELECT (SELECT count(*) FROM e) AS n, round(power(sum(v) FILTER (i = j), 2) / sum(v * v), 6) AS participation FROM cov""")
 def cluster_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Participation ratio of the whole space's covariance."""
     import numpy as np

@@ -5,13 +5,16 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from ..functions.text import neutralize_entities
 
 
+NUMBERED = r"^\d+[.']\s+(.*)$"
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of whole files."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
@@ -22,22 +25,25 @@ def parse_atf(files: DataFrame, path: str = "path", text: str = "text") -> DataF
 
     '&P... = name' opens a block, '#atf: lang' sets the language from there on; a line counts if it is numbered and the
     language holds where it stands, a block if the language holds at its end. A malformed header closes the block before it.
+    A file is cut into blocks first and each block is read within its row, so a long dump is never one task's sorted group.
     """
-    lines = files.select(F.col(path).alias("path"), F.posexplode(F.split(text, "\r?\n")).alias("pos", "raw"))
-    line = F.trim("raw")
-    here = Window.partitionBy("path").orderBy("pos")
-    x = lines.withColumn("block", F.sum(line.startswith("&").cast("int")).over(here)).filter("block > 0")
-    within = Window.partitionBy("path", "block").orderBy("pos")
-    language = F.when(line.startswith("#atf:") & line.contains("lang"), line.rlike(r"^#atf:\s*lang\s+sux"))
-    x = x.withColumn("sux", F.coalesce(F.last(language, True).over(within), F.lit(False)))
-    header = r"^&(P\d+)\s*=\s*(.*)$"
-    x = x.withColumns({"p_number": F.first(F.regexp_extract(line, header, 1)).over(within), "designation": F.first(F.regexp_extract(line, header, 2)).over(within)})
-    ends = F.last("sux").over(within.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    numbered = r"^\d+[.']\s+(.*)$"
-    kept = x.withColumn("ends", ends).filter(F.col("ends") & F.col("sux") & (F.col("p_number") != "") & line.rlike(numbered))
-    kept = kept.select("path", "p_number", "designation", "block", "pos", F.trim(F.regexp_extract(line, numbered, 1)).alias("line")).filter("line <> ''")
-    number = F.row_number().over(Window.partitionBy("path", "block").orderBy("pos"))
-    return kept.withColumn("line_no", number).select("path", "p_number", "designation", "line_no", "line")
+    whole = F.concat(F.lit("\n"), F.regexp_replace(text, "\r\n", "\n"))
+    blocks = files.select(F.col(path).alias("path"), F.posexplode(F.slice(F.split(whole, r"\n(?=[ \t]*&)"), 2, 1 << 30)).alias("block", "body"))
+    lines = F.transform(F.split("body", "\n"), lambda x: F.trim(x))
+    named = F.array(*[F.regexp_extract(F.get("lines", 0), r"^&(P\d+)\s*=\s*(.*)$", k) for k in (1, 2)])
+    x = blocks.select("path", "block", lines.alias("lines")).withColumn("head", named).filter(F.get("head", 0) != "")
+
+    def step(state: Column, line: Column) -> Column:
+        language = line.startswith("#atf:") & line.contains("lang")
+        sux = F.when(language, line.rlike(r"^#atf:\s*lang\s+sux")).otherwise(state["sux"])
+        own = F.trim(F.regexp_extract(line, NUMBERED, 1))
+        kept = F.when(sux & (own != ""), F.concat(state["kept"], F.array(own))).otherwise(state["kept"])
+        return F.struct(sux.alias("sux"), kept.alias("kept"))
+
+    zero = F.struct(F.lit(False).alias("sux"), F.array().cast("array<string>").alias("kept"))
+    read = x.withColumn("read", F.aggregate("lines", zero, step)).filter("read.sux")
+    each = read.select("path", F.get("head", 0).alias("p_number"), F.get("head", 1).alias("designation"), F.posexplode("read.kept").alias("pos", "line"))
+    return each.select("path", "p_number", "designation", (F.col("pos") + 1).alias("line_no"), "line")
 
 
 def parse_tei_lines(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:

@@ -14,7 +14,8 @@ def streaming_token_counts(lines: DataFrame, line: str = "line") -> DataFrame:
 
 
 def windowed_counts(events: DataFrame, time: str, key: str, width: str = "1 day", late: str = "1 day") -> DataFrame:
-    """Counts by tumbling window and key; rows later than ``late`` are left out, and a window's state goes when it has passed."""
+    """Counts by tumbling window and key. In append mode a window comes out once, when the watermark (the latest time less late)
+    has passed it; its state goes then, and rows for it that come later are left out."""
     w = F.window(time, width)
     return events.withWatermark(time, late).groupBy(w.alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), key, "n")
 
@@ -26,3 +27,8 @@ def run_available(df: DataFrame, path: str, checkpoint: str) -> None:
         batch.write.mode("overwrite").parquet(path)
 
     df.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+
+
+def append_available(df: DataFrame, path: str, checkpoint: str) -> None:
+    """Process what is there and stop; finished windows are appended to the files at path."""
+    df.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

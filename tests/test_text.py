@@ -35,7 +35,7 @@ def test_ngrams_skip_lengths_beyond_the_word(spark):
     assert [sorted(x) for x in one(spark, lambda c: X.ngrams(c, 3, 6), "ab", "")] == [["<ab", "<ab>", "ab>"], []]
 
 
-@pytest.mark.parametrize("gloss,junk", [("x", True), ("12", True), ("345", True), ("~abc", True), ("unknown", True), ("king", False), (" King ", False)])
+@pytest.mark.parametrize("gloss,junk", [("x", True), ("12", True), ("345", True), ("~abc", True), ("unknown", False), ("unmng", True), ("xx", True), ("king", False), (" King ", False)])
 def test_junk_gloss(spark, gloss, junk):
     assert one(spark, X.is_junk_gloss, gloss) == [junk]
 
