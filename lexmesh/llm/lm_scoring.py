@@ -1,327 +1,290 @@
 """Operator 5, language-model scoring by a weighted backoff automaton.
 
-Every n-gram of two and three words that occurs twice or more in the training texts is an arc, whatever the size of the
-corpus; so the model grows with it, and no part of the model is held whole by the driver or any task. A block of documents
-sends the keys of its distinct n-grams, with their counts in its training texts, to the buckets of the keys' ranges; a bucket
-adds up and answers each block with the corpus-wide counts of just the block's own n-grams that are arcs. An n-gram can't be
-more frequent than its parts, so a block that has an arc also has all of the arcs and counts below it: one block for each arc
-adds the arc's share to its history's sums, from which come the failure weights (absolute discounting leaves each history the
-mass of its failure arc), and these go to the blocks by the same buckets.
-
-A state is the last two words, so all places of a block's texts are scored at once: the token's arc from the state adds its
-log10 probability; without one the failure arc adds its weight and leads to the shorter history, down to the root, whose arcs
-are all tokens; tokens never seen in training share the root's unseen mass. ``automaton`` is the same model in one table.
-
-Defined cases: a null text is empty, so it is the end token alone. Without training documents all scores fall on the unseen
-mass. Repeated rows are scored each on its own; a null id counts as training. Very long texts are walked whole; a block is
-``block_rows`` rows. Only the named columns are read, so extra columns can't clash.
+The model is smoothed counts of one, two and three tokens. A state is the last two tokens (the place before a text counts as
+one). A token that followed the state in training has an arc; every other token takes the failure arcs to the shorter
+histories, down to the root. With c the counts, N the tokens and V the distinct tokens of training, and K a constant::
+
+    root    p(w)    = (c(w) + 1) / (N + V + 1)                    one more class stands for all tokens never seen
+    state   p(w|h)  = (c(hw) + K p(w|h')) / (c(h) + K)            h' is h without its first token
+    failure weight  = K / (c(h) + K)
+
+so every state's probabilities add up to one. Every n-gram of the training texts is an arc, whatever the size of the corpus.
+A training text is scored by the model of the *other* training texts (its own counts are taken off), so that a text is not
+judged by what it alone taught, and training and held-out texts compare; base_score and n_known keep all counts.
+
+How it runs: the model is held whole nowhere. Documents are dealt to blocks of neighbouring rows of like size. A block sends
+the keys of its distinct n-grams, with their training counts, to the buckets of the keys' ranges; a bucket adds up and
+answers each block, in the order of its keys, how often its n-grams occur in the other blocks. Then the block's texts are
+walked left to right, all texts at once, and each adds up its log-probabilities. Keys are hashes of
+``KEY_BITS`` more bits than the corpus has bytes (64 at most), so two n-grams share one by a chance of 2^-KEY_BITS or so.
+
+Defined cases: a null text is empty, so it is the end token alone. Without training documents every token has probability
+one. Repeated rows are scored each on its own; a null in the training column counts as held out. Very long texts are walked
+whole, each in a block of its own. Only the named columns are read, so extra columns can't clash.
 """
 
 from __future__ import annotations
 
-import math
-from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
 
 from .common import settle
 from .near_duplicates import GAMMA, mix
 
 END = b"\n"  # no word holds a newline
-DISCOUNT = 0.75
-BEGIN = 0  # in ``automaton``, the number of the place before a text
-BEGIN_KEY = 0x5851F42D4C957F2D  # in blocks, its key
-BUCKET_BYTES = 4_000_000  # text of the corpus for each bucket of keys
-LEAST = 2  # occurrences that make an n-gram an arc
+K = 4.0
+BLOCK_BYTES = 16_000_000  # text of a block is less than twice this, unless it is one text
+BUCKET_BYTES = 8_000_000  # text of the corpus for each bucket of keys
+KEY_BITS = 20
+SPAN = 1 << 20  # bytes hashed at once
+END_KEY, BEGIN_KEY = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x5851F42D4C957F2D)
+
+_BASE = 0x9E3779B97F4A7C15
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+with np.errstate(over="ignore"):
+    _VALUE = mix(np.arange(1, 257, dtype=np.uint64) * GAMMA)  # of each byte, that of a-z for A-Z
+_VALUE[65:91] = _VALUE[97:123]
+
 
 def tokens_of(text: str | None) -> list[bytes]:
+    """A text's tokens one by one, as ``places`` finds them."""
     return (text or "").encode(errors="replace").lower().split() + [END]
 
 
-def in_blocks(docs: DataFrame, doc_id: str, text: str, train: str, block_rows: int) -> DataFrame:
-    """(doc_id, text, train, block): blocks of neighbouring rows, by the rows' places in their files; docs of no file are written first."""
-    cols = [F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(train).alias("train")]
+@lru_cache(2)
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, base, np.uint64)]), dtype=np.uint64)
+
+
+def token_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each token, bytes starts to ends of data: a polynomial in the bytes' values, from prefix sums over spans of data."""
+    out = np.empty(len(starts), np.uint64)
+    power, back = _powers(_BASE, SPAN), _powers(pow(_BASE, -1, 1 << 64), SPAN)
+    a = 0
+    while a < len(starts):
+        low = int(starts[a])
+        b = max(a + 1, int(np.searchsorted(ends, low + SPAN, "right")))
+        size = int(ends[b - 1]) - low
+        if size > SPAN:  # one token longer than a span
+            power, back = _powers(_BASE, size), _powers(pow(_BASE, -1, 1 << 64), size)
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(_VALUE[data[low : low + size]] * power[:size], dtype=np.uint64)])
+        s, e = starts[a:b] - low, ends[a:b] - low
+        out[a:b] = mix((sums[e] - sums[s]) * back[s] + (e - s).astype(np.uint64))
+        a = b
+    return out
+
+
+def places(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, number of the text, whether it is the place before a text) of the places of all texts: each has one more than tokens."""
+    texts = texts.cast(pa.large_string())
+    n = len(texts)
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, np.int64)
+    whole = texts.buffers()[2] if n else None
+    data = np.frombuffer(whole, np.uint8)[bounds[0] : bounds[-1]] if whole and bounds[-1] > bounds[0] else np.empty(0, np.uint8)
+    bounds = bounds - bounds[0]
+    word = ~_SPACE[data]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[bounds] = True
+    starts = np.flatnonzero(word & (cut[:-1] | ~np.append(False, word[:-1])))
+    ends = np.flatnonzero(word & (cut[1:] | ~np.append(word[1:], False))) + 1
+    of = np.searchsorted(bounds, starts, "right") - 1
+    sizes = np.bincount(of, minlength=n) + 2
+    text = np.repeat(np.arange(n), sizes)
+    last = np.cumsum(sizes) - 1
+    keys = np.empty(len(text), np.uint64)
+    keys[np.arange(len(starts)) + 2 * of + 1] = token_hashes(data, starts, ends)
+    keys[last] = END_KEY
+    begin = np.zeros(len(text), bool)
+    begin[last - sizes + 1] = True
+    keys[begin] = BEGIN_KEY
+    return keys, text, begin
+
+
+def grams(texts: pa.Array, order: int, bits: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
+    """(keys, which places have one) of the n-grams of one to order tokens that end in each place; number of the text, place before a text.
+
+    The two lowest bits of a key are the tokens less one, or 3 for the place before a text.
+    """
+    t, text, begin = places(texts)
+    short = lambda x, kind: (x >> np.uint64(66 - bits) << np.uint64(2)) | np.asarray(kind, np.uint64)
+    keys, there = [short(t, np.where(begin, 3, 0))], [np.ones(len(t), bool)]
+    before = t
+    for k in range(1, order):
+        now = np.zeros(len(t), np.uint64)
+        now[1:] = mix(before[:-1] * GAMMA + t[1:] + np.uint64(k))
+        keys.append(short(now, k))
+        there.append(~begin & np.append(False, there[-1][:-1]) if k > 1 else ~begin)
+        before = now
+    return keys, there, text, begin
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers of at least 0 as planes of bytes, least byte first, as many as the largest needs."""
+    n = (int(x.max(initial=0)).bit_length() + 7) // 8
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T).tobytes()
+
+
+def unpacked(x: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    if n and x:
+        out[:, : len(x) // n] = np.frombuffer(x, np.uint8).reshape(-1, n).T
+    return out.view("<u8")[:, 0]
+
+
+BLOCKS = "block long, heads binary, texts binary"
+
+
+def in_blocks(docs: DataFrame, doc_id: str, text: str, train: str) -> DataFrame:
+    """BLOCKS: rows packed by block; neighbouring rows of a file of one size class (by powers of two) make a block."""
+    cols = [F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.coalesce(F.col(train), F.lit(False)).alias("train")]
+    kind = F.greatest(F.lit(9), F.floor(F.log2(F.coalesce(F.octet_length("text"), F.lit(0)) + 1))).cast("int")
+    rows = F.greatest(F.lit(1), F.floor(F.lit(BLOCK_BYTES) / F.pow(F.lit(2.0), kind))).cast("long")
     try:
-        placed = docs.select(*cols, F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / block_rows)).alias("block"))
+        placed = docs.select(*cols, F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
         placed.schema
-        return placed
-    except AnalysisException:
-        return settle(docs.select(*cols, F.floor(F.monotonically_increasing_id() / block_rows).alias("block")))
+    except AnalysisException:  # rows of no file are written first
+        placed = settle(docs.select(*cols, F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at")))
+    placed = placed.select(F.xxhash64("file", kind, F.floor(F.col("at") / rows)).alias("block"), "doc_id", "text", "train")
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            block = b.column(0).to_numpy()
+            order = np.argsort(block, kind="stable")
+            ends = np.flatnonzero(np.append(np.diff(block[order]) != 0, True)) + 1 if len(block) else []
+            for lo, hi in zip([0, *ends], ends):
+                part = b.take(pa.array(order[lo:hi]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([int(block[order[lo]])]), pa.array([framed(part.select([1, 3]))], pa.binary()), pa.array([framed(part.select([2]))], pa.binary())],
+                    ["block", "heads", "texts"],
+                )
 
-def packed(x: np.ndarray) -> bytes:
-    """Whole numbers as planes of bytes: of sorted keys and of small counts the high planes compress to almost nothing."""
-    return np.ascontiguousarray(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes()
+    return placed.mapInArrow(work, BLOCKS)
 
 
-def unpacked(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """(numbers of all rows, how many each row has) of a column of packed."""
-    parts = [np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(np.int64)[:, 0] for x in column.to_pylist()]
-    return np.concatenate([np.empty(0, np.int64), *parts]), np.array([len(x) for x in parts], np.int64)
+def framed(batch: pa.RecordBatch) -> bytes:
+    """An Arrow stream of one batch, compressed."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
 
-def stream(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, number of the text, whether it is the place before a text) of the places of all texts: each has one more than tokens."""
-    place: dict[bytes, int] = {}
-    put, flat, sizes = place.setdefault, array("i"), []
-    for x in texts:
-        own = [put(t, len(place)) for t in tokens_of(x)]
-        flat.append(-1)
-        flat.extend(own)
-        sizes.append(len(own) + 1)
-    keys = np.append(np.fromiter(map(xxhash.xxh64_intdigest, place), np.uint64, len(place)), np.uint64(BEGIN_KEY))
-    ids = np.frombuffer(flat, np.int32)
-    return keys[ids], np.repeat(np.arange(len(sizes)), sizes), ids < 0
-
-
-def ngrams(t: np.ndarray, begin: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(key, whether there is one) of the bigram and the trigram, up to order, that end in each place."""
-    out = []
-    before, there = t, np.ones(len(t), bool)
-    for _ in range(2, order + 1):
-        key = np.zeros(len(t), np.uint64)
-        key[1:] = mix(before[:-1] * GAMMA + before[1:] + np.uint64(1))
-        there = ~begin & np.append(False, there[:-1])
-        out.append((key, there))
-        before = key
-    return out
+def block_rows(packed_rows: pa.Table) -> pa.Table:
+    """(doc_id, train, text) of a block's packed rows."""
+    read = lambda name: pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in packed_rows.column(name).to_pylist()])
+    return read("heads").append_column("text", read("texts").column(0)).combine_chunks()
 
 
-def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Buckets are ranges of the keys as unsigned numbers."""
-    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+def one(column: pa.ChunkedArray) -> pa.Array:
+    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
 
-def block_ngrams(docs: DataFrame, order: int, buckets: int) -> DataFrame:
-    """(bucket, block, keys, least, n): the distinct tokens and n-grams of each block, how often one must occur, its count in training texts."""
+def flat(keys: list[np.ndarray], there: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([k[t] for k, t in zip(keys, there)])
 
-    def rows(block: int, texts: list[str | None], train: list[bool]) -> Iterator[pa.RecordBatch]:
-        t, of, begin = stream(texts)
-        learn = np.array(train, bool)[of]
-        keys, counts, kinds = [], [], []
-        for kind, (k, there) in enumerate([(t, begin), (t, ~begin), *ngrams(t, begin, order)]):
-            u, at = np.unique(k[there], return_inverse=True)
-            keys.append(u), counts.append(np.bincount(at, learn[there], len(u)).astype(np.int64)), kinds.append(np.full(len(u), kind, np.int64))
-        k, n, kind = np.concatenate(keys), np.concatenate(counts), np.concatenate(kinds)
-        by = np.argsort(k, kind="stable")
-        k, n, kind = k[by], n[by], kind[by]
-        bucket = bucket_of(k, buckets)
-        ends = np.flatnonzero(np.append(np.diff(bucket) > 0, True)) + 1
-        starts = np.append(0, ends[:-1])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(bucket[starts]), pa.array(np.full(len(starts), block))]
-            + [pa.array([packed(x[a:b]) for a, b in zip(starts, ends)], pa.binary()) for x in (k.view(np.int64), kind, n)],
-            ["bucket", "block", "keys", "kind", "n"],
-        )
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, texts, train, size = None, [], [], 0
-        for b in batches:
-            for block, learn, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if texts and (block != now or size > 8_000_000):  # a block may send several rows to a bucket
-                    yield from rows(now, texts, train)
-                    texts, train, size = [], [], 0
-                now, size = block, size + len(x or "")
-                texts.append(x), train.append(bool(learn))
-        if texts:
-            yield from rows(now, texts, train)
+def requests(blocks: DataFrame, order: int, bits: int, buckets: int) -> DataFrame:
+    """(bucket, block, size, keys, n): the distinct n-grams of each block as differences of sorted keys, and their counts in its training texts."""
 
-    return docs.select("block", "train", "text").mapInArrow(work, "bucket long, block long, keys binary, kind binary, n binary")
+    def work(rows: pa.Table) -> pa.Table:
+        docs = block_rows(rows)
+        keys, there, text, _ = grams(one(docs.column("text")), order, bits)
+        learn = docs.column("train").to_numpy()[text]
+        u, at = np.unique(flat(keys, there), return_inverse=True)
+        n = np.bincount(at, flat([learn] * len(keys), there), len(u)).astype(np.int64)
+        bucket = ((u >> np.uint64(bits - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        ends = np.flatnonzero(np.append(np.diff(bucket) != 0, True)) + 1
+        starts = np.append(0, ends[:-1])
+        delta = lambda a, b: packed(np.diff(u[a:b], prepend=np.uint64(0)))
+        block = rows.column("block")[0].as_py()
+        return pa.Table.from_arrays(
+            [pa.array(bucket[starts]), pa.array(np.full(len(starts), block)), pa.array(ends - starts)]
+            + [pa.array([f(a, b) for a, b in zip(starts, ends)], pa.binary()) for f in (delta, lambda a, b: packed(n[a:b]))],
+            ["bucket", "block", "size", "keys", "n"],
+        )
 
+    return blocks.groupBy("block").applyInArrow(work, "bucket long, block long, size long, keys binary, n binary")
 
-def corpus_counts(docs: DataFrame, order: int, buckets: int) -> DataFrame:
-    """(bucket, block, keys, c, mine, n, v): of each block's tokens and n-grams those that count, with their corpus-wide counts.
 
-    mine marks one row of each key. n and v are the tokens and the distinct tokens of the row's bucket, given once a bucket.
-    """
+def answers(asked: DataFrame) -> DataFrame:
+    """(block, bucket, size, others, n, v): in the order of the keys asked, their counts in other blocks; tokens and distinct tokens, once a bucket."""
 
     def work(t: pa.Table) -> pa.Table:
-        keys, sizes = unpacked(t.column("keys"))
-        kind, n = unpacked(t.column("kind"))[0], unpacked(t.column("n"))[0]
-        u, first, at = np.unique(keys, return_index=True, return_inverse=True)
-        c = np.bincount(at, n, len(u)).astype(np.int64)
-        keep = (c >= np.where(kind[first] < 2, 1, LEAST))[at]
-        mine = np.zeros(len(keys), np.int64)
-        mine[first] = 1
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        ends = np.cumsum(np.bincount(row[keep], minlength=len(sizes)))
-        starts = np.append(0, ends[:-1])
-        made = [pa.array([packed(x[a:b]) for a, b in zip(starts, ends)], pa.binary()) for x in (keys[keep], c[at][keep], mine[keep])]
-        tokens = c[(kind[first] == 1) & (c > 0)]
+        sizes = t.column("size").to_numpy()
+        read = lambda name: [unpacked(x, n) for x, n in zip(t.column(name).to_pylist(), sizes)]
+        keys, own = np.concatenate([np.cumsum(x, dtype=np.uint64) for x in read("keys")]), np.concatenate(read("n")).astype(np.int64)
+        u, at = np.unique(keys, return_inverse=True)
+        c = np.bincount(at, own, len(u)).astype(np.int64)
+        others = c[at] - own
+        ends = np.cumsum(sizes)
+        token = (u & np.uint64(3) == 0) & (c > 0)
         once = lambda x: pa.array([int(x)] + [0] * (len(sizes) - 1), pa.int64())
-        return pa.Table.from_arrays([t.column("bucket"), t.column("block"), *made, once(tokens.sum()), once(len(tokens))], ["bucket", "block", "keys", "c", "mine", "n", "v"])
-
-    counted = block_ngrams(docs, order, buckets).groupBy("bucket").applyInArrow(work, "bucket long, block long, keys binary, c binary, mine binary, n long, v long")
-    return settle(counted)
-
-
-class Counts:
-    """A block's keys with their corpus-wide counts and other columns; a key that the block doesn't have has zeros."""
-
-    def __init__(self, rows: pa.Table, *columns: str):
-        keys = unpacked(rows.column("keys"))[0].view(np.uint64)
-        self.keys, first = np.unique(keys, return_index=True)
-        self.columns = {}
-        for name in columns:
-            x = unpacked(rows.column(name))[0]
-            self.columns[name] = np.maximum.reduceat(x[np.argsort(keys, kind="stable")], np.searchsorted(np.sort(keys), self.keys)) if name == "mine" and len(x) else x[first]
-
-    def __call__(self, name: str, keys: np.ndarray) -> np.ndarray:
-        x = self.columns[name]
-        if not len(x):
-            return np.zeros(len(keys), np.int64)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(x) - 1)
-        return np.where(self.keys[at] == keys, x[at], 0)
-
-
-def failure_weights(docs: DataFrame, counted: DataFrame, order: int, n: int) -> DataFrame:
-    """(key, weight): log10 of the failure weight of each history with arcs, as in ``automaton``."""
-    total, d = max(n, 1), DISCOUNT
-
-    def work(texts: pa.Table, counts: pa.Table) -> pa.Table:
-        t, _, begin = stream(texts.column("text").to_pylist())
-        of = Counts(counts, "c", "mine")
-        out: list[tuple] = []
-        c = of("c", t)
-        below, low = t, (c - d) / total  # the histories' keys, the probability of a place's token a level lower
-        for key, there in ngrams(t, begin, order):
-            u, first = np.unique(key[there], return_index=True)
-            at = np.flatnonzero(there)[first][of("mine", u) > 0]
-            p = (of("c", key[at]) - d) / c[at - 1]
-            out.append((below[at - 1], p, low[at]))
-            own = of("c", key)
-            low = (own - d) / np.maximum(np.append(1, c[:-1]), 1)
-            below, c = key, own
-        if out:
-            h, p, low = (np.concatenate([x[k] for x in out]) for k in range(3))
-        else:
-            h, p, low = np.empty(0, np.uint64), np.empty(0), np.empty(0)
-        u, at = np.unique(h, return_inverse=True)
-        sums = [np.bincount(at, x, len(u)).astype(float) for x in (p, low)]
-        return pa.Table.from_arrays([pa.array(u.view(np.int64)), pa.array(sums[0]), pa.array(sums[1])], ["key", "kept", "lower"])
-
-    sums = docs.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(work, "key long, kept double, lower double")
-    left = lambda c: F.greatest(F.lit(1e-12), 1 - F.sum(c))
-    return sums.groupBy("key").agg(F.log10(left("kept") / left("lower")).alias("weight"))
-
-
-def with_weights(counted: DataFrame, weights: DataFrame, buckets: int) -> DataFrame:
-    """(block, keys, c, weight): counted's rows with the failure weights of their keys, as bits; 0 without one."""
-
-    def work(counts: pa.Table, weights: pa.Table) -> pa.Table:
-        own, w = weights.column("key").to_numpy(), weights.column("weight").to_numpy()
-        by = np.argsort(own)
-        own, w = own[by], w[by]
-        made = []
-        for x in counts.column("keys"):
-            keys = unpacked(pa.chunked_array([[x.as_py()]], pa.binary()))[0]
-            at = np.minimum(np.searchsorted(own, keys), max(0, len(own) - 1))
-            made.append(packed((np.where(own[at] == keys, w[at], 0.0) if len(own) else np.zeros(len(keys))).view(np.int64)))
-        return pa.Table.from_arrays([counts.column("block"), counts.column("keys"), counts.column("c"), pa.array(made, pa.binary())], ["block", "keys", "c", "weight"])
-
-    of = F.shiftright(F.shiftrightunsigned("key", 32) * F.lit(buckets).cast("long"), 32)
-    sent = weights.withColumn("bucket", of)
-    return counted.select("bucket", "block", "keys", "c").groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(work, "block long, keys binary, c binary, weight binary")
-
-
-def automaton(vocabulary: list[int], counts: list[int], begins: int, levels: list[dict[tuple[int, ...], int]], total: int) -> dict:
-    """States with arcs {token: (log10 p, next)}, failure state and weight; state 0 is the root, whose arcs are the block's tokens.
-
-    p(w|h) = (c(hw) - D)/c(h) on h's arcs; the rest of the mass goes to the failure arc, over the mass that h's arcs' tokens
-    don't have below it. vocabulary, counts: the frequent tokens' keys and corpus counts.
-    """
-    d = DISCOUNT
-    count: dict[tuple[int, ...], int] = {(i + 1,): c for i, c in enumerate(counts)}
-    count[(BEGIN,)] = begins
-    for level in levels:
-        count |= level
-    children: dict[tuple[int, ...], list[int]] = {}
-    for level in levels:
-        for g in level:
-            children.setdefault(g[:-1], []).append(g[-1])
-    histories = sorted(children, key=len)
-    state = {(): 0} | {h: i + 1 for i, h in enumerate(histories)}
-
-    def longest(h: tuple[int, ...]) -> int:
-        while h not in state:
-            h = h[1:]
-        return state[h]
-
-    prob: dict[tuple[int, ...], float] = {(i + 1,): (c - d) / total for i, c in enumerate(counts)}
-    arcs: list[dict[int, tuple[float, int]]] = [{}]
-    fail, weight, back = [0], [0.0], {(): 1.0}
-
-    def below(h: tuple[int, ...], t: int) -> float:
-        """p(t | h) for a history h, which may be no state."""
-        p = 1.0
-        while (*h, t) not in prob:
-            p *= back.get(h, 1.0)
-            h = h[1:]
-        return p * prob[(*h, t)]
-
-    for h in histories:
-        own, kept, lower = {}, 0.0, 0.0
-        for t in children[h]:
-            p = (count[(*h, t)] - d) / count[h]
-            kept, lower = kept + p, lower + below(h[1:], t)
-            prob[(*h, t)] = p
-            own[t] = (math.log10(p), longest((*h, t)[-2:]))
-        back[h] = max(1e-12, 1 - kept) / max(1e-12, 1 - lower)
-        arcs.append(own)
-        fail.append(longest(h[1:]))
-        weight.append(math.log10(back[h]))
-    return {
-        "numbers": {k: i + 1 for i, k in enumerate(vocabulary)},
-        "arcs": arcs, "fail": fail, "weight": weight,
-        "from_root": [longest((i,)) for i in range(len(vocabulary) + 1)],
-    }
+        made = pa.array([packed(others[b - n : b]) for b, n in zip(ends, sizes)], pa.binary())
+        return pa.Table.from_arrays([t.column("block"), t.column("bucket"), t.column("size"), made, once(c[token].sum()), once(token.sum())], ["block", "bucket", "size", "others", "n", "v"])
+
+    return asked.groupBy("bucket").applyInArrow(work, "block long, bucket long, size long, others binary, n long, v long")
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_blocks(docs: DataFrame, counted: DataFrame, order: int, n: int, v: int) -> DataFrame:
-    """SCORED of every row of docs: each block's texts beside the counts and failure weights of its tokens and n-grams."""
-    total, unseen, d = max(n, 1), max(DISCOUNT * v, 1e-3), DISCOUNT
-
-    def work(texts: pa.Table, counts: pa.Table) -> pa.Table:
-        t, text, begin = stream(texts.column("text").to_pylist())
-        of = Counts(counts, "c", "weight")
-        c = of("c", t)
-        base, known = np.log10((c + 1) / (n + v + 1)), c > 0
-        p = np.log10(np.where(c > 0, c - d, unseen) / total)
-        below, there = t, np.ones(len(t), bool)  # the histories' keys, and whether there is one
-        for key, has in ngrams(t, begin, order):
-            own = of("c", key) * has
-            arc = own > 0
-            h = np.append(0.0, np.where(there, of("weight", below).view(np.float64), 0.0)[:-1])
-            p = np.where(arc, np.log10(np.where(arc, own - d, 1) / np.maximum(np.append(1, c[:-1]), 1)), h + p)
-            below, there, c = key, has, own
-        size = len(texts)
+def score_blocks(blocks: DataFrame, answered: DataFrame, order: int, bits: int, n: int, v: int) -> DataFrame:
+    """SCORED of every row: each block's texts beside the answers to its n-grams."""
+
+    def work(rows: pa.Table, answered: pa.Table) -> pa.Table:
+        docs = block_rows(rows)
+        keys, there, text, begin = grams(one(docs.column("text")), order, bits)
+        train = docs.column("train").to_numpy()
+        learn = train[text]
+        every, whose = flat(keys, there), flat([text] * len(keys), there)
+        u, at = np.unique(every, return_inverse=True)
+        teaches = train[whose]
+        got = sorted(zip(answered.column("bucket").to_pylist(), answered.column("size").to_pylist(), answered.column("others").to_pylist()))
+        c = np.bincount(at, teaches, len(u)) + np.concatenate([unpacked(x, size) for _, size, x in got]).astype(np.float64)
+        _, at_own, own = np.unique(mix(every + mix((whose + 1).astype(np.uint64))), return_inverse=True, return_counts=True)
+        whole, other = c[at], c[at] - np.where(teaches, own[at_own], 0)  # with and without the text's own
+        size = len(docs)
         place = ~begin
         add = lambda x: np.bincount(text[place], x[place], size)
+        lengths = add(np.ones(len(text)))
+        counts, first = [], 0
+        for t in there:  # back to places
+            k = np.zeros(len(text))
+            k[t] = other[first : first + t.sum()]
+            counts.append(k)
+            first += int(t.sum())
+        known = whole[: len(text)]
+        p = (counts[0] + 1) / ((n - lengths * train)[text] + v + 1)
+        for k in range(1, order):
+            up = there[k]
+            history = np.append(0.0, counts[k - 1][:-1])
+            p = np.where(up, (counts[k] + K * p) / (history + K), p)
+        p[begin] = 1
         return pa.Table.from_arrays(
             [
-                texts.column("doc_id"), pa.array([not x for x in texts.column("train").to_pylist()]), pa.array(add(np.ones(len(t))).astype(np.int64)),
-                pa.array(add(known).astype(np.int64)), pa.array(np.full(size, n)), pa.array(add(base)), pa.array(add(p)),
+                docs.column("doc_id"), pa.array(~train), pa.array(lengths.astype(np.int64)), pa.array(add((known > 0).astype(float)).astype(np.int64)), pa.array(np.full(size, n)),
+                pa.array(add(np.log10((known + 1) / (n + v + 1)))), pa.array(add(np.log10(p))),
             ],
             [x.split()[0] for x in SCORED.split(", ")],
         )
 
-    return docs.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(work, SCORED)
+    return blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(work, SCORED)
 
 
-def score_texts(docs: DataFrame, train: str, doc_id: str = "doc_id", text: str = "text", order: int = 3, block_rows: int = 4096) -> DataFrame:
-    """SCORED of every row; train names a boolean column: the rows to learn from."""
-    placed = in_blocks(docs, doc_id, text, train, block_rows)
-    buckets = 1 + int(placed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) // BUCKET_BYTES
-    counted = corpus_counts(placed, order, buckets)
-    n, v = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    weights = failure_weights(placed.select("block", "text"), counted.select("block", "keys", "c", "mine"), order, int(n))
-    return score_blocks(placed, with_weights(counted, weights, buckets), order, int(n), int(v))
+def score_texts(docs: DataFrame, train: str, doc_id: str = "doc_id", text: str = "text", order: int = 3) -> DataFrame:
+    """SCORED of every row; train names a boolean column: the rows to learn from. order: the longest n-grams, in tokens, up to 3."""
+    if not 1 <= order <= 3:
+        raise ValueError("order must be 1, 2 or 3")
+    size = int(docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0])
+    bits = min(64, max(40, size.bit_length() + KEY_BITS))
+    blocks = in_blocks(docs, doc_id, text, train)
+    answered = settle(answers(requests(blocks, order, bits, 1 + size // BUCKET_BYTES)))
+    n, v = answered.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    return score_blocks(blocks, answered.select("block", "bucket", "size", "others"), order, bits, int(n), int(v))
