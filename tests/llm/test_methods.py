@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexmesh.llm import components, decontamination, html_extraction, language_id, line_dedup, lm_scoring, near_duplicates, packing, quality_rules, url_filter
+from lexmesh.llm import components, decontamination, html_extraction, language_id, line_dedup, near_duplicates, packing, quality_classifier, quality_rules, url_filter
 from lexmesh.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -245,82 +245,6 @@ def test_stage_removes_every_marked_line(spark):
     assert got == {i: (x, len(x)) for i, x in want.items()}
 
 
-# --- 5 ----------------------------------------------------------------------------------------------------------------
-
-
-def test_automaton_sums_to_one_and_scores_by_hand():
-    vocabulary, counts = [11, 12, 13], [6, 4, 3]
-    levels = [{(0, 1): 3, (1, 2): 4, (2, 3): 2}, {(0, 1, 2): 2, (1, 2, 3): 2}]
-    m = lm_scoring.automaton(vocabulary, counts, 3, levels, 20)
-    d = lm_scoring.DISCOUNT
-    root = {1: (6 - d) / 20, 2: (4 - d) / 20, 3: (3 - d) / 20}
-    rest = 1 - sum(root.values())  # all other tokens and the unseen ones
-
-    def p(s, t):
-        w = 1.0
-        while s:
-            if t in m["arcs"][s]:
-                return w * 10 ** m["arcs"][s][t][0]
-            w *= 10 ** m["weight"][s]
-            s = m["fail"][s]
-        return w * (root[t] if t else rest)
-
-    for s in range(len(m["arcs"])):
-        assert math.isclose(sum(p(s, t) for t in (1, 2, 3, 0)), 1, rel_tol=1e-9)
-
-
-def test_base_scores_by_brute_force_and_held_out_gain(spark, docs):
-    got = QUERIES["op5_lm_scoring"](spark, SF).toPandas().set_index("doc_id")
-    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in docs.doc_id}
-    tokens = {i: x.encode().lower().split() + [b"\n"] for i, x in zip(docs.doc_id, docs.text)}
-    c = collections.Counter(t for i, w in tokens.items() if not held[i] for t in w)
-    n, v = sum(c.values()), len(c)
-    for i, w in tokens.items():
-        r = got.loc[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(w), sum(t in c for t in w), n)
-        assert math.isclose(r.base_score, sum(math.log10((c[t] + 1) / (n + v + 1)) for t in w), rel_tol=1e-9)
-    own = got[got.held_out]
-    assert own.score.sum() > own.base_score.sum()
-
-
-def test_blocks_do_not_change_scores(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("learn", F.col("doc_id") % 3 != 0)
-    a = {r.doc_id: round(r.score, 6) for r in lm_scoring.score_texts(docs, "learn").collect()}
-    b = {r.doc_id: round(r.score, 6) for r in lm_scoring.score_texts(docs, "learn", block_rows=17).collect()}
-    c = {r.doc_id: round(r.score, 6) for r in lm_scoring.score_texts(spark.createDataFrame(docs.toPandas()), "learn").collect()}
-    assert a == b == c
-
-
-def test_every_repeated_ngram_is_an_arc_in_a_large_corpus(spark):
-    rnd = random.Random(3)
-    texts = [(k, " ".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(0, 30))), k % 4 != 0) for k in range(120)]
-    pad = [(1000 + k, "pad " * 10_000, True) for k in range(300)]  # three million tokens: n-grams seen twice are below a millionth
-    got = {r.doc_id: r.score for r in lm_scoring.score_texts(spark.createDataFrame(texts + pad, "doc_id long, text string, learn boolean"), "learn", block_rows=7).collect()}
-    grams = [collections.Counter() for _ in range(4)]
-    for _, x, learn in texts + pad[:1]:
-        w = ["<", *(t.decode() for t in lm_scoring.tokens_of(x))]
-        for n in (1, 2, 3):
-            for k in range(len(w) - n + 1 if learn else 0):
-                grams[n][tuple(w[k : k + n])] += len(pad) if "pad" in w else 1
-    begins = grams[1].pop(("<",))
-    words = sorted(w for (w,), c in grams[1].items() if c >= 2)
-    number = {w: k + 1 for k, w in enumerate(words)} | {"<": 0}
-    levels = [{tuple(number[w] for w in g): c for g, c in grams[n].items() if c >= 2} for n in (2, 3)]
-    total = sum(grams[1].values())
-    m = lm_scoring.automaton(list(range(len(words))), [grams[1][(w,)] for w in words], begins, levels, total)
-    for i, x, _ in texts:
-        s, p = m["from_root"][0], 0.0
-        for t in lm_scoring.tokens_of(x):
-            f, c = number.get(t.decode()), grams[1][(t.decode(),)]
-            while s and f not in m["arcs"][s]:
-                p, s = p + m["weight"][s], m["fail"][s]
-            if f in m["arcs"][s]:
-                p, s = p + m["arcs"][s][f][0], m["arcs"][s][f][1]
-            else:
-                p, s = p + math.log10((c - lm_scoring.DISCOUNT if c else lm_scoring.DISCOUNT * len(grams[1])) / total), m["from_root"][f] if f else 0
-        assert math.isclose(got[i], p, rel_tol=1e-9), i
-
-
 # --- 6 ----------------------------------------------------------------------------------------------------------------
 
 
@@ -438,15 +362,114 @@ def test_quality_follows_labels(spark):
     assert (m.kept == want).mean() > 0.9
 
 
-def test_wrappers_align_optional_and_repeated_groups():
-    page = lambda items, body, extra="": f"<body><div>Shared head</div>{extra}<ul>{''.join(f'<li>{x}</li>' for x in items)}</ul><div><p>{body}</p></div></body>"
-    w = html_extraction.fold(html_extraction.blocks(page("ab", "one")))
-    for p in (page("abc", "two"), page("a", "three", "<h2>News</h2>")):
-        w = html_extraction.align(w, html_extraction.fold(html_extraction.blocks(p)))
-    kinds = {path: (text, optional, repeated) for path, text, optional, repeated in w[1]}
-    assert kinds == {"body/div": ("Shared head", False, False), "body/h2": ("News", True, False), "body/ul/li": (None, False, True), "body/div/p": (None, False, False)}
-    fixed = html_extraction.fixed_texts(w, 3)
-    assert html_extraction.main_text(page("xy", "four"), fixed) == "x y four"
+def test_site_rates_by_brute_force(spark):
+    """Shrinkage of hosts towards the whole and of paths towards hosts, without a document's own labels, by the formulas."""
+    rnd = random.Random(6)
+    docs = [(i, f"text {i}", f"h{i % 4}", f"h{i % 4}/p{i % 8}") for i in range(120)] + [(500, "x", "h9", "h9/p"), (501, "y", None, None)]
+    labels = [(i, int(rnd.random() < (0.9 if i % 4 == 0 else 0.4))) for i in range(0, 120, 2)] + [(4, 1), (7777, 1), (8, None), (None, 1)]
+    out = quality_classifier.classify(spark.createDataFrame(docs, "doc_id long, text string, host string, path string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    by = {i: [y for j, y in labels if j == i and y is not None] for i, *_ in docs}
+    hosts, paths = collections.defaultdict(list), collections.defaultdict(list)
+    for i, _, h, p in docs:
+        hosts[h or ""] += by[i]
+        paths[(h or "", p or "")] += by[i]
+    every = [y for v in hosts.values() for y in v]
+    rate = sum(every) / len(every)
+
+    def strength(groups):  # (values, the parent's rate)
+        groups = [(v, m) for v, m in groups if v]
+        b = sum(len(v) * (sum(v) / len(v) - m) ** 2 for v, m in groups) - sum(m * (1 - m) for _, m in groups)
+        r, w = sum(len(v) - 1 for v, _ in groups), sum(len(v) * m * (1 - m) for v, m in groups)
+        rho = max(1e-4, min(0.99, b / max(1e-9, w * r / max(1.0, r + 1)))) if b > 0 else 1e-3
+        return min(5000.0, max(1.0, (1 - rho) / rho))
+
+    kh = strength([(v, rate) for v in hosts.values()])
+    rated = {h: (sum(v) + kh * rate) / (len(v) + kh) for h, v in hosts.items()}
+    kp = strength([(v, rated[h]) for (h, _), v in paths.items()])
+    for r in out:
+        _, _, h, p = next(d for d in docs if d[0] == r.doc_id)
+        own, at_h, at_p = by[r.doc_id], hosts[h or ""], paths[(h or "", p or "")]
+        host = (sum(at_h) - sum(own) + kh * rate) / (len(at_h) - len(own) + kh)
+        path = (sum(at_p) - sum(own) + kp * host) / (len(at_p) - len(own) + kp)
+        assert math.isclose(r.quality_host, host, rel_tol=1e-9) and math.isclose(r.quality_path, path, rel_tol=1e-9)
+        odds = math.log(r.quality_text / (1 - r.quality_text)) + math.log(path / (1 - path)) - math.log(rate / (1 - rate))
+        assert math.isclose(r.quality, 1 / (1 + math.exp(-odds)), rel_tol=1e-6)
+    assert len(out) == len(docs)
+
+
+def test_suffix_rates_leave_the_own_fold_out(spark):
+    rows = [(f"http://{'bad' if i % 3 else 'good'}.example.{'com' if i % 2 else 'net'}/{i}", float(i % 3 > 0), i % 5) for i in range(60)]
+    known = url_filter.with_features(spark.createDataFrame(rows, "url string, bad double, fold long"), "url")
+    sums = url_filter.suffix_sums(known, "s1")
+    for r in url_filter.suffix_rates(sums, "s1", 0.5, True).collect():
+        rest = [b for u, b, f in rows if u.split("/")[2].endswith(r.s1) and f != r.fold]
+        assert math.isclose(r.suffix1_rate, (sum(rest) + 10) / (len(rest) + 20))
+
+
+def test_hosts_paths_and_rules_by_brute_force(spark):
+    urls = ["http://Shop.Example.COM/en/7x?a=1#f", "https://a.net/de/8", "x://b.example.net/de/8/9", "http://net", "nope", None, "http://u@h:80/p?x://y/z", "http://com/en/", "http://xcom/en/", "a://b.org/es/\n?", "http://example.com/en/7"]
+    rules = [url_filter.parse_rule(*r) for r in [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]]
+    got = url_filter.judge_urls(spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string"), spark.createDataFrame([], "url string, bad int"), rules).collect()
+    for r in got:
+        host = path = ""
+        if r.url is not None and "://" in r.url:
+            rest = re.split(r"[?#]", r.url.split("://", 1)[1], maxsplit=1)[0]
+            host, _, path = rest.partition("/")
+            host, path = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host), rest[len(host) :]
+        fits = [x for x in rules if (host == x.host or host.endswith("." + x.host)) and path.startswith(x.path)]
+        best = max(fits, key=lambda x: len(x.text), default=None)
+        assert (r.host, r.path, r.rule) == (host, path, best.text if best else None) and r.verdict == (best.verdict if best else "allow")
+
+
+def host_pages(spark, bodies, host="w.example"):
+    return spark.createDataFrame([(i, f"http://{host}/{i}", x) for i, x in enumerate(bodies)], "page_id long, url string, html string")
+
+
+def test_wrappers_align_optional_and_repeated_groups(spark):
+    page = lambda items, para, extra="": f"<body><div class='top'>Shared head</div>{extra}<ul>{''.join(f'<li>{x}</li>' for x in items)}</ul><div class='text'><p>{para}</p></div></body>"
+    pages = host_pages(spark, [page("ab", "first text that is the longest"), page("cde", "second text, the longest again", "<h2>News</h2>"), page("f", "third one which is also long")])
+    found = {r.path: (r.optional, r.repeated, r.slot) for r in html_extraction.infer_wrappers(pages).collect()}
+    assert found == {"body/div.top": (False, False, False), "body/h2": (True, False, False), "body/ul/li": (False, True, True), "body/div.text/p": (False, False, True)}
+
+
+def test_only_the_wrapper_removes_a_repeated_notice(spark):
+    """Article elements on every page, and a long notice without any mark in each: alone a page keeps it, beside the others it goes."""
+    rnd = random.Random(3)
+    words = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    notice, often = words(80), words(12)
+    bodies = [f"<article><h1>{words(4)}</h1><p>{words(120)}</p><p>{notice}</p>{f'<p>{often}</p>' if i % 3 == 0 else ''}<p>{words(30)}</p></article>" for i in range(12)] + [""]
+    got = {r.page_id: r for r in html_extraction.extract(host_pages(spark, bodies)).collect()}
+    for i, x in enumerate(bodies[:12]):
+        whole = html_extraction.main_text(x)
+        assert notice in whole and got[i].text == whole.replace(f" {notice}", "") and (often in got[i].text) == (i % 3 == 0) and got[i].n_chars == len(got[i].text)
+    assert got[12].text == ""
+    few = {r.page_id: r.text for r in html_extraction.extract(host_pages(spark, bodies[:5])).collect()}
+    assert all(notice in x for x in few.values())  # too few pages to know
+    copies = [bodies[0]] * 11 + bodies[1:3]
+    kept = {r.page_id: r.text for r in html_extraction.extract(host_pages(spark, copies)).collect()}
+    assert kept[0] == html_extraction.main_text(bodies[0])  # copies of one page fix nothing
+
+
+def test_the_region_is_where_the_slots_are(spark):
+    """Without any semantic element, the part with most varying text is read; the order and the spread of the pages don't matter."""
+    rnd = random.Random(4)
+    words = lambda n: " ".join("".join(rnd.choice("klmnopqrst") for _ in range(5)) for _ in range(n))
+    box = words(60)
+    bodies = [f"<div class='a'><p>{box}</p><p>{words(3)}</p></div><div class='b x{i}'><h2>{words(3)}</h2><p>{words(70)}</p><ul><li>{words(5)}<li>{words(6)}</ul></div><div class='c'><p>{words(4)}</p></div>" for i in range(10)]
+    pages = host_pages(spark, bodies)
+    assert [(r.region, len(r.fixed)) for r in html_extraction.wrappers(pages).collect()] == [("div.b", 1)]
+    a = {r.page_id: r.text for r in html_extraction.extract(pages).collect()}
+    b = {r.page_id: r.text for r in html_extraction.extract(pages.repartition(7).orderBy(F.desc("page_id"))).collect()}
+    assert a == b and all(box not in x and len(x.split()) == 84 for x in a.values())
+    assert all(box in html_extraction.main_text(x) for x in bodies)
+
+
+def test_quotes_that_never_close_end_with_their_tag():
+    text = html_extraction.main_text
+    assert text('<p title="a>One</p><p>Two Three') == "One Two Three"
+    assert text('<p title="a>One</p><p class="x">Two</p>') == "One Two"
+    assert text("<p title='a > b'>x</p><p>y<br") == "x y"
+    assert text("<p a=1 <b>x</b> y") == "x y"
 
 
 def test_article_text_without_furniture():
@@ -454,8 +477,8 @@ def test_article_text_without_furniture():
         '<html><head><title>t</title><script>var a="</p>"</script></head><body><header>Head</header><nav><a>x</a></nav><div class="cookie-notice">Cookies</div><main><article><h1>A &amp; B</h1>'
         '<p>One <b>bo</b>ld<br>two&nbsp;three<p>Next<div class="ad">Buy</div><form>Mail</form><aside>Side</aside><section id="comments"><p>First!</p></section></article></main><footer>F</footer></body>'
     )
-    assert html_extraction.main_text(page, set()) == "A & B One bold two three Next"
-    assert html_extraction.main_text(None, set()) == ""
+    assert html_extraction.main_text(page) == "A & B One bold two three Next"
+    assert html_extraction.main_text(None) == ""
 
 
 # --- pipeline ---------------------------------------------------------------------------------------------------------
