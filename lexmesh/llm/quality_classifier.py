@@ -3,6 +3,7 @@
 A document's own evidence is a logistic model of its text, fitted on at most ``sample`` labelled documents. Its site adds a
 prior: the rate of good documents of its host, shrunk towards the global rate, and that of its path, shrunk towards its
 host's. How far they shrink is estimated from how much the rates differ between sites beyond chance, by grouped sums alone.
+A labelled document's own labels are taken off its sites' sums, so they don't judge it.
 Posterior log-odds are the document's, plus the path's, minus the global ones that the text model already holds.
 
 Defined cases: a null text is empty; a null host or path is one of its own; a site without labels has its parent's rate.
@@ -19,9 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import settle
 
@@ -57,15 +59,21 @@ def measure(text: str | None, hashed: int) -> tuple[list[float], list[int]]:
 
 
 def training_vectors(docs: DataFrame, text: str, hashed: int) -> DataFrame:
-    """docs' other columns with the vector _features."""
+    """docs' other columns with the sparse vector _features."""
+    rest = [c for c in docs.columns if c != text]
+    ordered = docs.select(*rest, text)
+    schema = T.StructType([*ordered.schema.fields[:-1], T.StructField("_features", VectorUDT())])
     size = len(DENSE) + hashed
 
-    @F.udf(VectorUDT())
-    def vector(x: str | None) -> SparseVector:
-        dense, found = measure(x, hashed)
-        return SparseVector(size, [*range(len(DENSE)), *(len(DENSE) + k for k in found)], [*dense, *[1.0] * len(found)])
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [measure(x, hashed) for x in b.column(len(rest)).to_pylist()]
+            places = [[*range(len(DENSE)), *(len(DENSE) + k for k in found)] for _, found in made]
+            values = [[*dense, *[1.0] * len(found)] for dense, found in made]
+            fields = [pa.array([0] * len(made), pa.int8()), pa.array([size] * len(made), pa.int32()), pa.array(places, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(rest))), pa.StructArray.from_arrays(fields, ["type", "size", "indices", "values"])], schema.names)
 
-    return docs.withColumn("_features", vector(text)).drop(text)
+    return ordered.mapInArrow(work, schema)
 
 
 def text_scores(docs: DataFrame, models: dict[str, tuple[np.ndarray, float] | None], text: str, hashed: int) -> DataFrame:
@@ -108,19 +116,25 @@ def strength(groups: DataFrame, mean: Column) -> float:
     return min(5000.0, max(1.0, (1 - rho) / rho))
 
 
-def site_rates(labelled: DataFrame) -> tuple[DataFrame, DataFrame, float]:
-    """((host, host_rate), (host, path, path_rate), global rate) of labelled (host, path, y); host and path compare null-safe as given."""
+def site_counts(labelled: DataFrame) -> tuple[DataFrame, DataFrame, float, float, float]:
+    """((host, hn, hgood), (host, path, pn, pgood), the global rate, strengths of host and path priors) of labelled (host, path, y)."""
     by_path = settle(labelled.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("y").cast("double").alias("good")))
+    paths = by_path.select("host", "path", F.col("n").alias("pn"), F.col("good").alias("pgood"))
     n, good = by_path.agg(F.sum("n"), F.sum("good")).first()
+    hosts = settle(by_path.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good")))
     if not n:
-        return by_path.select("host", F.lit(0.5).alias("host_rate")), by_path.select("host", "path", F.lit(0.5).alias("path_rate")), 0.5
+        return hosts.select("host", F.col("n").alias("hn"), F.col("good").alias("hgood")), paths, 0.5, 50.0, 50.0
     rate = min(1 - 1e-3, max(1e-3, good / n))
-    hosts = by_path.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    k = strength(hosts, F.lit(rate))
-    hosts = settle(hosts.select("host", ((F.col("good") + k * rate) / (F.col("n") + k)).alias("host_rate")))
-    paths = by_path.join(hosts, "host")
-    k = strength(paths, F.col("host_rate"))
-    return hosts, settle(paths.select("host", "path", ((F.col("good") + k * F.col("host_rate")) / (F.col("n") + k)).alias("path_rate"))), rate
+    at_host = strength(hosts, F.lit(rate))
+    rated = hosts.select("host", ((F.col("good") + at_host * rate) / (F.col("n") + at_host)).alias("host_rate"))
+    at_path = strength(by_path.join(rated, "host"), F.col("host_rate"))
+    return hosts.select("host", F.col("n").alias("hn"), F.col("good").alias("hgood")), paths, rate, at_host, at_path
+
+
+def shrunk(n: str, good: str, parent: Column | float, strength: float) -> Column:
+    """A site's rate drawn towards its parent's, without the document's own labels (own_n, own_good)."""
+    taken = lambda c, own: F.greatest(F.lit(0.0), F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - F.coalesce(F.col(own).cast("double"), F.lit(0.0)))
+    return (taken(good, "own_good") + F.lit(strength) * parent) / (taken(n, "own_n") + F.lit(strength))
 
 
 def classify(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...] = ("quality",), doc_id: str = "doc_id", text: str = "text", host: str = "host", path: str = "path", sample: int = 20_000, hashed: int = 1 << 16) -> DataFrame:
@@ -142,10 +156,11 @@ def classify(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...] = ("qu
     scored = settle(text_scores(base, models, "text", hashed))
     sited = settle(scored.select("doc_id", "host", "path").filter("doc_id is not null").join(known, "doc_id"))
     for t in targets:
-        hosts, paths, rate = site_rates(sited.filter(F.col(f"y_{t}").isNotNull()).select("host", "path", F.col(f"y_{t}").alias("y")))
-        scored = scored.join(hosts, "host", "left").join(paths, ["host", "path"], "left")
-        at_host = F.coalesce("host_rate", F.lit(rate))
-        at_path = F.coalesce(F.col("path_rate"), at_host)
-        odds = F.coalesce(logit(F.col(f"{t}_text")), F.lit(math.log(rate / (1 - rate)))) + logit(at_path) - F.lit(math.log(rate / (1 - rate)))
-        scored = scored.withColumns({f"{t}_host": at_host, f"{t}_path": at_path, t: 1 / (1 + F.exp(-odds))}).drop("host_rate", "path_rate")
+        y = F.col(f"y_{t}")
+        hosts, paths, rate, k_host, k_path = site_counts(sited.filter(y.isNotNull()).select("host", "path", y.alias("y")))
+        own = known.filter(y.isNotNull()).groupBy("doc_id").agg(F.count("*").alias("own_n"), F.sum(y).alias("own_good"))
+        x = scored.join(hosts, "host", "left").join(paths, ["host", "path"], "left").join(own, "doc_id", "left")
+        x = x.withColumn(f"{t}_host", shrunk("hn", "hgood", F.lit(rate), k_host)).withColumn(f"{t}_path", shrunk("pn", "pgood", F.col(f"{t}_host"), k_path))
+        odds = F.coalesce(logit(F.col(f"{t}_text")), F.lit(math.log(rate / (1 - rate)))) + logit(F.col(f"{t}_path")) - F.lit(math.log(rate / (1 - rate)))
+        scored = x.withColumn(t, 1 / (1 + F.exp(-odds))).drop("hn", "hgood", "pn", "pgood", "own_n", "own_good")
     return scored.select("doc_id", *(f"{t}{x}" for t in targets for x in ("_text", "_host", "_path", "")))

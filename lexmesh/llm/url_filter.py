@@ -2,7 +2,8 @@
 
 Features come from the url alone: lengths, depth, shares of digits and of other marks, entropy of its characters, parameter
 counts, and for its host's last label and last two labels the smoothed rate of bad urls among the labelled ones. All of them
-are column expressions; the trees are fitted on at most ``sample`` labelled urls, picked by a hash of the url.
+are column expressions; the trees are fitted on at most ``sample`` labelled urls, picked by a hash of the url. In fitting, a
+url's suffix rates come from the labels of the other ``FOLDS`` - 1 folds, so the trees don't see its own label in them.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, no rule fits it, and the trees judge its empty
 features. With labels of one kind only, or none, the trees' verdict is that kind, or allow. Repeated rows are judged each on
@@ -96,10 +97,22 @@ def with_features(urls: DataFrame, url: str) -> DataFrame:
     )
 
 
-def suffix_rates(labelled: DataFrame, suffix: str, prior: float, strength: float = 20.0) -> DataFrame:
-    """(suffix, rate): share of bad urls, shrunk towards the prior."""
-    rate = (F.sum("bad") + F.lit(prior * strength)) / (F.count("*") + F.lit(strength))
-    return labelled.groupBy(suffix).agg(rate.alias(f"suffix{suffix[1:]}_rate"))
+FOLDS = 5
+
+
+def suffix_sums(labelled: DataFrame, suffix: str) -> DataFrame:
+    """(suffix, fold, n, bad): labelled urls and bad ones; fold goes by a hash of the url."""
+    return labelled.groupBy(suffix, "fold").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
+
+
+def suffix_rates(sums: DataFrame, suffix: str, prior: float, others: bool, strength: float = 20.0) -> DataFrame:
+    """(suffix, rate): share of bad urls, shrunk towards the prior; others: (suffix, fold, rate), from all folds but the row's."""
+    name = f"suffix{suffix[1:]}_rate"
+    rate = lambda bad, n: ((bad + F.lit(prior * strength)) / (n + F.lit(strength))).alias(name)
+    whole = sums.groupBy(suffix).agg(F.sum("n").alias("all_n"), F.sum("bad").alias("all_bad"))
+    if not others:
+        return whole.select(suffix, rate(F.col("all_bad"), F.col("all_n")))
+    return sums.join(whole, suffix).select(suffix, "fold", rate(F.col("all_bad") - F.col("bad"), F.col("all_n") - F.col("n")))
 
 
 def judge_urls(urls: DataFrame, labels: DataFrame, rules: list[Rule], url: str = "url", sample: int = 20_000, trees: int = 10, depth: int = 4) -> DataFrame:
@@ -122,17 +135,18 @@ def judge_urls(urls: DataFrame, labels: DataFrame, rules: list[Rule], url: str =
     if not n or bad in (0, n):
         return done(featured, F.lit(bad / n if n else 0.0))
     prior = bad / n
-    known = settle(with_features(labelled, url))
-    rates = [settle(suffix_rates(known, s, prior)) for s in ("s1", "s2")]
+    fold = F.pmod(F.xxhash64(F.lit(5), F.col(url)), F.lit(FOLDS)).alias("fold")
+    known = settle(with_features(labelled, url).select("*", fold))
+    sums = {x: settle(suffix_sums(known, x)) for x in ("s1", "s2")}
 
-    def assembled(df: DataFrame) -> DataFrame:
-        for s, r in zip(("s1", "s2"), rates):
-            df = df.join(r, s, "left")
+    def assembled(df: DataFrame, others: bool) -> DataFrame:
+        for x, own in sums.items():
+            df = df.join(suffix_rates(own, x, prior, others), [x, "fold"] if others else x, "left")
         df = df.fillna(prior, list(SUFFIX))
         return VectorAssembler(inputCols=[*LEXICAL, *SUFFIX], outputCol="features", handleInvalid="keep").transform(df)
 
     share = min(1.0, sample / n)
     picked = known.filter(F.pmod(F.xxhash64(F.lit(3), F.col(url)), F.lit(1_000_000)) < F.lit(int(1_000_000 * share)))
     gbt = GBTClassifier(labelCol="bad", featuresCol="features", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=7)
-    model = gbt.fit(settle(assembled(picked).select("features", "bad")))
-    return done(model.transform(assembled(featured)), vector_to_array("probability")[1])
+    model = gbt.fit(settle(assembled(picked, True).select("features", "bad")))
+    return done(model.transform(assembled(featured, False)), vector_to_array("probability")[1])
