@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lexmesh.llm import stages
-from lexmesh.llm.common import shared_dir
+from lexmesh.storage import distilled
 
 #: (name, function of (spark, docs, sf_dir)), in order.
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -24,10 +23,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; every stage's rows are written to the shared folder and read again."""
+    """All stages over documents; every stage's rows are written to the shared folder and read again, and what it needed meanwhile goes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        path = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    for _, stage in STAGES:
+        docs = distilled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
     return docs

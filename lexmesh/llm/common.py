@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import distilled, settle, shared_dir
+
+__all__ = ["distilled", "settle", "shared_dir"]
+
 #: ASCII white space, the separators of the contracts' words.
 SPACES = " \t\n\x0b\x0c\r"
 #: A word of the contracts: a run of anything but ASCII white space.
@@ -18,52 +19,6 @@ BITS = 1 << 20  # of a bit map of hashes
 WORDS_OF_BITS = BITS // 64
 
 
-#: Paths that settle has written, by open ``distilled``; the first list is of what no distilled is open for.
-_written: list[list[str]] = [[]]
-#: The folder of an application whose driver and executors are one process.
-_local: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, which spark.checkpoint.dir names; a local master, where it is unset, gets one of its own."""
-    named, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
-    if not named:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share; intermediate tables go there")
-        if context.applicationId not in _local:
-            _local[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        named = _local[context.applicationId]
-    return named
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: the lineage ends there, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def distilled(spark: SparkSession, work: Callable[[], DataFrame]) -> DataFrame:
-    """work's result, settled; the tables that were settled for it are deleted from the shared folder."""
-    _written.append([])
-    try:
-        out = settle(work())
-        kept = _written[-1].pop()
-    except BaseException:
-        _written[-2].extend(_written.pop())
-        raise
-    paths = _written.pop()
-    _written[-1].append(kept)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in paths:
-        at = hadoop.Path(path)
-        at.getFileSystem(conf).delete(at, True)
-    return out
-
-
 def lower_ascii(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
