@@ -191,15 +191,18 @@ def verify(pairs: DataFrame, taus: tuple = TAUS) -> DataFrame:
 BAG = 32
 
 
-def with_bags(lines: DataFrame) -> DataFrame:
-    """(id, line, bag): bag counts the line's characters by a hash of BAG values."""
+def with_bags(lines: DataFrame, taus: tuple = TAUS) -> DataFrame:
+    """(id, line, n, tau, bag): its characters, its band's tau, and counts of its characters by a hash of BAG values."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bags = [np.bincount((np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) * np.uint32(2654435769)) >> np.uint32(27), minlength=BAG) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.astype(np.int32) for x in bags], pa.list_(pa.int32()))], ["id", "line", "bag"])
+            texts = b.column(1).to_pylist()
+            bags = [np.bincount((np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) * np.uint32(2654435769)) >> np.uint32(27), minlength=BAG) for x in texts]
+            n = np.array([len(x) for x in texts], np.int32)
+            own = [b.column(0), b.column(1), pa.array(n), pa.array(taus_of(n, taus).astype(np.int32)), pa.array([x.astype(np.int32) for x in bags], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(own, ["id", "line", "n", "tau", "bag"])
 
-    return lines.mapInArrow(work, "id long, line string, bag array<int>")
+    return lines.mapInArrow(work, "id long, line string, n int, tau int, bag array<int>")
 
 
 def edit_links(lines: DataFrame, taus: tuple = TAUS) -> DataFrame:
@@ -214,14 +217,15 @@ def edit_links(lines: DataFrame, taus: tuple = TAUS) -> DataFrame:
     wanted = settle(shared.select("id").distinct())
     # the bit map only keeps most other lines out of the shuffle
     near = long.withColumn("bits", bit_map(wanted.select(F.col("id").alias("h"))).scalar()).filter(has_bit(F.col("bits"), F.col("id")))
-    texts = settle(with_bags(near.select("id", "line").join(wanted, "id", "left_semi").distinct()))
-    tagged = shared.join(texts.select("id", "bag"), "id")
-    i = tagged.filter("probe = 0").select("key", F.col("id").alias("i"), F.col("bag").alias("ib"))
-    p = tagged.filter("probe = 1").select(F.col("key").alias("pk"), F.col("id").alias("p"), F.col("bag").alias("pb"))
-    # an edit changes the counts of two characters at most, so counts that differ by more than 2 tau are no link
-    apart = F.aggregate(F.zip_with("ib", "pb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    pairs = i.join(p, (F.col("key") == F.col("pk")) & (F.col("i") != F.col("p")) & (apart <= 2 * max(t for _, t in taus)))
-    pairs = settle(pairs.select(F.least("i", "p").alias("a"), F.greatest("i", "p").alias("b")).distinct())
+    texts = settle(with_bags(near.select("id", "line").join(wanted, "id", "left_semi").distinct(), taus))
+    tagged = shared.join(texts.select("id", "n", "tau", "bag"), "id")
+    side = lambda probe, x: tagged.filter(f"probe = {probe}").select(*(F.col(c).alias(f"{x}_{c}") for c in ("key", "id", "n", "tau", "bag")))
+    # an edit changes the counts of two characters at most, so counts that differ by more than 2 tau are no link; lines of one
+    # length probe each other, and one of the two ways is enough
+    apart = F.aggregate(F.zip_with("i_bag", "p_bag", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+    one_way = (F.col("i_n") < F.col("p_n")) | ((F.col("i_n") == F.col("p_n")) & (F.col("i_id") < F.col("p_id")))
+    pairs = side(0, "i").join(side(1, "p"), (F.col("i_key") == F.col("p_key")) & one_way & (apart <= 2 * F.least("i_tau", "p_tau")))
+    pairs = settle(pairs.select(F.least("i_id", "p_id").alias("a"), F.greatest("i_id", "p_id").alias("b")).distinct())
     full = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
     return verify(full, taus).groupBy("a", "b").agg(F.min("distance").alias("distance"))
 
