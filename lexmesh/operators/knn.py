@@ -102,8 +102,8 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, other: bool = False) ->
 
 
 def nearest_named(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """(qid, rank, word): nearest over rows (word, vec), ties by word."""
-    return nearest(queries, rows.select(F.col("word").alias("id"), "vec"), k).select("qid", "rank", F.col("id").alias("word"))
+    """(qid, rank, word, score): nearest over rows (word, vec), ties by word."""
+    return nearest(queries, rows.select(F.col("word").alias("id"), "vec"), k).select("qid", "rank", F.col("id").alias("word"), "score")
 
 
 def pair_report(rows: DataFrame, top: int, low: float, high: float, bins: int) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, normalize_token
@@ -28,6 +28,31 @@ def find_passages(queries: DataFrame, lines: DataFrame, most: int = 3, context:
     return full.groupBy("query", "rank", "text_id", "line_no").agg(line.alias("line"), text.alias("context"))
 
 
+def search_passages(queries: DataFrame, lines: DataFrame, inside: Column, most: int = 3) -> DataFrame:
+    """(query, rank, text_id, line_no, score): the lines with most of a query's tokens; a line outside the wanted texts counts half.
+
+    queries (query, token), lines (text_id, line_no, line, ...); inside is a boolean of lines. Ties go by text and line.
+    """
+    tokens = lines.withColumn("_in", inside).select("text_id", "line_no", "_in", F.explode(F.array_distinct(F.transform(F.split("line", SPACE), normalize_token))).alias("token"))
+    asked = queries.select("query", normalize_token(F.col("token")).alias("token")).filter("token <> ''").distinct()
+    hits = tokens.join(asked, "token").groupBy("query", "text_id", "line_no", "_in").agg(F.count("*").alias("n"))
+    scored = hits.withColumn("score", F.col("n") * F.when(F.col("_in"), 1.0).otherwise(0.5)).withColumn("_s", F.pmod(F.xxhash64("text_id", "line_no"), F.lit(64)))
+    order = (F.desc("score"), "text_id", "line_no")
+    some = scored.withColumn("_r", F.row_number().over(Window.partitionBy("query", "_s").orderBy(*order))).filter(F.col("_r") <= most)
+    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order))).filter(F.col("rank") <= most)
+    return ranked.select("query", "rank", "text_id", "line_no", "score")
+
+
+def flat_passages(queries: DataFrame, lines: DataFrame, context: int = 2) -> DataFrame:
+    """W1 over flat lines (line_no, line), which have no texts: (query, line_no, line, context) of every matching line, the context across all lines."""
+    tokens = lines.select("line_no", "line", F.explode(F.array_distinct(F.transform(F.split("line", SPACE), normalize_token))).alias("token"))
+    asked = queries.select("query", normalize_token(F.col("query")).alias("token")).filter("token <> ''")
+    found = tokens.join(asked, "token").select("query", "line_no", "line", F.explode(F.sequence(F.col("line_no") - context, F.col("line_no") + context)).alias("_n"))
+    near = found.join(lines.select(F.col("line_no").alias("_n"), F.col("line").alias("_l")), "_n")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_l"))), lambda s: s["_l"]), "\n")
+    return near.groupBy("query", "line_no", "line").agg(text.alias("context"))
+
+
 def preflight(concepts: DataFrame, vocabulary: DataFrame, spaces: dict[str, DataFrame], neighbours: DataFrame, passages: DataFrame) -> DataFrame:
     """Concepts (source_token, target_word) with what was found, status, failure reasons and warnings.
 

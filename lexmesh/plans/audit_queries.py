@@ -252,6 +252,18 @@ def passages_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.find_passages(_queries(spark, sf_dir), lines)
 
 
+@query(f"""WITH q AS (SELECT item_id, unnest(string_split(text, ' ')[1:3]) AS t FROM benchmark), qn AS (SELECT DISTINCT item_id, {norm_sql('t')} AS token FROM q),
+    l AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents),
+    tk AS (SELECT DISTINCT doc_id, lang, no, {norm_sql('t')} AS token FROM (SELECT doc_id, lang, no, unnest(regexp_split_to_array(line, '\\s+')) AS t FROM l)),
+    h AS (SELECT item_id, doc_id, no, count(*) * CASE WHEN lang = 'en' THEN 1.0 ELSE 0.5 END AS score FROM tk JOIN qn USING (token) WHERE token <> '' GROUP BY item_id, doc_id, no, lang)
+    SELECT item_id AS query, CAST(rank AS INT) AS rank, doc_id AS text_id, CAST(no AS INT) AS line_no, CAST(score AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, no) AS rank FROM h) WHERE rank <= 3""")
+def search_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with most of the benchmark items' first three words; lines of other than English documents count half."""
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.explode(F.slice(F.split("text", " "), 1, 3)).alias("token"))
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "lang", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return passages.search_passages(q, lines, F.col("lang") == "en")
+
+
 @query(f"""{PASSAGE_SQL}, {CLEAN_SQL}, voc AS (SELECT word FROM (SELECT unnest(tokens) AS word FROM clean) GROUP BY word HAVING count(*) >= 5),
     cw AS (SELECT role, regexp_split_to_array(text, '\\s+') AS w FROM conversations), cc AS (SELECT DISTINCT string_split(text, ' ')[1] AS s, string_split(text, ' ')[2] AS t FROM benchmark),
     ga AS (SELECT DISTINCT lower(unnest(w)) AS word FROM cw WHERE role = 'assistant'), gu AS (SELECT DISTINCT lower(unnest(w)) AS word FROM cw WHERE role = 'user'),

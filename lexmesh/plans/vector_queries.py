@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import norm, pad, unit
-from ..operators import lenses, linalg, lookup
+from ..operators import atlas, lenses, linalg, lookup
 from ..operators.knn import pair_report
 from ..storage import settle
 from .registry import query, table
@@ -248,21 +248,21 @@ def cluster_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lenses.members(space(spark, sf_dir), "label")
 
 
+def atlas_config(spark: SparkSession, sf_dir: str) -> atlas.AtlasConfig:
+    """Lens 1 over whole vectors would need a space of its own here, so this atlas is of space a against space b."""
+    a = space(spark, sf_dir, "a")
+    return atlas.AtlasConfig(
+        a, space(spark, sf_dir, "b"), anchors(spark, sf_dir), lenses.centroids(a, "label"), space(spark, sf_dir, "b"),
+        queries=F.expr(QUERY), frequency=frequency(F.col("id")), pair_threshold=0.5, pair_range=(0.2, 0.8, 15),
+    )
+
+
 def atlas_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per lens with its first entry, n/a where a lens is empty."""
-    tops = [
-        ("lens1", lens1_displacement(spark, sf_dir).select(F.col("source_token").alias("item"), F.col("cos").alias("value"), F.col("cos").alias("o"))),
-        ("lens2", lens2_no_counterpart(spark, sf_dir).select(F.col("id").cast("string").alias("item"), F.col("score").alias("value"), (-F.col("score")).alias("o"))),
-        ("lens3", lens3_isolation(spark, sf_dir).select(F.col("id").cast("string").alias("item"), F.col("distance").alias("value"), (-F.col("distance")).alias("o"))),
-        ("lens4", lens4_divergence(spark, sf_dir).select(F.col("id").cast("string").alias("item"), F.col("jaccard").alias("value"), (-F.col("jaccard")).alias("o"))),
-        ("lens5", lens5_doppelgangers(spark, sf_dir).select(F.concat_ws("-", "a", "b").alias("item"), F.col("score").alias("value"), (-F.col("score")).alias("o"))),
-        ("lens6", lens6_bridges(spark, sf_dir).select(F.col("id").cast("string").alias("item"), F.col("bridge").alias("value"), (-F.col("bridge")).alias("o"))),
-    ]
-    out = None
-    for name, df in tops:
-        row = df.agg(F.min(F.struct("o", F.length("item").alias("n"), "item", "value")).alias("t")).select(F.lit(name).alias("lens"), F.coalesce("t.item", F.lit("n/a")).alias("item"), F.col("t.value").alias("value"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    lenses_of = {
+        "lens1": lens1_displacement, "lens2": lens2_no_counterpart, "lens3": lens3_isolation, "lens4": lens4_divergence, "lens5": lens5_doppelgangers, "lens6": lens6_bridges,
+    }
+    return atlas.summary({name: f(spark, sf_dir) for name, f in lenses_of.items()})
 
 
 def _first_sql(lens: str, sql: str, item: str, value: str, least: str) -> str:

@@ -125,6 +125,37 @@ def lemma_lines(lemmas: DataFrame, key: str) -> DataFrame:
     return lemmas.groupBy(key, "line_no").agg(forms.alias("line"))
 
 
+def read_projects(spark: SparkSession, path: str, language: str = "sux") -> tuple[DataFrame, DataFrame]:
+    """((path, p_number, lines), (path, p_number, line_no, pos, form, ...)) of project archives: every corpusjson/*.json is a text, named by its stem.
+
+    A member that is no JSON, or has no line, gives no text.
+    """
+    members = read_zip_members(spark, path, r"corpusjson/[^/]*\.json$")
+    trees = members.select("path", F.regexp_extract("member", r"([^/]*)\.json$", 1).alias("p_number"), "text")
+    lemmas = trees.lateralJoin(LemmaTree(F.col("text").outer(), F.lit(language))).drop("text")
+    form = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "form"))), lambda s: s["form"]), " ")
+    lines = lemmas.groupBy("path", "p_number", "line_no").agg(form.alias("line"))
+    texts = lines.groupBy("path", "p_number").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]).alias("lines"))
+    return texts, lemmas
+
+
+def vector_words(lines: DataFrame, line: str = "value") -> DataFrame:
+    """(token) of 'token x1 x2 ...' lines; the numbers are never split."""
+    return lines.select(F.substring_index(line, " ", 1).alias("token"))
+
+
+def check_vectors(numbered: DataFrame, size: int, sample: int = 100) -> None:
+    """(line_no, value) lines must have size numbers each, and the first ``sample`` words be in lower case; ValueError names the first that fails."""
+    fields = F.size(F.split("value", " "))
+    wrong = numbered.filter(fields != size + 1).agg(F.min(F.struct("line_no", fields.alias("n"))).alias("x")).first()["x"]
+    if wrong:
+        raise ValueError(f"line {wrong['line_no']}: {wrong['n'] - 1} values, not {size}")
+    word = F.substring_index("value", " ", 1)
+    upper = numbered.filter((F.col("line_no") <= sample) & (word != F.lower(word))).agg(F.min(F.struct("line_no", word.alias("w"))).alias("x")).first()["x"]
+    if upper:
+        raise ValueError(f"line {upper['line_no']}: {upper['w']!r} is not in lower case")
+
+
 def parse_vectors(lines: DataFrame, line: str = "value", strict: int | None = None) -> DataFrame:
     """(token, vec) of 'token x1 x2 ...' lines; strict raises unless a line has so many numbers."""
     parts = F.split(line, " ")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -39,3 +41,19 @@ def bars(histogram: DataFrame, width: int = 40) -> DataFrame:
 def fingerprint(files: DataFrame) -> DataFrame:
     """SHA-256 of binary files (path, content)."""
     return files.select("path", F.sha2("content", 256).alias("sha256"))
+
+
+def metadata(shared: dict, spaces: dict[str, dict], accuracy: dict[str, DataFrame] | None = None) -> dict:
+    """K4: an export's description: schema version, what the spaces share, and each space's provenance with its defaults and accuracy (k, accuracy)."""
+    defaults = {"ridge_alpha": 100, "dtype": "float16", "accuracy": None}
+    out = {"schema_version": 2, "shared": {"random_state": 42} | shared, "spaces": {}}
+    for name, own in spaces.items():
+        scores = (accuracy or {}).get(name)
+        found = None if scores is None else {f"top{r['k']}": r["accuracy"] for r in scores.select("k", "accuracy").orderBy("k").limit(100).collect()}
+        out["spaces"][name] = defaults | own | ({"accuracy": found} if found else {})
+    return out
+
+
+def write_metadata(spark: SparkSession, made: dict, path: str) -> None:
+    """K4: metadata as one line of JSON, keys in order."""
+    spark.range(1).select(F.lit(json.dumps(made, sort_keys=True)).alias("value")).write.mode("overwrite").text(path)

@@ -1,10 +1,11 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lexmesh.functions.vectors import cosine, half_precision, unit
-from lexmesh.operators import anchors, audit, corpus, knn, lenses, linalg, lookup, passages
+from lexmesh.operators import anchors, audit, claims, corpus, knn, lenses, linalg, lookup, passages
 
 
 def rows(df, *order):
@@ -160,3 +161,105 @@ def test_accuracy(spark):
     p = df.withColumn("gold", F.when(F.col("id") == 0, 1).otherwise(F.col("id")))
     got = {r.k: r.accuracy for r in linalg.accuracy(p, df, (1, 3)).collect()}
     assert math.isclose(got[1], 200 / 3, abs_tol=1e-5) and got[3] == 100.0
+
+
+def test_blocks_of_queries_and_rows_meet_alike(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    df = vectors(spark, *rng.integers(-2, 3, (90, 3)) + 0.5)
+    named = df.withColumn("word", F.concat(F.lit("w"), "id")).select("word", "vec")
+    one = rows(knn.nearest(df, df, 4, other=True), "qid", "rank"), rows(knn.nearest_named(df, named, 4), "qid", "rank")
+    pairs, bins = knn.pair_report(df, 7, 0.0, 1.0, 5)
+    all_pairs = rows(pairs, F.desc("score"), "a", "b"), rows(bins)
+    monkeypatch.setattr(knn, "BLOCK", 17)
+    monkeypatch.setattr(knn, "ROWS", 23)
+    assert (rows(knn.nearest(df, df, 4, other=True), "qid", "rank"), rows(knn.nearest_named(df, named, 4), "qid", "rank")) == one
+    assert all(a[0] != b[0] or (-a[3], a[2]) < (-b[3], b[2]) for a, b in zip(one[1], one[1][1:]))
+    pairs, bins = knn.pair_report(df, 7, 0.0, 1.0, 5)
+    assert (rows(pairs, F.desc("score"), "a", "b"), rows(bins)) == all_pairs
+
+
+def test_low_shares_are_tested_before_they_are_rounded(spark):
+    pairs = spark.createDataFrame([("lugal", "king if had") if k < 3 else ("lugal", f"other{chr(97 + k)}") for k in range(10)] + [("", "king")], "transliteration string, translation string")
+    made = anchors.cooccurrence_anchors(pairs, 3, 0.3).select("target_word", "frequency", "confidence")
+    assert [tuple(r) for r in made.collect()] == [("king", 10, 0.3)]
+    assert anchors.cooccurrence_anchors(pairs, 3, 0.30001).count() == 0
+
+
+def test_preflight_reasons_and_warnings(spark):
+    concepts = spark.createDataFrame([("lugal", "king"), ("nope", "queen"), ("ki", "earth"), ("an", "Sky")], "source_token string, target_word string")
+    spaces = {"gemma": words(spark, "king", "earth"), "glove": words(spark, "King", "sky")}
+    near = spark.createDataFrame([("king", "lugal"), ("king", "e2"), ("king", "a"), ("earth", "kur")], "target_word string, token string")
+    found = spark.createDataFrame([("lugal",), ("lugal",), ("an",), ("nope",)], "source_token string")
+    got = {r.source_token: r for r in passages.preflight(concepts, words(spark, "lugal", "ki", "an"), spaces, near, found).collect()}
+    assert (got["lugal"].status, got["lugal"].n_passages, got["lugal"].degenerate, got["lugal"].reasons, got["lugal"].warnings) == ("pass", 2, 0.667, "", "degenerate_top5")
+    assert (got["nope"].status, got["nope"].reasons) == ("fail", "sumerian_vocab_miss;english_missing_both_spaces")
+    assert got["nope"].warnings == "degenerate_top5;english_missing_gemma;english_missing_glove" and got["nope"].degenerate == 1.0
+    assert (got["ki"].reasons, got["ki"].warnings) == ("zero_etcsl_passages", "english_missing_glove")
+    assert (got["an"].status, got["an"].warnings) == ("pass", "degenerate_top5;english_missing_gemma")
+
+
+def test_tier2_counts_by_rank_and_skips(spark):
+    targets = spark.createDataFrame([("king", [1.0, 0.0]), ("queen", [0.0, 1.0]), ("gold", [-1.0, 0.0])], "word string, vec array<double>")
+    vectors_ = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8]), (4, [0.0, -1.0])], "id long, vec array<double>")
+    candidates = spark.createDataFrame([(1, "King"), (2, "king"), (3, "queen"), (4, "none")], "id long, expected string")
+    got = audit.tier2(candidates, vectors_, targets.select("word"), lambda q: knn.nearest_named(q, targets, 10)).first()
+    assert tuple(got) == (4, 2, 1, 2, 2, 2)
+
+
+def test_examples_and_partition(spark):
+    a = spark.createDataFrame([(f"t{i}", "x" if i % 3 else "y") for i in range(40)], "source_token string, bucket string")
+    some = [tuple(r) for r in audit.examples(a, "bucket", "source_token", 4).select("bucket", "source_token").collect()]
+    assert len(some) == len(set(some)) == 8 and sorted(some) == sorted(tuple(r) for r in audit.examples(a.repartition(3), "bucket", "source_token", 4).select("bucket", "source_token").collect())
+    assert tuple(audit.partition(a, "source_token", words(spark, "t1", "t2", "zz")).first()) == (40, 2, 38, 5.0)
+
+
+def test_claims(spark):
+    lines = spark.createDataFrame([(1, "  cos 0.25, then -0.5 and 3.5 in 1987.123456 "), (2, "none")], "n int, line string")
+    found = claims.numeric_claims(lines)
+    assert rows(found.select("n", "value", "context")) == [(1, -0.5, "cos 0.25, then -0.5 and 3.5 in 1987.123456"), (1, 0.25, "cos 0.25, then -0.5 and 3.5 in 1987.123456")]
+    metrics = spark.createDataFrame([(0.2509,), (-0.502,)], "value double")
+    assert rows(claims.supported(found, metrics).select("value", "supported")) == [(-0.5, False), (0.25, True)]
+    text = "signs \U00012000 \U00012001 \U00012002\n## Appendix: cuneiform sign PROVENANCE\nU+12001 and \U00012002"
+    got = claims.provenance(spark.createDataFrame([(1, text), (2, "\U00012000")], "k int, text string"), "k", "text")
+    assert rows(got.select("k", "codepoint", "covered")) == [(1, "\U00012000", False), (1, "\U00012001", True), (1, "\U00012002", True), (2, "\U00012000", False)]
+
+
+def test_lookup_contract(spark):
+    t = spark.createDataFrame([(1, "King", [1.0, 0.0]), (2, "king", [0.0, 1.0])], "id long, token string, vec array<double>")
+    s = spark.createDataFrame([(7, "lugal", [0.0, 1.0]), (8, "e2", [1.0, 0.0])], "id long, token string, vec array<double>")
+    both = lookup.SemanticLookup(s, t, check=True)
+    assert [r.token for r in both.find(words(spark, "KING"), 1).collect()] == ["lugal"]  # the last of the targets that differ in case
+    with pytest.raises(ValueError):
+        lookup.find_in({"a": both}, "b", words(spark, "king"))
+    with pytest.raises(ValueError):
+        lookup.SemanticLookup(s.union(spark.createDataFrame([(9, "x", [1.0])], s.schema)), t, check=True)
+    with pytest.raises(KeyError):
+        lookup.displacement(spark.createDataFrame([(7, 99)], "source_id long, target_id long"), s, t, strict=True)
+    with pytest.raises(ValueError):
+        lookup.pairwise_distances(s.select("id"), s, most=1)
+
+
+def test_domains_and_deltas(spark):
+    grid = spark.createDataFrame([(1, 2, 0.1, 0.25), (1, 3, 0.4, 0.1), (2, 3, 0.001, 0.9), (2, 4, 0.2, 0.3)], "a long, b long, da double, db double")
+    kinds = lenses.merges_splits(grid)
+    assert rows(kinds) == [(1, 2, "merge"), (1, 3, "split")]
+    d = spark.createDataFrame([(k,) for k in (1, 2, 3, 4)], "label long")
+    similar = spark.createDataFrame([(1, 0.5)], "label long, similarity double")
+    assert rows(lenses.rank_domains(d, kinds, similar)) == [(1, 1, 1, 6.5), (2, 1, 0, 7.0), (3, 0, 1, 7.0), (4, 0, 0, 5.0)]
+    a, b = spark.createDataFrame([(1, 50.0), (5, 70.0)], "k int, accuracy double"), spark.createDataFrame([(1, 45.5)], "k int, accuracy double")
+    assert rows(linalg.deltas(a, b, "k", "accuracy")) == [(1, 50.0, 4.5), (5, 70.0, None)]
+
+
+def test_permutation_test_finds_what_differs(spark):
+    x = spark.createDataFrame([("apart" if i < 20 else "rest", i, 1.0 if i < 20 else i % 10 / 20) for i in range(200)], "grp string, id long, value double")
+    got = {r.grp: r.p_value for r in lenses.permutation_test(x, 99).collect()}
+    assert got["apart"] == 0.01 and got["rest"] > 0.5
+
+
+def test_searched_and_flat_passages(spark):
+    q = spark.createDataFrame([("q", "lu-gal"), ("q", "e2"), ("q", "")], "query string, token string")
+    lines = spark.createDataFrame([(1, 0, "lugal here", "a"), (2, 0, "lugal e2", "b"), (2, 1, "E2 lugal", "a"), (3, 0, "none", "a")], "text_id long, line_no int, line string, kind string")
+    assert rows(passages.search_passages(q, lines, F.col("kind") == "a", 2), "rank") == [("q", 1, 2, 1, 2.0), ("q", 2, 1, 0, 1.0)]
+    flat = spark.createDataFrame([(k, x) for k, x in enumerate(["a", "lugal", "b", "c"])], "line_no int, line string")
+    got = passages.flat_passages(spark.createDataFrame([("LUGAL",)], "query string"), flat, 1)
+    assert rows(got) == [("LUGAL", 1, "lugal", "a\nlugal\nb")]

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from lexmesh.sources import corpora, sinks
 
 
@@ -78,5 +80,48 @@ def test_zip_members_and_reports(spark, tmp_path):
     (tmp_path / "b.zip").write_text("no archive")
     got = corpora.read_zip_members(spark, str(tmp_path / "*.zip"), r"corpusjson/.*\.json$").collect()
     assert [(r.member, r.text) for r in got] == [("x/corpusjson/P1.json", '{"cdl":[]}')]
+    texts, lemmas = corpora.read_projects(spark, str(tmp_path / "*.zip"))
+    assert texts.count() == lemmas.count() == 0
     made = run_audit(spark, "/root/testdata/sf0.001", str(tmp_path / "out"))
     assert made["anchor_audit_buckets"].count() == 9 and spark.read.json(str(tmp_path / "out/metadata")).count() == 1
+
+
+def test_projects_words_and_contracts(spark, tmp_path):
+    import zipfile
+
+    leaf = lambda form: {"f": {"lang": "sux", "form": form, "cf": form, "gw": "x", "pos": "N"}}
+    tree = {"cdl": [{"type": "line-start"}, leaf("a"), leaf("b"), {"ftype": "line-start", "cdl": [leaf("c")]}]}
+    with zipfile.ZipFile(tmp_path / "p.zip", "w") as z:
+        z.writestr("p/corpusjson/P0001.json", json.dumps(tree))
+        z.writestr("p/corpusjson/P0002.json", "{broken")
+    texts, lemmas = corpora.read_projects(spark, str(tmp_path / "*.zip"))
+    assert [(r.p_number, r.lines) for r in texts.collect()] == [("P0001", ["a b", "c"])] and lemmas.count() == 3
+    lines = spark.createDataFrame([(1, "king 1 2"), (2, "Lugal 0 1"), (3, "x 1")], "line_no int, value string")
+    assert [r.token for r in corpora.vector_words(lines).collect()] == ["king", "Lugal", "x"]
+    for n, what in ((2, "line 3: 1 values"), (1, "line 1: 2 values")):
+        with pytest.raises(ValueError, match=what):
+            corpora.check_vectors(lines, n)
+    with pytest.raises(ValueError, match="line 2: 'Lugal'"):
+        corpora.check_vectors(lines.filter("line_no < 3"), 2)
+    corpora.check_vectors(lines.filter("line_no = 1"), 2)
+    made = sinks.metadata({"vocab_size": 3}, {"gemma": {"dim": 768}, "glove": {"ridge_alpha": 1}}, {"gemma": spark.createDataFrame([(1, 52.1)], "k int, accuracy double")})
+    assert made["spaces"]["gemma"] == {"ridge_alpha": 100, "dtype": "float16", "accuracy": {"top1": 52.1}, "dim": 768} and made["spaces"]["glove"]["accuracy"] is None
+    sinks.write_metadata(spark, made, str(tmp_path / "m"))
+    assert json.loads(spark.read.text(str(tmp_path / "m")).first().value)["schema_version"] == 2
+
+
+def test_atlas_of_a_configuration(spark, tmp_path):
+    from lexmesh.operators import atlas
+    from lexmesh.plans import jobs, vector_queries
+
+    config = vector_queries.atlas_config(spark, "/root/testdata/sf0.001")
+    made = jobs.write_atlas(spark, config, str(tmp_path / "a"))
+    assert {r.lens for r in made["summary"].collect()} == {"lens1", "lens2", "lens3", "lens4", "lens5", "lens6"}
+    stamps = spark.read.json(str(tmp_path / "a/metadata")).first()
+    assert {r.input for r in stamps.inputs} == {"source", "target", "anchors", "second"}
+    again = {r.input: r.sha256 for r in atlas.stamp({"source": config.source.repartition(5)}).collect()}
+    assert again["source"] == {r.input: r.sha256 for r in stamps.inputs}["source"]
+    assert spark.read.text(str(tmp_path / "a/pages/lens3_histogram")).count() > 20
+    import dataclasses
+
+    assert "lens4" not in atlas.run(dataclasses.replace(config, second=None))

@@ -45,3 +45,8 @@ def test_morphemes_and_words(spark):
     assert one(spark, X.source_words, "Lu2 lu2 šeš kur") == [["lu2", "šeš", "kur"]]
     assert one(spark, X.target_words, "The king OF the land") == [["king", "land"]]
     assert one(spark, X.neutralize_entities, '<a xmlns="q">&amp;&C;&#5;') == ["<a>&amp;_C_&#5;"]
+
+
+def test_dots_and_underscores(spark):
+    got = one(spark, X.clean_tokens, "_a_ b_c moon. x.y _one two_ z", "1.5 a.1 KA.KAK... 2. end.")
+    assert got == [["b_c", "moon", "x", "y", "_one", "two_", "z"], ["1.5", "a.1", "ka", "kak", "2.", "end"]]
