@@ -77,10 +77,10 @@ class Encoder:
             text = chunk.decode()
             if max(text) >= "ɐ" or not text.isprintable():
                 got = self.slow(text)
-            elif text.isalpha():
-                got = self.word(text.lower())
+            elif (low := text.lower()).isalpha():
+                got = self.word(low)
             else:
-                got = b"".join(map(self.part, self.SPLIT.findall(text.lower())))
+                got = b"".join(map(self.part, self.SPLIT.findall(low)))
         if len(self.young) >= self.LIMIT:
             self.old, self.young = self.young, {}
         self.young[chunk] = got
