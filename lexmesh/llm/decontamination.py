@@ -61,7 +61,10 @@ def scan(docs: DataFrame, windows: DataFrame, doc_id: str, text: str, window: in
 
         def of(h: Column) -> Column:
             fp = lambda s: F.array_min(F.slice(h, s + 1, span))
-            starts = F.filter(F.sequence(F.lit(0), n - window), lambda s: has_bit(whole, fp(s)))
+            # a window's fingerprint is one of its k-grams: only windows around a k-gram in the map need their minimum
+            marked = F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: has_bit(whole, F.get(h, i)))
+            around = lambda i: F.filter(F.sequence(F.greatest(i - (span - 1), F.lit(0)), F.least(i, n - window)), lambda s: fp(s) == F.get(h, i))
+            starts = F.array_distinct(F.flatten(F.transform(marked, around)))
             return F.transform(starts, lambda s: F.struct(s.alias("s"), F.lit(window).alias("m"), fp(s).alias("fp"), F.array_join(F.slice(w, s + 1, window), " ").alias("win")))
 
         long = F.when(n >= window, let(grams(w, k), of)).otherwise(none)
