@@ -39,7 +39,7 @@ from .near_duplicates import GAMMA, mix
 
 END = b"\n"  # no word holds a newline
 K = 4.0
-BLOCK_BYTES = 16_000_000  # text of a block is less than twice this, unless it is one text
+BLOCK_BYTES = 10_000_000  # text of a block is less than twice this, unless it is one text
 BUCKET_BYTES = 8_000_000  # text of the corpus for each bucket of keys
 KEY_BITS = 20
 SPAN = 1 << 20  # bytes hashed at once
@@ -96,7 +96,7 @@ def places(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ends = np.flatnonzero(word & (cut[1:] | ~np.append(word[1:], False))) + 1
     of = np.searchsorted(bounds, starts, "right") - 1
     sizes = np.bincount(of, minlength=n) + 2
-    text = np.repeat(np.arange(n), sizes)
+    text = np.repeat(np.arange(n, dtype=np.int32), sizes)
     last = np.cumsum(sizes) - 1
     keys = np.empty(len(text), np.uint64)
     keys[np.arange(len(starts)) + 2 * of + 1] = token_hashes(data, starts, ends)
@@ -126,15 +126,16 @@ def grams(texts: pa.Array, order: int, bits: int) -> tuple[list[np.ndarray], lis
 
 
 def packed(x: np.ndarray) -> bytes:
-    """Whole numbers of at least 0 as planes of bytes, least byte first, as many as the largest needs."""
+    """Whole numbers of at least 0: how many bytes the largest needs, then their planes, least byte first, compressed."""
     n = (int(x.max(initial=0)).bit_length() + 7) // 8
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T).tobytes()
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T)
+    return bytes([n]) + (pa.compress(planes.tobytes(), "zstd", asbytes=True) if n and len(x) else b"")
 
 
 def unpacked(x: bytes, n: int) -> np.ndarray:
     out = np.zeros((n, 8), np.uint8)
-    if n and x:
-        out[:, : len(x) // n] = np.frombuffer(x, np.uint8).reshape(-1, n).T
+    if n and x[0]:
+        out[:, : x[0]] = np.frombuffer(pa.decompress(x[1:], x[0] * n, "zstd", asbytes=True), np.uint8).reshape(-1, n).T
     return out.view("<u8")[:, 0]
 
 
@@ -197,8 +198,10 @@ def requests(blocks: DataFrame, order: int, bits: int, buckets: int) -> DataFram
         docs = block_rows(rows)
         keys, there, text, _ = grams(one(docs.column("text")), order, bits)
         learn = docs.column("train").to_numpy()[text]
-        u, at = np.unique(flat(keys, there), return_inverse=True)
-        n = np.bincount(at, flat([learn] * len(keys), there), len(u)).astype(np.int64)
+        u = np.unique(flat(keys, there))
+        taught, times = np.unique(flat(keys, [t & learn for t in there]), return_counts=True)
+        n = np.zeros(len(u), np.int64)
+        n[np.searchsorted(u, taught)] = times
         bucket = ((u >> np.uint64(bits - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         ends = np.flatnonzero(np.append(np.diff(bucket) != 0, True)) + 1
         starts = np.append(0, ends[:-1])
@@ -248,7 +251,7 @@ def score_blocks(blocks: DataFrame, answered: DataFrame, order: int, bits: int,
         teaches = train[whose]
         got = sorted(zip(answered.column("bucket").to_pylist(), answered.column("size").to_pylist(), answered.column("others").to_pylist()))
         c = np.bincount(at, teaches, len(u)) + np.concatenate([unpacked(x, size) for _, size, x in got]).astype(np.float64)
-        _, at_own, own = np.unique(mix(every + mix((whose + 1).astype(np.uint64))), return_inverse=True, return_counts=True)
+        _, at_own, own = np.unique(mix(every + mix(whose.astype(np.uint64) + np.uint64(1))), return_inverse=True, return_counts=True)
         whole, other = c[at], c[at] - np.where(teaches, own[at_own], 0)  # with and without the text's own
         size = len(docs)
         place = ~begin
