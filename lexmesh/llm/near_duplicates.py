@@ -35,6 +35,7 @@ M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
 GAMMA = np.uint64(0x9E3779B97F4A7C15)
 SHINGLE = 5
 BANDS, ROWS = 25, 5
+SLICE = 250  # documents signed at once, which bounds a worker's memory
 
 _hashes: dict[bytes, int] = {}
 
@@ -102,8 +103,8 @@ def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: int = S
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
+            for at in range(0, whole.num_rows, SLICE):
+                b = whole.slice(at, SLICE)
                 sets = [np.unique(shingles(x, shingle), return_counts=True) for x in b.column(3).to_pylist()]
                 own = [k for k, (s, _) in enumerate(sets) if len(s)]
                 out: list = [[]] * len(sets)
@@ -129,8 +130,8 @@ def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
+            for at in range(0, whole.num_rows, SLICE):
+                b = whole.slice(at, SLICE)
                 sets = [np.unique(shingles(x, shingle)).view(np.int64) for x in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "sh"])
 

@@ -40,7 +40,7 @@ class Encoder:
     model directly, all others through the tokenizer's whole chain.
     """
 
-    LIMIT = 700_000
+    LIMIT = 250_000
     SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
     def __init__(self, path: str):
@@ -107,8 +107,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
         enc = encoder(tokenizer)
         for b in batches:
             out: list[tuple] = []
-            for key, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = enc.ids(x or "") + end
+            for key, text in zip(b.column(0).to_pylist(), b.column(1)):  # one text at a time as a Python string
+                ids = enc.ids(text.as_py() or "") + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     out.append((key, k, at // 4, len(part) // 4, zlib.crc32(part)))
