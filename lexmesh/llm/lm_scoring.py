@@ -16,7 +16,7 @@ How it runs: the model is held whole nowhere. Documents are dealt to blocks of n
 the keys of its distinct n-grams, with their training counts, to the buckets of the keys' ranges; a bucket adds up and
 answers each block, in the order of its keys, how often its n-grams occur in the other blocks. Then the block's texts are
 walked left to right, all texts at once, and each adds up its log-probabilities. Keys are hashes of
-``KEY_BITS`` more bits than the corpus has bytes (64 at most), so two n-grams share one by a chance of 2^-KEY_BITS or so.
+``KEY_BITS`` more bits than the corpus has bytes (63 at most), so two n-grams share one by a chance of 2^-KEY_BITS or so.
 
 Defined cases: a null text is empty, so it is the end token alone. Without training documents every token has probability
 one. Repeated rows are scored each on its own; a null in the training column counts as held out. Very long texts are walked
@@ -198,10 +198,9 @@ def requests(blocks: DataFrame, order: int, bits: int, buckets: int) -> DataFram
         docs = block_rows(rows)
         keys, there, text, _ = grams(one(docs.column("text")), order, bits)
         learn = docs.column("train").to_numpy()[text]
-        u = np.unique(flat(keys, there))
-        taught, times = np.unique(flat(keys, [t & learn for t in there]), return_counts=True)
-        n = np.zeros(len(u), np.int64)
-        n[np.searchsorted(u, taught)] = times
+        marked = np.sort(flat(keys, there) << np.uint64(1) | flat([learn] * len(keys), there).astype(np.uint64))  # whether it teaches: the lowest bit
+        first = np.flatnonzero(np.append(True, np.diff(marked >> np.uint64(1)) != 0))
+        u, n = marked[first] >> np.uint64(1), np.add.reduceat((marked & np.uint64(1)).astype(np.int64), first)
         bucket = ((u >> np.uint64(bits - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         ends = np.flatnonzero(np.append(np.diff(bucket) != 0, True)) + 1
         starts = np.append(0, ends[:-1])
@@ -286,7 +285,7 @@ def score_texts(docs: DataFrame, train: str, doc_id: str = "doc_id", text: str =
     if not 1 <= order <= 3:
         raise ValueError("order must be 1, 2 or 3")
     size = int(docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0])
-    bits = min(64, max(40, size.bit_length() + KEY_BITS))
+    bits = min(63, max(40, size.bit_length() + KEY_BITS))
     blocks = in_blocks(docs, doc_id, text, train)
     answered = settle(answers(requests(blocks, order, bits, 1 + size // BUCKET_BYTES)))
     n, v = answered.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
