@@ -92,9 +92,31 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .manifest import fold, manifest, proof
+
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    text = F.when(changed, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    found = manifest(table(spark, sf_dir, "documents"), text).withColumn("folded_root", fold(F.col("claimed"), F.col("path")))
+    return found.select("doc_id", "leaf", "subroot", "root", proof(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lz_fingerprint import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversation_repair import damaged, repaired
+
+    return repaired(damaged(table(spark, sf_dir, "conversations")))
+
+
 _ALL = (
     op1_quality_rules, op2_near_duplicates, op3_url_filters, op4_line_dedup, op5_lm_scoring, op6_language_id,
     op7_best_fit_packing, op8_benchmark_decontamination, op9_quality_classifier, op10_html_extraction,
+    op11_merkle_manifest, op12_lz_fingerprint, op13_conversation_repair,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 SPLIT = r"'[^\x20\x09-\x0D]+'"
