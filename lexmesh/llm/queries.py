@@ -123,6 +123,19 @@ SPLIT = r"'[^\x20\x09-\x0D]+'"
 FURNITURE = "(?i)" + "|".join(p.replace("'", "''") for p in PHRASES)
 MARKS = r"#*$%&|<>{}\\^~="
 
+
+def _crc(s: str) -> str:
+    """SQL for crc32 of an ASCII string, bit by bit."""
+    eight = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, k: xor(v >> 1, 3988292384 * (v & 1)))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length({s}) + 1), lambda i: CAST(ascii(({s})[i]) AS BIGINT))), lambda c, b: {eight}), 4294967295)"
+
+
+def _leaf(text: str) -> str:
+    """SQL for a leaf of the manifest."""
+    one = (f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", text))
+    return f"sha256({' || '.join(one)})"
+
+
 ORACLES: dict[str, str] = {
     "op1_quality_rules": rf"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
@@ -182,4 +195,63 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
         FROM d LEFT JOIN cover USING (r) LEFT JOIN of USING (r)""",
+    "op11_merkle_manifest": f"""
+        WITH RECURSIVE d AS (
+            SELECT *, coalesce('1' || source, '0') AS g,
+                   CASE WHEN {_crc("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS changed FROM documents),
+        l0 AS (SELECT doc_id, g, {_leaf('text')} AS leaf, {_leaf('changed')} AS claimed FROM d),
+        l AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM l0),
+        t AS (SELECT g, pos, n, 0 AS level, leaf AS h FROM l
+              UNION ALL SELECT g, pos // 3, any_value((n + 2) // 3), any_value(level + 1), sha256(string_agg(h, '' ORDER BY pos)) FROM t WHERE n > 1 GROUP BY g, pos // 3),
+        s0 AS (SELECT g, h AS subroot, level AS height FROM t WHERE n = 1),
+        s AS (SELECT *, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM s0),
+        u AS (SELECT pos, n, 0 AS level, subroot AS h FROM s
+              UNION ALL SELECT pos // 3, any_value((n + 2) // 3), any_value(level + 1), sha256(string_agg(h, '' ORDER BY pos)) FROM u WHERE n > 1 GROUP BY pos // 3),
+        a AS (SELECT l.g, l.pos, k AS level, l.pos // CAST(pow(3, k) AS BIGINT) AS spot FROM l JOIN s USING (g), range(height) h(k)),
+        b AS (SELECT s.g, height + k AS level, k, s.pos // CAST(pow(3, k) AS BIGINT) AS spot FROM s, range((SELECT max(level) FROM u)) h(k)),
+        p AS (SELECT a.g, a.pos, a.level, coalesce(string_agg(t.h, '' ORDER BY t.pos) FILTER (WHERE t.pos < spot), '') AS before, coalesce(string_agg(t.h, '' ORDER BY t.pos) FILTER (WHERE t.pos > spot), '') AS after
+              FROM a JOIN t ON t.g = a.g AND t.level = a.level AND t.pos // 3 = a.spot // 3 GROUP BY 1, 2, 3),
+        q AS (SELECT b.g, b.level, coalesce(string_agg(u.h, '' ORDER BY u.pos) FILTER (WHERE u.pos < spot), '') AS before, coalesce(string_agg(u.h, '' ORDER BY u.pos) FILTER (WHERE u.pos > spot), '') AS after
+              FROM b JOIN u ON u.level = b.k AND u.pos // 3 = b.spot // 3 GROUP BY 1, 2),
+        w AS (SELECT g, pos, level, before, after FROM p UNION ALL SELECT l.g, l.pos, q.level, before, after FROM l JOIN q USING (g)),
+        f AS (SELECT g, pos, 0 AS level, claimed AS h FROM l
+              UNION ALL SELECT f.g, f.pos, f.level + 1, sha256(before || h || after) FROM f JOIN w ON w.g = f.g AND w.pos = f.pos AND w.level = f.level),
+        e AS (SELECT g, pos, arg_max(h, level) AS folded_root FROM f GROUP BY 1, 2),
+        pr AS (SELECT g, pos, sha256(string_agg(before || after, '' ORDER BY level)) AS proof FROM w GROUP BY 1, 2),
+        r AS (SELECT h AS root FROM u WHERE n = 1)
+        SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+        FROM l JOIN s USING (g) JOIN e ON e.g = l.g AND e.pos = l.pos LEFT JOIN pr ON pr.g = l.g AND pr.pos = l.pos, r""",
+    "op13_conversation_repair": rf"""
+        WITH RECURSIVE c AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS s FROM conversations),
+        k AS (SELECT *, {_crc('s')} % 20 AS kind FROM c),
+        d AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                     unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) FROM k),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM d),
+        m AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again,
+                     NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut, left(role, 1) AS x, left(role, 1) || lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS pair FROM o),
+        f AS (SELECT *, CASE WHEN blank OR again THEN 2 WHEN cut THEN 1 ELSE 0 END AS fault FROM m),
+        st AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+                      count(*) FILTER (fault = 1) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+        nx(q, y, z) AS (VALUES (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+        ins(q, z, c, i) AS (SELECT q, q, 0, '' FROM nx UNION ALL SELECT q, z, 3, 'I' FROM nx UNION ALL SELECT a.q, b.z, 6, 'II' FROM nx a JOIN nx b ON b.q = a.z),
+        b AS (
+            SELECT conv_id, CAST(1 AS BIGINT) AS pos, 0 AS q, 0 AS cost, '' AS audit FROM st
+            UNION ALL
+            SELECT conv_id, pos + 1, to_q, min(ROW(c2, a2))[1], min(ROW(c2, a2))[2] FROM (
+                SELECT b.conv_id, b.pos, e.t AS to_q, b.cost + ins.c + e.c AS c2, b.audit || ins.i || e.l AS a2
+                FROM b JOIN ins ON ins.q = b.q JOIN f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.pos = b.pos JOIN nx ON nx.q = ins.z,
+                LATERAL (SELECT 'D' AS l, 4 AS c, nx.q AS t
+                    UNION ALL SELECT 'K', 3 * fault, CASE WHEN x = nx.y THEN nx.z ELSE 1 END WHERE fault < 2 AND (x = nx.y OR x = 's' AND nx.q = 0)
+                    UNION ALL SELECT 'R', 3 + 3 * fault, nx.z WHERE fault < 2) e)
+            GROUP BY conv_id, pos, to_q),
+        best AS (SELECT b.conv_id, min(ROW(b.cost + ins.c, b.audit || ins.i)) AS w FROM b JOIN ins ON ins.q = b.q JOIN st ON st.conv_id IS NOT DISTINCT FROM b.conv_id AND b.pos = st.n + 1 WHERE ins.z IN (0, 3) GROUP BY b.conv_id),
+        a AS (SELECT conv_id, w[1] AS cost, w[2] AS audit FROM best),
+        e AS (SELECT conv_id, audit, i, audit[i] AS l, length(replace(audit[1:i], 'I', '')) AS row FROM a, range(1, 1000000) r(i) WHERE i <= length(audit)),
+        y AS (SELECT e.conv_id, i, l, role, text, count(*) FILTER (l <> 'D' AND NOT (l = 'K' AND f.x = 's')) OVER (PARTITION BY e.conv_id ORDER BY i) % 2 AS odd
+              FROM e LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM e.conv_id AND f.pos = e.row AND l <> 'I'),
+        z AS (SELECT conv_id, string_agg(CASE l WHEN 'K' THEN role ELSE CASE odd WHEN 1 THEN 'user' ELSE 'assistant' END END || ':' || CASE l WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY i) AS whole FROM y WHERE l <> 'D' GROUP BY conv_id)
+        SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN st ON st.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM i.conv_id""",
 }

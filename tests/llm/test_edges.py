@@ -15,10 +15,10 @@ PAGE = "<html><body><nav>Menu</nav><article><h1>Title</h1><p>Body &amp; soul</p>
 CLASH = ("id", "key", "th", "bits", "w", "cls", "grp", "block", "train", "host", "path", "kept", "score", "spans", "features", "label", "line", "bad", "a", "b")
 
 
-def write(spark, folder, docs, bench, labels, pages):
+def write(spark, folder, docs, bench, labels, pages, conversations):
     extra = [F.lit("z").alias(c) for c in CLASH]
     for name, rows, schema in (
-        ("documents", docs, DOCS), ("benchmark", bench, "item_id long, text string"), ("labels", labels, "doc_id long, quality int, toxic int"), ("pages", pages, "page_id long, url string, html string"),
+        ("documents", docs, DOCS), ("benchmark", bench, "item_id long, text string"), ("labels", labels, "doc_id long, quality int, toxic int"), ("pages", pages, "page_id long, url string, html string"), ("conversations", conversations, "conv_id long, turn long, role string, text string"),
     ):
         spark.createDataFrame(rows, schema).select("*", *extra).coalesce(2).write.parquet(f"{folder}/{name}.parquet")
     return str(folder)
@@ -26,7 +26,7 @@ def write(spark, folder, docs, bench, labels, pages):
 
 @pytest.fixture(scope="module")
 def empty(spark, tmp_path_factory):
-    return write(spark, tmp_path_factory.mktemp("empty"), [], [], [], [])
+    return write(spark, tmp_path_factory.mktemp("empty"), [], [], [], [], [])
 
 
 @pytest.fixture(scope="module")
@@ -38,10 +38,11 @@ def odd(spark, tmp_path_factory):
     bench = [(1, "looked at the moon. It was a clear night, and all"), (2, "old town"), (3, None), (4, ""), (None, "clear night"), (2, "old town")]
     labels = [(0, 1, 0), (1, 0, 0), (2, 1, 1), (3, None, None), (None, 1, 0), (14, 1, 0), (999, 0, 1)]
     pages = [(1, "http://a.com/en/1", PAGE), (2, None, PAGE), (3, "nonsense", None), (None, "HTTP://Shop.COM/en/", ""), (5, "http://a.com/en/2", "<p>broken <b>mark"), (5, "http://a.com/en/2", "<p>broken <b>mark"), (6, "http://b.net/de/3", "x" * 300_000)]
-    return write(spark, tmp_path_factory.mktemp("odd"), docs, bench, labels, pages)
+    talks = [(1, 0, "user", "Hi."), (1, 0, "user", "Hi."), (1, None, None, None), (None, 2, "assistant", ""), (2, 1, "system", LONG), (3, 1, "tool", "x")]
+    return write(spark, tmp_path_factory.mktemp("odd"), docs, bench, labels, pages, talks)
 
 
-ROWS = {"op3_url_filters": 7, "op10_html_extraction": 7, "op4_line_dedup": None, "op7_best_fit_packing": None}
+ROWS = {"op3_url_filters": 7, "op10_html_extraction": 7, "op4_line_dedup": None, "op7_best_fit_packing": None, "op13_conversation_repair": 4}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
