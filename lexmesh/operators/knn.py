@@ -1,4 +1,4 @@
-"""Exact vector search: blocks of queries meet blocks of rows in tasks, and partial tops meet by query."""
+"""Exact vector search: a block of queries meets all rows in their tasks, and partial tops meet by query."""
 
 from __future__ import annotations
 
@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 4096  # queries in a block, and rows in a block of pairs
-ROWS = 65_536  # rows in a block that meets a block of queries
+BLOCK = 4096  # queries that are sent to all tasks, at most
+ROWS = 16_384  # rows in a block of a cell
 STRIP = 4096  # rows scored at once
 NONE = -2_000_000  # below every score in millionths
 
@@ -63,39 +63,27 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, other: bool = False) ->
     """(qid, rank, id, score), the k rows of highest cosine for each query, ranked by the rounded score, then id.
 
     queries (id long) and rows (id long or string) have unit vectors vec; other leaves out the row that has the query's id.
-    One block of queries is sent to all tasks; more blocks of queries are paired with blocks of rows by a join on block numbers,
-    so no side is held whole anywhere.
+    One block of queries is sent to all tasks; more queries than that are routed to the cells that may hold their answers
+    (``cells.CellIndex.exact``), so no side is held whole anywhere.
     """
     spark, kind = rows.sparkSession, rows.schema["id"].dataType.simpleString()
     arrow = pa.string() if kind == "string" else pa.int64()
     schema = f"qid long, id {kind}, score double"
-    n = queries.count()
-    if n <= BLOCK:
-        block = queries.select("id", "vec").limit(BLOCK).toArrow()
-        sent = spark.sparkContext.broadcast((numbers(block.column("id")), matrix(block.column("vec"))))
-
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            top = Top(*sent.value, k, other)
-            for b in batches:
-                if len(top.qids) and b.num_rows:
-                    top.add(numbers(b.column(0)), matrix(b.column(1)))
-            yield from top.table(arrow).to_batches()
-
-        found = rows.select("id", "vec").mapInArrow(work, schema)
-    else:
-        nq, nr = -(-n // BLOCK), max(1, -(-rows.count() // ROWS))
-        block_of = lambda count: F.pmod(F.xxhash64("id"), F.lit(count))
-        each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)).cast("array<long>"))
-        q = queries.select(block_of(nq).alias("qb"), each(nr).alias("rb"), "id", "vec")
-        r = rows.select(each(nq).alias("qb"), block_of(nr).alias("rb"), "id", "vec")
-
-        def meet(q: pa.Table, r: pa.Table) -> pa.Table:
-            top = Top(numbers(q.column("id")), matrix(q.column("vec")), k, other)
-            if q.num_rows and r.num_rows:
-                top.add(numbers(r.column("id")), matrix(r.column("vec")))
-            return top.table(arrow)
-
-        found = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInArrow(meet, schema)
+    block = queries.select("id", "vec").limit(BLOCK + 1).toArrow()
+    if block.num_rows > BLOCK:
+        from .cells import CellIndex
+
+        return CellIndex(rows).exact(queries, k, other=other)
+    sent = spark.sparkContext.broadcast((numbers(block.column("id")), matrix(block.column("vec"))))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = Top(*sent.value, k, other)
+        for b in batches:
+            if len(top.qids) and b.num_rows:
+                top.add(numbers(b.column(0)), matrix(b.column(1)))
+        yield from top.table(arrow).to_batches()
+
+    found = rows.select("id", "vec").mapInArrow(work, schema)
     # a query's candidates are k from each task or block at most
     top = found.groupBy("qid").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("m"), "id"))), 1, k).alias("t"))
     return top.select("qid", F.posexplode("t").alias("pos", "x")).select("qid", (F.col("pos") + 1).alias("rank"), F.col("x.id").alias("id"), (-F.col("x.m")).alias("score"))
@@ -107,43 +95,7 @@ def nearest_named(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
 
 
 def pair_report(rows: DataFrame, top: int, low: float, high: float, bins: int) -> tuple[DataFrame, DataFrame]:
-    """(a, b, score) of the top pairs of all rows, and (bin, n) of pairs from low to high, the last bin closed.
+    """(a, b, score) of the top pairs of all rows, and (bin, n) of pairs from low to high. ``cells`` has both on their own."""
+    from . import cells
 
-    Every pair of blocks of rows is one group; groups keep their best pairs and bin counts only, so pairs are never rows.
-    """
-    spark = rows.sparkSession
-    blocks = max(1, -(-rows.count() // BLOCK))
-    own = rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b"), "id", "vec")
-    each = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>"))).select(F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), "b", "id", "vec")
-
-    def work(t: pa.Table) -> pa.Table:
-        block, ids, v = (numbers(t.column("b")), numbers(t.column("id")), matrix(t.column("vec")))
-        x = np.flatnonzero(block == block.min())
-        y = x if block.min() == block.max() and t.column("lo")[0].as_py() == t.column("hi")[0].as_py() else np.flatnonzero(block != block.min())
-        a = b = np.empty(0, np.int64)
-        best, n = np.empty(0), np.zeros(bins, np.int64)
-        for lo in range(0, len(x), 1024):
-            i0 = x[lo : lo + 1024]
-            scores = np.round(v[i0] @ v[y].T, 6)
-            if y is x:
-                scores[ids[i0][:, None] >= ids[y][None, :]] = -2
-            inside = scores[(scores >= low) & (scores <= high)]
-            n += np.bincount(np.minimum(((inside - low) / (high - low) * bins + 1e-9).astype(np.int64), bins - 1), minlength=bins)
-            bar = best.min() if len(best) >= top else -1.5
-            i, j = np.nonzero(scores >= bar)
-            if len(i) > 4 * top:
-                flat = scores[i, j]
-                bar = np.partition(flat, len(flat) - top)[len(flat) - top]
-                i, j = i[flat >= bar], j[flat >= bar]
-            first, second = ids[i0][i], ids[y][j]
-            best, a, b = np.concatenate([best, scores[i, j]]), np.concatenate([a, np.minimum(first, second)]), np.concatenate([b, np.maximum(first, second)])
-            at = np.lexsort((b, a, -best))[:top]
-            best, a, b = best[at], a[at], b[at]
-        k = np.flatnonzero(n)
-        return pa.table({"a": pa.array(np.concatenate([a, -1 - k])), "b": pa.array(np.concatenate([b, n[k]])), "score": pa.array(np.concatenate([best, np.zeros(len(k))]))})
-
-    tops = each.groupBy("lo", "hi").applyInArrow(work, "a long, b long, score double")
-    edges = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
-    found = tops.filter("a < 0").groupBy((-1 - F.col("a")).cast("int").alias("bin")).agg(F.sum("b").alias("n"))
-    counts = edges.join(found, "bin", "left").select("bin", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
-    return tops.filter("a >= 0").orderBy(F.desc("score"), "a", "b").limit(top), counts
+    return cells.top_pairs(rows, top), cells.pair_counts(rows, low, high, bins)

@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import norm, pad, unit
-from ..operators import atlas, lenses, linalg, lookup
-from ..operators.knn import pair_report
+from ..operators import atlas, cells, lenses, linalg, lookup
 from ..storage import settle
 from .registry import query, table
 
@@ -195,6 +194,35 @@ def lens3_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lenses.histogram(lenses.isolation(e.filter(QUERY), e), "distance", 0.0, 2.0, 20)
 
 
+def _cells(rows: DataFrame) -> cells.CellIndex:
+    """As many cells as the square root of the rows, also where one would do."""
+    return cells.CellIndex(rows, max(1, round(rows.count() ** 0.5)))
+
+
+@query(f"WITH {SPACE_SQL}, q AS (SELECT id, f AS v FROM e WHERE {QUERY}), {_top_sql('q', 'f', 10, True)} SELECT qid, rank, id, score FROM top")
+def cell_search_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J7 through cells: only the cells that may hold one of a query's ten nearest are searched."""
+    e = space(spark, sf_dir)
+    return _cells(e).exact(e.filter(QUERY), 10, other=True)
+
+
+@query()
+def cell_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the ten nearest an approximate search of the nearest cells finds, and in how many of all cells."""
+    e = space(spark, sf_dir)
+    index, q = _cells(e), e.filter(QUERY)
+    probes = index.probes_for(q, 10, other=True)
+    found = cells.recall(index.search(q, 10, probes, other=True), index.exact(q, 10, other=True))
+    return found.select("*", F.lit(probes).alias("probes"), F.lit(len(index.centers)).alias("cells"))
+
+
+@query(f"WITH {SPACE_SQL}, p AS (SELECT x.id AS a, y.id AS b, round(list_dot_product(x.a, y.a), 6) AS score FROM e x JOIN e y ON x.id < y.id) SELECT a, b, score FROM p ORDER BY score DESC, a, b LIMIT 100")
+def pivot_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J8 through cells: the hundred nearest pairs of space a; rows visit only the cells that may hold such a partner."""
+    a = space(spark, sf_dir, "a")
+    return cells.top_pairs(a, 100, max(1, round(a.count() ** 0.5)))
+
+
 DIV_SQL = f"""WITH {SPACE_SQL}, qa AS (SELECT id, a AS v FROM e WHERE {QUERY}), qb AS (SELECT id, b AS v FROM e WHERE {QUERY}), {_top_sql('qa', 'a', 10, True, 'ta')}, {_top_sql('qb', 'b', 10, True, 'tb')},
     div AS (SELECT ta.qid AS id, round(1 - count(tb.id) / (20 - count(tb.id)), 6) AS jaccard FROM ta LEFT JOIN tb ON tb.qid = ta.qid AND tb.id = ta.id GROUP BY ta.qid)"""
 
@@ -220,14 +248,14 @@ PAIRS_SQL = f"WITH {SPACE_SQL}, p AS (SELECT x.id AS a, y.id AS b, round(list_do
 
 @query(f"{PAIRS_SQL} SELECT a, b, score, a % 3 = 0 AS a_anchored, b % 3 = 0 AS b_anchored FROM p WHERE score >= 0.35 ORDER BY score DESC, a, b LIMIT 50")
 def lens5_doppelgangers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs, _ = pair_report(space(spark, sf_dir), 50, 0.2, 0.5, 15)
+    pairs = cells.top_pairs(space(spark, sf_dir), 50)
     flags = {"a_anchored": F.col("a") % 3 == 0, "b_anchored": F.col("b") % 3 == 0}
     return pairs.filter("score >= 0.35").withColumns(flags)
 
 
 @query(f"{PAIRS_SQL} SELECT CAST(g AS INT) AS bin, count(a) AS n FROM range(15) t(g) LEFT JOIN p ON least(floor((score - 0.2) / (0.5 - 0.2) * 15 + 1e-9), 14) = g AND score BETWEEN 0.2 AND 0.5 GROUP BY g")
 def lens5_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pair_report(space(spark, sf_dir), 50, 0.2, 0.5, 15)[1]
+    return cells.pair_counts(space(spark, sf_dir), 0.2, 0.5, 15)
 
 
 CENTER_SQL = f"""m AS (SELECT label, list(x ORDER BY pos) AS v FROM (SELECT label, pos, avg(x) AS x FROM (SELECT label, unnest(f) AS x, generate_subscripts(f, 1) AS pos FROM e) GROUP BY 1, 2) GROUP BY label),
