@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..ranks import numbered
 from ..storage import distilled, settle, shared_dir
 
-__all__ = ["distilled", "settle", "shared_dir"]
+__all__ = ["distilled", "numbered", "settle", "shared_dir"]
 
 #: ASCII white space, the separators of the contracts' words.
 SPACES = " \t\n\x0b\x0c\r"
@@ -80,20 +81,3 @@ def spare(df: DataFrame, name: str) -> str:
     while name.lower() in have:
         name += "_"
     return name
-
-
-def numbered(rows: DataFrame, group: str, *order: Column) -> DataFrame:
-    """rows, settled, with long columns pos (from 0, by order within its group) and n (the group's rows).
-
-    One global sort, then each task's part of a group gets the rows of the parts before it: no task holds a group, and the only
-    window runs over a row for each task and group.
-    """
-    at = spare(rows, "_at")
-    sorted_ = settle(rows.orderBy(group, *order).withColumn(at, F.monotonically_increasing_id()))
-    task, group_ = F.shiftright(at, 33).alias("task"), F.col(group).alias("group")
-    parts = sorted_.groupBy(group_, task).agg(F.count("*").alias("rows"), F.min(at).alias("first"))
-    whole = Window.partitionBy("group")
-    before = F.sum("rows").over(whole.orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
-    starts = parts.select("group", "task", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"), F.sum("rows").over(whole).alias("n"))
-    placed = sorted_.withColumn("task", F.shiftright(at, 33)).join(starts.withColumnRenamed("group", group), [group, "task"])
-    return placed.select(*rows.columns, (F.col(at) + F.col("shift")).alias("pos"), "n")
