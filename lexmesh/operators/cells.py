@@ -286,9 +286,12 @@ def best(found: DataFrame, k: int) -> DataFrame:
 
 def distinct_vectors(rows: DataFrame, most: int) -> DataFrame:
     """rows (id, vec) without those that more than most rows of lesser ids are equal to: no pair of theirs can be among the most best."""
-    keyed = rows.select("id", "vec", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(5), "vec").alias("h2"))
-    placed = numbered(keyed.select("id", F.concat_ws(":", "h1", "h2").alias("same")), "same", F.col("id")).filter(F.col("pos") <= most)
-    return rows.join(placed.select("id"), "id", "left_semi")
+    same = rows.select("id", F.concat_ws(":", F.xxhash64("vec"), F.xxhash64(F.lit(5), "vec")).alias("same"))
+    crowded = settle(same.groupBy("same").agg(F.count("*").alias("n")).filter(F.col("n") > most + 1).select("same"))
+    if crowded.isEmpty():
+        return rows
+    beyond = numbered(same.join(crowded, "same"), "same", F.col("id")).filter(F.col("pos") > most)
+    return rows.join(beyond.select("id"), "id", "left_anti")
 
 
 def top_pairs(rows: DataFrame, top: int, cells: int | None = None, sample: int = SAMPLE, block: int | None = None) -> DataFrame:

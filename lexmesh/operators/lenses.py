@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_junk_gloss
 from ..functions.vectors import cosine, unit
+from ..ranks import numbered
+from ..storage import settle
 from .knn import matrix, nearest
 from .lookup import displacement
 
@@ -122,21 +124,19 @@ def rank_domains(domains: DataFrame, pairs: DataFrame, similar: DataFrame) -> Da
 
 
 def permutation_test(rows: DataFrame, rounds: int = 999, seed: int = 42) -> DataFrame:
-    """(grp, n, mean, p_value) for rows (grp, id, value): the share of random dealings whose mean for the group is at least its own.
+    """(grp, n, mean, p_value) for rows (grp, id, value): the share of random relabellings whose mean for the group is at least its own.
 
-    A dealing draws, for each of a group's rows, the value of a row that a seeded hash picks among all (with replacement), so
-    a round is one pass of sums; p counts the observed dealing too.
+    A relabelling orders all rows by a seeded hash of round and id and hands the groups out again in that order, so every group
+    keeps its size and every value is dealt once. Values count in millionths, which makes sums exact; p counts the observed
+    labels, too. Rows without a group or a value are left out. No task holds a round: ranks come from a global sort.
     """
-    own = rows.groupBy("grp").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
-    values = rows.groupBy("value").agg(F.count("*").alias("c"))
-    if values.limit(100_001).count() > 100_000:
-        raise ValueError("round the values: more than 100000 distinct ones")
-    ladder = values.agg(F.array_sort(F.collect_list(F.struct("value", "c")))).scalar()
-    upto = lambda s, x: F.coalesce(F.try_element_at(s, F.lit(-1))["upto"], F.lit(0)) + x["c"]
-    steps = F.aggregate("l", F.array().cast("array<struct<upto:bigint,value:double>>"), lambda s, x: F.concat(s, F.array(F.struct(upto(s, x).alias("upto"), x["value"].alias("value")))))
-    base = rows.select("grp", "id", ladder.alias("l")).select("grp", "id", steps.alias("steps")).withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    at = F.pmod(F.xxhash64(F.lit(seed), "round", "id"), F.try_element_at("steps", F.lit(-1))["upto"])
-    drawn = base.select("grp", "round", F.get(F.filter("steps", lambda s: s["upto"] > at), 0)["value"].alias("value"))
-    means = drawn.groupBy("grp", "round").agg(F.avg("value").alias("drawn"))
-    beat = means.join(own, "grp").groupBy("grp").agg(F.count_if(F.col("drawn") >= F.col("mean") - 1e-12).alias("k"))
-    return own.join(beat, "grp").select("grp", "n", F.round("mean", 6).alias("mean"), F.round((F.col("k") + 1) / (rounds + 1), 6).alias("p_value"))
+    known = rows.filter(F.col("grp").isNotNull() & F.col("value").isNotNull()).select("grp", "id", F.round(F.col("value") * 1e6).cast("long").alias("v"))
+    known = settle(known)
+    own = known.groupBy("grp").agg(F.count("*").alias("n"), F.sum("v").alias("own"))
+    slots = numbered(known.select("grp", "id", F.lit(0).alias("all")), "all", F.col("grp"), F.col("id")).select("pos", "grp")
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("round").cast("string"), F.col("id").cast("string")).cast("binary"))
+    each = known.select("id", "v", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).withColumn("h", h)
+    dealt = numbered(each, "round", F.col("h"), F.col("id"), F.col("v")).select("round", "pos", "v").join(slots, "pos")
+    sums = dealt.groupBy("grp", "round").agg(F.sum("v").alias("drawn"))
+    beat = sums.join(own, "grp").groupBy("grp").agg(F.count_if(F.col("drawn") >= F.col("own")).alias("k"))
+    return own.join(beat, "grp").select("grp", "n", F.round(F.col("own") / F.col("n") / 1e6, 6).alias("mean"), F.round((F.col("k") + 1) / (rounds + 1), 6).alias("p_value"))

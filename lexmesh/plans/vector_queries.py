@@ -497,7 +497,11 @@ def rank_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lenses.rank_domains(e.select("label").distinct(), lenses.merges_splits(_grid(spark, sf_dir), 1.2), similar)
 
 
-@query()
+@query(f"""{DIV_SQL}, v AS (SELECT CAST(e.label AS BIGINT) AS grp, div.id, CAST(round(jaccard * 1e6) AS BIGINT) AS v FROM div JOIN e ON e.id = div.id),
+    own AS (SELECT grp, count(*) AS n, sum(v) AS own FROM v GROUP BY grp), slots AS (SELECT grp, row_number() OVER (ORDER BY grp, id) AS pos FROM v),
+    dealt AS (SELECT t.r, v, row_number() OVER (PARTITION BY t.r ORDER BY md5('42:' || t.r || ':' || id), id) AS pos FROM v, range(1, 1000) t(r)),
+    sums AS (SELECT grp, r, sum(dealt.v) AS drawn FROM dealt JOIN slots USING (pos) GROUP BY grp, r), beat AS (SELECT grp, count(*) FILTER (drawn >= own) AS k FROM sums JOIN own USING (grp) GROUP BY grp)
+    SELECT grp, n, round(own / n / 1e6, 6) AS mean, round((k + 1) / 1000, 6) AS p_value FROM own JOIN beat USING (grp)""")
 def permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By label, the chance that tokens dealt at random diverge as much between two spaces as the label's own."""
     e = space(spark, sf_dir).select("id", F.col("label").alias("grp"))
