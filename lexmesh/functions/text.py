@@ -57,10 +57,13 @@ def resolve_marks(line: Column) -> Column:
 
 
 def clean_tokens(line: Column) -> Column:
-    """The tokens of an annotated transliteration line: marks, hyphens, dots that stand by no digit, then spelling and noise."""
+    """The tokens of an annotated transliteration line: marks, hyphens, dots that stand by no digit, then spelling and noise.
+
+    Resolving marks adds no hyphen or dot, so the line itself is tested for them; a test of the result would run it again.
+    """
     x = resolve_marks(line)
-    x = F.when(x.contains("-"), F.array_join(expand_hyphens(F.split(x, SPACE)), " ")).otherwise(x)
-    x = F.when(x.contains("."), F.regexp_replace(x, r"(?<!\p{Nd})\.(?!\p{Nd})", " ")).otherwise(x)
+    x = F.when(line.contains("-"), F.array_join(expand_hyphens(F.split(x, SPACE)), " ")).otherwise(x)
+    x = F.when(line.contains("."), F.regexp_replace(x, r"(?<!\p{Nd})\.(?!\p{Nd})", " ")).otherwise(x)
     return F.coalesce(F.filter(F.split(normalize_line(x), SPACE), lambda t: ~is_noise(t)), F.array().cast("array<string>"))
 
 
@@ -128,3 +131,9 @@ def target_words(line: Column) -> Column:
 def escape_cell(c: Column) -> Column:
     """Text that is safe in a Markdown table."""
     return F.replace(c, F.lit("|"), F.lit("\\|"))
+
+
+def runs(words: Column, n: int) -> Column:
+    """Each run of n of words, as an array; words must be a column of its own, as an expression would be evaluated for every place."""
+    places = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.slice(words, i, n))

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, clean_tokens
+from ..storage import spread
 
 
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, line_no, line) of each line, line_no from 0."""
-    return docs.select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    return spread(docs.select(key, text)).select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
 
 
 def clean_corpus(texts: DataFrame, key: str, line_array: Column) -> DataFrame:

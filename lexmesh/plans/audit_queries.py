@@ -11,12 +11,12 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE, morphemes, ngrams, normalize_token
+from ..functions.text import SPACE, morphemes, ngrams, normalize_token, runs
 from ..functions.vectors import unit
 from ..operators import audit, corpus, passages
 from ..operators.knn import nearest_named
 from ..sources import corpora
-from ..storage import new_path, settle
+from ..storage import new_path, settle, spread
 from ..streaming import counts
 from .corpus_queries import CLEAN_SQL, norm_sql
 from .registry import query, table
@@ -37,9 +37,8 @@ def _vocabulary(frequency: DataFrame) -> DataFrame:
 
 
 def _anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = F.split("text", SPACE)
-    pairs = F.transform(F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: i < F.size(w) - 1), lambda i: F.struct(F.get(w, i).alias("s"), F.get(w, i + 1).alias("t")))
-    each = table(spark, sf_dir, "conversations").select(F.explode(pairs).alias("p")).groupBy("p.s", "p.t").agg(F.count("*").alias("n"))
+    w = spread(table(spark, sf_dir, "conversations").select("text")).select(F.split("text", SPACE).alias("w"))
+    each = w.select(F.explode(runs(F.col("w"), 2)).alias("p")).groupBy(F.get("p", 0).alias("s"), F.get("p", 1).alias("t")).agg(F.count("*").alias("n"))
     best = each.groupBy("s").agg(F.sum("n").alias("total"), F.min(F.struct((-F.col("n")).alias("m"), "t")).alias("b"))
     return best.select(F.col("s").alias("source_token"), F.col("b.t").alias("target_word"), F.round(-F.col("b.m") / F.col("total"), 4).alias("confidence"))
 
@@ -278,11 +277,10 @@ def search_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
         concat_ws(';', CASE WHEN degenerate > 0.5 THEN 'degenerate_top5' END, CASE WHEN NOT ia THEN 'english_missing_gemma' END, CASE WHEN NOT iu THEN 'english_missing_glove' END) AS warnings FROM x""")
 def preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A20 over the benchmark's first two words: answers' and users' words as the two spaces, the five commonest followers as neighbours."""
-    w = F.split("text", SPACE)
-    pairs = F.transform(F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: i < F.size(w) - 1), lambda i: F.struct(F.lower(F.get(w, i)).alias("t"), F.get(w, i + 1).alias("token")))
     first = F.split("text", " ")
     concepts = table(spark, sf_dir, "benchmark").select(F.get(first, 0).alias("source_token"), F.get(first, 1).alias("target_word")).distinct()
-    turns = table(spark, sf_dir, "conversations").filter("role IN ('assistant', 'user')").select("role", F.explode(pairs).alias("p")).select("role", "p.*")
+    said = spread(table(spark, sf_dir, "conversations").filter("role IN ('assistant', 'user')").select("role", "text")).select("role", F.split("text", SPACE).alias("w"))
+    turns = said.select("role", F.explode(runs(F.col("w"), 2)).alias("p")).select("role", F.lower(F.get("p", 0)).alias("t"), F.get("p", 1).alias("token"))
     wanted = turns.join(concepts.select(F.lower("target_word").alias("t")).distinct(), "t", "left_semi").groupBy("role", "t", "token").agg(F.count("*").alias("n"))
     five = wanted.groupBy("role", "t").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "token"))), 1, 5).alias("x"))
     near = concepts.select("target_word").distinct().join(five, F.lower("target_word") == F.col("t")).select("target_word", F.explode("x.token").alias("token"))

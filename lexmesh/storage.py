@@ -56,3 +56,14 @@ def distilled(spark: SparkSession, work: Callable[[], DataFrame]) -> DataFrame:
         at = hadoop.Path(path)
         at.getFileSystem(conf).delete(at, True)
     return out
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores, for work that is dear by row: a small file is one partition, however many cores wait.
+
+    A table of many files stays as it is and is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
