@@ -6,11 +6,12 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Paths that settle has written, by open ``distilled``; the first list is of what no distilled is open for.
-_written: list[list[str]] = [[]]
+#: Paths that settle writes for the innermost open ``distilled`` of this thread; none is open by default.
+_open: ContextVar[list[str] | None] = ContextVar("open", default=None)
 #: The folder of an application whose driver and executors are one process.
 _local: dict[str, str] = {}
 
@@ -32,25 +33,32 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def _note(path: str) -> None:
+    if (paths := _open.get()) is not None:
+        paths.append(path)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: the lineage ends there, and a lost executor loses nothing."""
     path = new_path(df.sparkSession, "settled")
+    _note(path)  # before it is written, so that a write that fails is cleared away, too
     df.write.parquet(path)
-    _written[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def distilled(spark: SparkSession, work: Callable[[], DataFrame]) -> DataFrame:
-    """work's result, settled; the tables that were settled for it are deleted from the shared folder."""
-    _written.append([])
+    """work's result, settled; the tables that were settled for it are deleted from the shared folder. Other threads' tables stay."""
+    paths: list[str] = []
+    opened = _open.set(paths)
     try:
         out = settle(work())
-        kept = _written[-1].pop()
     except BaseException:
-        _written[-2].extend(_written.pop())
+        _open.reset(opened)
+        for path in paths:
+            _note(path)
         raise
-    paths = _written.pop()
-    _written[-1].append(kept)
+    _open.reset(opened)
+    _note(paths.pop())  # the result's own, which settle noted last
     hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
         at = hadoop.Path(path)
