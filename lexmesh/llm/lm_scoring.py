@@ -2,20 +2,21 @@
 
 The model is smoothed counts of one, two and three tokens. A state is the last two tokens (the place before a text counts as
 one). A token that followed the state in training has an arc; every other token takes the failure arcs to the shorter
-histories, down to the root. With c the counts, N the tokens and V the distinct tokens of training, and K a constant::
+histories, down to the root. With c the counts, and N the tokens and V the distinct tokens of training::
 
     root    p(w)    = (c(w) + 1) / (N + V + 1)                    one more class stands for all tokens never seen
-    state   p(w|h)  = (c(hw) + K p(w|h')) / (c(h) + K)            h' is h without its first token
-    failure weight  = K / (c(h) + K)
+    state   p(w|h)  = (c(hw) + K(h) p(w|h')) / (c(h) + K(h))      h' is h without its first token
+    failure weight  = K(h) / (c(h) + K(h)),  K(h) = a max(c(h), 1) ** b
 
-so every state's probabilities add up to one. Every n-gram of the training texts is an arc, whatever the size of the corpus.
-A training text is scored by the model of the *other* training texts (its own counts are taken off), so that a text is not
-judged by what it alone taught, and training and held-out texts compare; base_score and n_known keep all counts.
+so every state's probabilities add up to one. K grows with the state's count, as the tokens not seen yet after a frequent
+history are many. Of ``GRID`` that (a, b) is taken by which the training texts, each scored by the *others* (its own counts taken
+off), are the likeliest. Every n-gram of the training texts is an arc, whatever the size of the corpus. ``score`` is by this one
+model for all texts; ``others_score`` is a training text's by the others, so that it and held-out texts compare.
 
 How it runs: the model is held whole nowhere. Documents are dealt to blocks of neighbouring rows of like size. A block sends
 the keys of its distinct n-grams, with their training counts, to the buckets of the keys' ranges; a bucket adds up and
-answers each block, in the order of its keys, how often its n-grams occur in the other blocks. Then the block's texts are
-walked left to right, all texts at once, and each adds up its log-probabilities. Keys are hashes of
+answers each block, in the order of its keys, how often its n-grams occur in the other blocks. Then
+every place of the block's texts has its state's arcs beside it, and each text adds up its log-probabilities. Keys are hashes of
 ``KEY_BITS`` more bits than the corpus has bytes (63 at most), so two n-grams share one by a chance of 2^-KEY_BITS or so.
 
 Defined cases: a null text is empty, so it is the end token alone. Without training documents every token has probability
@@ -38,7 +39,8 @@ from .common import settle
 from .near_duplicates import GAMMA, mix
 
 END = b"\n"  # no word holds a newline
-K = 4.0
+#: (a, b) of the failure arcs' weights to choose from.
+GRID = ((1.0, 1.0), (2.0, 1.0), (4.0, 1.0), (8.0, 1.0), (2.0, 0.8), (4.0, 0.8))
 BLOCK_BYTES = 10_000_000  # text of a block is less than twice this, unless it is one text
 BUCKET_BYTES = 8_000_000  # text of the corpus for each bucket of keys
 KEY_BITS = 20
@@ -234,11 +236,12 @@ def answers(asked: DataFrame) -> DataFrame:
     return asked.groupBy("bucket").applyInArrow(work, "block long, bucket long, size long, others binary, n long, v long")
 
 
-SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, others_score double, backoff_scale double, backoff_power double"
+SCORED_BY_GRID = SCORED[: SCORED.index(", score double")] + ", scores array<double>, others array<double>"
 
 
-def score_blocks(blocks: DataFrame, answered: DataFrame, order: int, bits: int, n: int, v: int) -> DataFrame:
-    """SCORED of every row: each block's texts beside the answers to its n-grams."""
+def score_blocks(blocks: DataFrame, answered: DataFrame, order: int, bits: int, n: int, v: int, grid: tuple[tuple[float, float], ...]) -> DataFrame:
+    """SCORED_BY_GRID of every row: each block's texts beside the answers to its n-grams, scored with every weight of grid."""
 
     def work(rows: pa.Table, answered: pa.Table) -> pa.Table:
         docs = block_rows(rows)
@@ -256,31 +259,43 @@ def score_blocks(blocks: DataFrame, answered: DataFrame, order: int, bits: int,
         place = ~begin
         add = lambda x: np.bincount(text[place], x[place], size)
         lengths = add(np.ones(len(text)))
-        counts, first = [], 0
-        for t in there:  # back to places
-            k = np.zeros(len(text))
-            k[t] = other[first : first + t.sum()]
-            counts.append(k)
-            first += int(t.sum())
         known = whole[: len(text)]
-        p = (counts[0] + 1) / ((n - lengths * train)[text] + v + 1)
-        for k in range(1, order):
-            up = there[k]
-            history = np.append(0.0, counts[k - 1][:-1])
-            p = np.where(up, (counts[k] + K * p) / (history + K), p)
-        p[begin] = 1
+
+        def by_grid(seen: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+            """log10 of each text's probability by the counts seen, a column for each weight."""
+            counts, first = [], 0
+            for t in there:  # back to places
+                k = np.zeros(len(text))
+                k[t] = seen[first : first + t.sum()]
+                counts.append(k)
+                first += int(t.sum())
+            root = (counts[0] + 1) / (n + v + 1)
+            histories = [np.append(0.0, counts[k - 1][:-1]) for k in range(1, order)]
+            out = []
+            for scale, power in grid:
+                p = root
+                for k, history in enumerate(histories, 1):
+                    weight = np.maximum(history, 1)
+                    weight = scale * (weight if power == 1 else weight**power)
+                    p = np.where(there[k], (counts[k] + weight * p) / (history + weight), p)
+                out.append(add(np.log10(p)))
+            return np.array(out).T
+
+        scores = by_grid(whole, n)
+        others = by_grid(other, (n - lengths * train)[text]) if train.any() else scores
+        nested = lambda x: pa.array(list(x), pa.list_(pa.float64()))
         return pa.Table.from_arrays(
             [
                 docs.column("doc_id"), pa.array(~train), pa.array(lengths.astype(np.int64)), pa.array(add((known > 0).astype(float)).astype(np.int64)), pa.array(np.full(size, n)),
-                pa.array(add(np.log10((known + 1) / (n + v + 1)))), pa.array(add(np.log10(p))),
+                pa.array(add(np.log10((known + 1) / (n + v + 1)))), nested(scores), nested(others),
             ],
-            [x.split()[0] for x in SCORED.split(", ")],
+            [x.split()[0] for x in SCORED_BY_GRID.split(", ")],
         )
 
-    return blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(work, SCORED)
+    return blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(work, SCORED_BY_GRID)
 
 
-def score_texts(docs: DataFrame, train: str, doc_id: str = "doc_id", text: str = "text", order: int = 3) -> DataFrame:
+def score_texts(docs: DataFrame, train: str, doc_id: str = "doc_id", text: str = "text", order: int = 3, grid: tuple[tuple[float, float], ...] = GRID) -> DataFrame:
     """SCORED of every row; train names a boolean column: the rows to learn from. order: the longest n-grams, in tokens, up to 3."""
     if not 1 <= order <= 3:
         raise ValueError("order must be 1, 2 or 3")
@@ -289,4 +304,9 @@ def score_texts(docs: DataFrame, train: str, doc_id: str = "doc_id", text: str =
     blocks = in_blocks(docs, doc_id, text, train)
     answered = settle(answers(requests(blocks, order, bits, 1 + size // BUCKET_BYTES)))
     n, v = answered.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    return score_blocks(blocks, answered.select("block", "bucket", "size", "others"), order, bits, int(n), int(v))
+    scored = settle(score_blocks(blocks, answered.select("block", "bucket", "size", "others"), order, bits, int(n), int(v), grid))
+    # the weight by which the training texts are the likeliest, the first on ties
+    sums = scored.filter(~F.col("held_out")).agg(*[F.round(F.sum(F.get("others", k)), 3).alias(str(k)) for k in range(len(grid))]).first()
+    best = max(range(len(grid)), key=lambda k: (sums[k] or 0.0, -k))
+    chosen = {"score": F.get("scores", best), "others_score": F.get("others", best), "backoff_scale": F.lit(grid[best][0]), "backoff_power": F.lit(grid[best][1])}
+    return scored.withColumns(chosen).select(*(x.split()[0] for x in SCORED.split(", ")))
