@@ -1,6 +1,7 @@
 """Audit, coverage, passage, format and streaming queries.
 
-The corpus is cleaned and counted once a query; vocabulary and n-grams come from the counts. Anchors under audit: each whitespace token of the conversations with the token that follows it most often. Vocabulary: the
+The corpus is cleaned and counted once, as are the anchors mined: these tables are found again while their inputs' files stay as they are
+(G3). Vocabulary and n-grams come from the counts. Anchors under audit: each whitespace token of the conversations with the token that follows it most often. Vocabulary: the
 cleaned tokens of the documents that occur five times or more. English vocabularies: the benchmark's and the answers' words.
 """
 
@@ -16,9 +17,9 @@ from ..functions.vectors import unit
 from ..operators import audit, corpus, passages
 from ..operators.knn import nearest_named
 from ..sources import corpora
-from ..storage import new_path, settle, spread
-from ..streaming import counts
-from .corpus_queries import CLEAN_SQL, norm_sql
+from ..storage import kept, new_path, settle, spread
+from ..streaming import counts, longest
+from .corpus_queries import CLEAN_SQL, TEXTS_SQL, norm_sql
 from .registry import query, table
 
 # --- inputs ----------------------------------------------------------------------------------------------------------
@@ -29,7 +30,8 @@ def _words(spark: SparkSession, sf_dir: str, name: str, where: str = "true") ->
 
 
 def _frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return settle(corpus.token_frequency(corpus.lines(table(spark, sf_dir, "documents"))).withColumnRenamed("token", "word"))
+    docs = table(spark, sf_dir, "documents")
+    return kept(spark, "frequency", [docs], lambda: corpus.token_frequency(corpus.lines(docs)).withColumnRenamed("token", "word"))
 
 
 def _vocabulary(frequency: DataFrame) -> DataFrame:
@@ -37,7 +39,12 @@ def _vocabulary(frequency: DataFrame) -> DataFrame:
 
 
 def _anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = spread(table(spark, sf_dir, "conversations").select("text")).select(F.split("text", SPACE).alias("w"))
+    turns = table(spark, sf_dir, "conversations")
+    return kept(spark, "anchors", [turns], lambda: _mined(turns))
+
+
+def _mined(turns: DataFrame) -> DataFrame:
+    w = spread(turns.select("text")).select(F.split("text", SPACE).alias("w"))
     each = w.select(F.explode(runs(F.col("w"), 2)).alias("p")).groupBy(F.get("p", 0).alias("s"), F.get("p", 1).alias("t")).agg(F.count("*").alias("n"))
     best = each.groupBy("s").agg(F.sum("n").alias("total"), F.min(F.struct((-F.col("n")).alias("m"), "t")).alias("b"))
     return best.select(F.col("s").alias("source_token"), F.col("b.t").alias("target_word"), F.round(-F.col("b.m") / F.col("total"), 4).alias("confidence"))
@@ -51,14 +58,19 @@ def _collisions(anchors: DataFrame) -> DataFrame:
 
 
 def _classified(spark: SparkSession, sf_dir: str, frequency: DataFrame | None = None) -> DataFrame:
-    a = settle(_anchors(spark, sf_dir))
+    a = _anchors(spark, sf_dir)
     v = _vocabulary(frequency or _frequency(spark, sf_dir))
     return audit.classify_anchors(a, v, _words(spark, sf_dir, "benchmark"), _words(spark, sf_dir, "conversations", "role = 'assistant'"), _collisions(a))
 
 
 def _surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = table(spark, sf_dir, "conversations").select(F.explode(F.split("text", SPACE)).alias("w")).filter("w <> ''").distinct()
-    return raw.select(normalize_token(F.col("w")).alias("cf"), F.regexp_replace(F.lower("w"), r"[.,:;!?]+$", "").alias("form")).distinct()
+    turns = table(spark, sf_dir, "conversations")
+
+    def work() -> DataFrame:
+        raw = turns.select(F.explode(F.split("text", SPACE)).alias("w")).filter("w <> ''").distinct()
+        return raw.select(normalize_token(F.col("w")).alias("cf"), F.regexp_replace(F.lower("w"), r"[.,:;!?]+$", "").alias("form")).distinct()
+
+    return kept(spark, "surfaces", [turns], work)
 
 
 def _diagnosed(spark: SparkSession, sf_dir: str, frequency: DataFrame | None = None) -> DataFrame:
@@ -390,3 +402,14 @@ def streaming_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = new_path(spark, "events")
     counts.append_available(counts.windowed_counts(_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type"), out, f"{out}-state")
     return spark.read.parquet(out)
+
+
+@query(f"""WITH {TEXTS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY p_number ORDER BY k DESC, doc_id) AS rn FROM texts)
+    SELECT doc_id, p_number, CAST(k AS INT) AS n_lines FROM r WHERE p_number IS NULL OR rn = 1""")
+def streaming_dedup_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5 over a stream: state is two numbers a catalogue number, and the log of improvements is read as what it says last."""
+    out = new_path(spark, "longest")
+    number = F.when(F.col("source") != "src1", F.concat_ws("-", "source", "n_chars"))
+    texts = _stream(spark, sf_dir, "documents").select("doc_id", number.alias("p_number"), F.size(F.split("text", "\n")).alias("n_lines"))
+    longest.append_improvements(texts, out, f"{out}-state", "p_number", F.col("n_lines"), "doc_id")
+    return longest.latest(spark.read.parquet(out), "p_number", F.col("n_lines"), "doc_id")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import norm, pad, unit
-from ..operators import atlas, cells, lenses, linalg, lookup
+from ..operators import atlas, cells, layout, lenses, linalg, lookup, validation
 from ..storage import settle
 from .registry import query, table
 
@@ -396,6 +396,12 @@ def pca_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PCA(k=2, inputCol="v", outputCol="xy").fit(v).transform(v).select("id", F.round(xy[0], 6).alias("x"), F.round(xy[1], 6).alias("y"))
 
 
+@query()
+def neighbour_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two coordinates of every token by which its neighbours stay near."""
+    return layout.neighbour_plane(space(spark, sf_dir)).select("id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
 @query(f"""WITH {SPACE_SQL}, {CENTER_SQL}, ax AS (SELECT {_unit_sql('v')} AS v FROM (SELECT list_transform(range(1, 65), lambda i: q.v[i] - p.v[i]) AS v FROM c p, c q WHERE p.label = (SELECT min(label) FROM c) AND q.label = (SELECT max(label) FROM c)))
     SELECT e.id, round(list_dot_product(e.f, ax.v), 6) AS projection FROM e, ax""")
 def axis_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -530,3 +536,24 @@ def cluster_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = np.maximum(np.linalg.eigvalsh(g["xx"] / g["n"] - np.outer(mean, mean)), 0)
     p = w / max(w.sum(), 1e-300)
     return spark.createDataFrame([(int(g["n"]), round(float(1 / max((p**2).sum(), 1e-300)), 6))], "n long, participation double")
+
+
+SEED_SQL = "(SELECT vec_id FROM embeddings WHERE vec_id % 50 = 0 ORDER BY vec_id LIMIT 5)"
+
+
+@query(f"""SELECT 'length' AS check, count(*) AS rows, count(*) FILTER (len(embedding) <> 64) AS failed, count(*) FILTER (len(embedding) <> 64) = 0 AS passed FROM embeddings
+    UNION ALL SELECT 'finite', count(*), count(*) FILTER (len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) > 0), count(*) FILTER (len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) > 0) = 0 FROM embeddings
+    UNION ALL SELECT 'nonzero', count(*), count(*) FILTER (len(list_filter(embedding, lambda x: x <> 0)) = 0), count(*) FILTER (len(list_filter(embedding, lambda x: x <> 0)) = 0) = 0 FROM embeddings
+    UNION ALL SELECT c, count(*), count(*) FILTER ((SELECT count(*) FROM embeddings) = 0), count(*) FILTER ((SELECT count(*) FROM embeddings) = 0) = 0 FROM {SEED_SQL}, (VALUES ('seeds_a'), ('seeds_b')) t(c) GROUP BY c
+    UNION ALL SELECT 'analogy', count(*), count(*) FILTER (NOT known), count(*) FILTER (NOT known) = 0 FROM (SELECT vec_id + 2 IN (SELECT vec_id FROM embeddings) AND vec_id + 1 IN (SELECT vec_id FROM embeddings) AS known FROM {SEED_SQL})""")
+def smoke_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q10: the vectors' own checks, five seeds that must find something in both spaces, and their analogies; counted as the rows pass."""
+    raw = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    out = validation.passed_over(validation.watch(raw, validation.vector_checks(64))).report(spark)
+    e = space(spark, sf_dir)
+    seeds = settle(e.filter(QUERY).select("id").orderBy("id").limit(5))
+    found = {f"seeds_{part}": lookup.SemanticLookup(s, s).find_vectors(s.join(seeds, "id"), 5) for part in ("a", "b") for s in (space(spark, sf_dir, part),)}
+    found["analogy"] = lookup.SemanticLookup(e, e).analogy(seeds.select("id", F.col("id").alias("a"), (F.col("id") + 1).alias("b"), (F.col("id") + 2).alias("c")), 5)
+    for name, answered in found.items():
+        out = out.unionByName(validation.passed_over(validation.answers(seeds, answered, name=name)).report(spark))
+    return out

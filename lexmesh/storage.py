@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import tempfile
 import uuid
@@ -9,6 +10,7 @@ from collections.abc import Callable
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Paths that settle writes for the innermost open ``distilled`` of this thread; none is open by default.
 _open: ContextVar[list[str] | None] = ContextVar("open", default=None)
@@ -75,3 +77,29 @@ def spread(df: DataFrame) -> DataFrame:
     if df.isStreaming or df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
+
+
+def files_stamp(df: DataFrame) -> str:
+    """A hash of the files that df scans: their paths, sizes and times of change. Reads no column; df must be a plain scan of files."""
+    files = df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    sums = [F.sum(F.xxhash64(F.lit(k), "file_path", "file_size", "file_modification_time").cast("decimal(38,0)")) for k in (1, 2)]
+    return files.agg(F.sha2(F.concat_ws(",", F.count("*"), *sums), 256).alias("stamp")).first()["stamp"]
+
+
+def kept(spark: SparkSession, name: str, inputs: list[DataFrame], work: Callable[[], DataFrame]) -> DataFrame:
+    """work's table, found again in the shared folder for as long as its inputs' files stay as they are.
+
+    name must say all that work depends on beside its inputs. A table gets its path when it is whole; of two that are made at
+    once the first stays.
+    """
+    stamp = hashlib.sha256(",".join([name, *map(files_stamp, inputs)]).encode()).hexdigest()[:32]
+    path = f"{shared_dir(spark).rstrip('/')}/kept-{name}-{stamp}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        made = new_path(spark, "making")
+        work().write.parquet(made)
+        if fs.exists(at) or not fs.rename(hadoop.Path(made), at):
+            fs.delete(hadoop.Path(made), True)
+    return spark.read.parquet(path)

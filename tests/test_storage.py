@@ -7,7 +7,7 @@ import threading
 
 import pytest
 
-from lexmesh.storage import distilled, settle, shared_dir, spread
+from lexmesh.storage import distilled, files_stamp, kept, settle, shared_dir, spread
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -73,6 +73,36 @@ def test_spread_fills_the_cores_and_leaves_wide_tables(spark):
     assert spread(wide) is wide
 
 
+def test_kept_tables_are_made_once_for_their_inputs(spark, tmp_path):
+    made = []
+
+    def sums(name="sums", folder="a"):
+        df = spark.read.parquet(f"{tmp_path}/{folder}")
+
+        def work():
+            made.append(name)
+            return df.agg({"id": "sum"}).withColumnRenamed("sum(id)", "s")
+
+        return kept(spark, name, [df], work).first()["s"]
+
+    spark.range(10).repartition(3).write.parquet(f"{tmp_path}/a")
+    assert sums() == sums() == 45 and made == ["sums"]
+    assert sums("others") == 45 and made == ["sums", "others"]
+    spark.range(10, 12).write.mode("append").parquet(f"{tmp_path}/a")
+    assert sums() == 66 and made == ["sums", "others", "sums"]
+    spark.range(10).repartition(3).write.parquet(f"{tmp_path}/b")
+    stamps = [files_stamp(spark.read.parquet(f"{tmp_path}/{x}")) for x in "aab"]
+    assert stamps[0] == stamps[1] != stamps[2]
+
+
+def test_a_kept_table_that_fails_is_made_the_next_time(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/a")
+    df = spark.read.parquet(f"{tmp_path}/a")
+    with pytest.raises(ZeroDivisionError):
+        kept(spark, "failing", [df], lambda: 1 / 0)
+    assert kept(spark, "failing", [df], lambda: df).count() == 3
+
+
 def test_the_entry_stands_without_what_the_training_part_needs():
     code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; q = e.queries(); print(len(q), 'pipeline' in q, set(e.oracle_sql()) <= set(q))"
     said = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, check=True).stdout.split()
