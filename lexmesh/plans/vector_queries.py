@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import norm, pad, unit
-from ..operators import atlas, cells, layout, lenses, linalg, lookup, validation
+from ..operators import alignment, atlas, cells, layout, lenses, linalg, lookup, validation
 from ..storage import settle
 from .registry import query, table
 
@@ -339,6 +339,28 @@ def ridge_align_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _aligned(spark, sf_dir, (100.0,))
 
 
+@query()
+def alignment_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Space a against space b (gloss), its first half (bare) and both whitened; delta is to the gloss run's accuracy."""
+    b = space(spark, sf_dir, "b").select("id", "vec")
+    spaces = {"gloss": b, "bare": b.select("id", unit(F.slice("vec", 1, 16)).alias("vec"))}
+    made = settle(alignment.modes(space(spark, sf_dir, "a"), spaces, anchors(spark, sf_dir), linalg.is_test(F.col("source_id"))))
+    base = made.filter("mode = 'gloss'").select("k", "accuracy")
+    out = None
+    for mode in alignment.MODES:
+        own = alignment.merged(made.filter(F.col("mode") == mode), base, "k", "accuracy").withColumn("mode", F.lit(mode))
+        out = own if out is None else out.unionByName(own)
+    return out.join(made.select("mode", "k", "n", "train", "test", "valid", "total"), ["mode", "k"])
+
+
+@query()
+def random_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean cosine of a thousand random pairs of whole vectors, before and after whitening."""
+    raw = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
+    out = [alignment.random_cosine(rows).select(F.lit(name).alias("space"), "pairs", F.round("mean", 6).alias("mean")) for name, rows in (("raw", raw), ("white", alignment.whitened(raw)))]
+    return out[0].unionByName(out[1])
+
+
 @query()
 def alpha_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One pass of sums, eight penalties; delta is to the first one's accuracy."""
