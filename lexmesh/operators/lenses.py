@@ -36,12 +36,17 @@ def lens1(anchors: DataFrame, source: DataFrame, target: DataFrame, top: int = 5
     return displacement(anchors, source, target).select("source_token", "target_word", "confidence", "cos").orderBy("cos", "source_token").limit(top)
 
 
-def lens2(queries: DataFrame, anchored: DataFrame, target: DataFrame, frequency: Column, top: int = 50) -> DataFrame:
-    """Tokens without an anchor, by frequency times distance to their best target: score descending, then id."""
+def lens2(queries: DataFrame, anchored: DataFrame, target: DataFrame, frequency: DataFrame | Column, top: int = 50) -> DataFrame:
+    """Tokens without an anchor, by frequency times distance to their best target: score descending, then id.
+
+    frequency is (id, n), where ids that it lacks count 0 (J5), or a column over id.
+    """
     free = queries.join(anchored.select("id"), "id", "left_anti")
     best = nearest(free.select("id", "vec"), target.select("id", "vec"), 1)
     scored = best.select(F.col("qid").alias("id"), F.col("id").alias("best_id"), F.col("score").alias("cos"))
-    scored = scored.withColumn("score", F.round(frequency * (1 - F.col("cos")), 6))
+    if isinstance(frequency, DataFrame):
+        scored, frequency = scored.join(frequency.select("id", F.col("n").alias("_n")), "id", "left"), F.coalesce("_n", F.lit(0))
+    scored = scored.withColumn("score", F.round(frequency * (1 - F.col("cos")), 6)).select("id", "best_id", "cos", "score")
     return scored.orderBy(F.desc("score"), "id").limit(top)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import norm, pad, unit
 from ..operators import alignment, atlas, cells, layout, lenses, linalg, lookup, validation
+from ..operators.audit import flagged
 from ..storage import settle
 from .registry import query, table
 
@@ -169,13 +170,15 @@ def lens1_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LENS2_SQL = f"""WITH {SPACE_SQL}, q AS (SELECT id, a AS v FROM e WHERE {QUERY} AND id % 3 <> 0), {_top_sql('q', 'b', 1)}
-    SELECT qid AS id, id AS best_id, score AS cos, round((1 + (qid * 37) % 101) * (1 - score), 6) AS score FROM top ORDER BY 4 DESC, 1 LIMIT 50"""
+    SELECT qid AS id, id AS best_id, score AS cos, round((SELECT count(*) FROM events WHERE user_id = qid) * (1 - score), 6) AS score FROM top ORDER BY 4 DESC, 1 LIMIT 50"""
 
 
 @query(LENS2_SQL)
 def lens2_no_counterpart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A token's frequency is the number of events of the user of its number."""
     a = space(spark, sf_dir, "a")
-    return lenses.lens2(a.filter(QUERY), a.filter("id % 3 = 0"), space(spark, sf_dir, "b"), frequency(F.col("id")))
+    n = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("n"))
+    return lenses.lens2(a.filter(QUERY), a.filter("id % 3 = 0"), space(spark, sf_dir, "b"), n)
 
 
 ISO_SQL = f"""WITH {SPACE_SQL}, q AS (SELECT id, f AS v FROM e WHERE {QUERY}), {_top_sql('q', 'f', 10, True)},
@@ -248,9 +251,12 @@ PAIRS_SQL = f"WITH {SPACE_SQL}, p AS (SELECT x.id AS a, y.id AS b, round(list_do
 
 @query(f"{PAIRS_SQL} SELECT a, b, score, a % 3 = 0 AS a_anchored, b % 3 = 0 AS b_anchored FROM p WHERE score >= 0.35 ORDER BY score DESC, a, b LIMIT 50")
 def lens5_doppelgangers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = cells.top_pairs(space(spark, sf_dir), 50)
-    flags = {"a_anchored": F.col("a") % 3 == 0, "b_anchored": F.col("b") % 3 == 0}
-    return pairs.filter("score >= 0.35").withColumns(flags)
+    """whether a side is anchored is an existence join; tokens whose number is divisible by three are."""
+    e = space(spark, sf_dir)
+    pairs, anchored = cells.top_pairs(e, 50).filter("score >= 0.35"), e.filter("id % 3 = 0").select("id")
+    for side in ("a", "b"):
+        pairs = flagged(pairs, F.col(side), anchored, "id", f"{side}_anchored")
+    return pairs
 
 
 @query(f"{PAIRS_SQL} SELECT CAST(g AS INT) AS bin, count(a) AS n FROM range(15) t(g) LEFT JOIN p ON least(floor((score - 0.2) / (0.5 - 0.2) * 15 + 1e-9), 14) = g AND score BETWEEN 0.2 AND 0.5 GROUP BY g")
