@@ -21,7 +21,7 @@ class Watch:
         return {n: int(got[f"failed_{n}"]) for n in self.names}
 
     def report(self, spark: SparkSession) -> DataFrame:
-        """(check, rows, failed, passed): a row for each check."""
+        """(test, n, failed, passed): a row for each check, n the rows that passed by."""
         n = int(self.observation.get["rows"])
         return spark.createDataFrame([(name, n, k, k == 0) for name, k in self.failures().items()], REPORT)
 
@@ -32,7 +32,7 @@ class Watch:
             raise ValueError("; ".join(f"{n}: {k} of {self.observation.get['rows']} rows" for n, k in wrong.items()))
 
 
-REPORT = "check string, rows long, failed long, passed boolean"
+REPORT = "test string, n long, failed long, passed boolean"
 
 
 def watch(rows: DataFrame, checks: dict[str, Column], name: str = "checks") -> Watch:

@@ -498,10 +498,10 @@ def distance_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grid(spark, sf_dir).withColumn("diff", F.round(F.col("da") - F.col("db"), 6))
 
 
-@query(f"{GRID_SQL} SELECT a, b, CASE WHEN db / da >= 2 THEN 'merge' ELSE 'split' END AS kind FROM g WHERE da >= 0.01 AND db >= 0.01 AND (db / da >= 2 OR da / db >= 2)")
+@query(f"{GRID_SQL} SELECT a, b, CASE WHEN db / da >= 1.2 THEN 'merge' ELSE 'split' END AS kind FROM g WHERE da >= 0.01 AND db >= 0.01 AND (db / da >= 1.2 OR da / db >= 1.2)")
 def merge_split_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs whose distances in the two spaces differ by a factor of two."""
-    return lenses.merges_splits(_grid(spark, sf_dir))
+    """Pairs whose distances in the two spaces differ by a fifth."""
+    return lenses.merges_splits(_grid(spark, sf_dir), 1.2)
 
 
 NEAR20_SQL = DIV_SQL.replace("rank <= 10", "rank <= 20").replace("(20 - count(tb.id))", "(40 - count(tb.id))")
@@ -569,7 +569,7 @@ def cluster_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 SEED_SQL = "(SELECT vec_id FROM embeddings WHERE vec_id % 50 = 0 ORDER BY vec_id LIMIT 5)"
 
 
-@query(f"""SELECT 'length' AS check, count(*) AS rows, count(*) FILTER (len(embedding) <> 64) AS failed, count(*) FILTER (len(embedding) <> 64) = 0 AS passed FROM embeddings
+@query(f"""SELECT 'length' AS test, count(*) AS n, count(*) FILTER (len(embedding) <> 64) AS failed, count(*) FILTER (len(embedding) <> 64) = 0 AS passed FROM embeddings
     UNION ALL SELECT 'finite', count(*), count(*) FILTER (len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) > 0), count(*) FILTER (len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) > 0) = 0 FROM embeddings
     UNION ALL SELECT 'nonzero', count(*), count(*) FILTER (len(list_filter(embedding, lambda x: x <> 0)) = 0), count(*) FILTER (len(list_filter(embedding, lambda x: x <> 0)) = 0) = 0 FROM embeddings
     UNION ALL SELECT c, count(*), count(*) FILTER ((SELECT count(*) FROM embeddings) = 0), count(*) FILTER ((SELECT count(*) FROM embeddings) = 0) = 0 FROM {SEED_SQL}, (VALUES ('seeds_a'), ('seeds_b')) t(c) GROUP BY c
