@@ -14,7 +14,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,13 +58,14 @@ class CellIndex:
         self.low, self.high, self.rows = (of_blocks[c].to_numpy() for c in ("low", "high", "rows"))
 
     def _fit(self, rows: DataFrame, n: int, cells: int, sample: int, seed: int) -> np.ndarray:
+        if cells == 1:  # any center will do
+            width = rows.select(F.size("vec").alias("n")).limit(1).collect()
+            return np.eye(1, width[0]["n"] if width else 1)
         part = rows.filter(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) < int(min(1.0, sample / max(1, n)) * (1 << 30)))
         some = settle(part.filter(F.exists("vec", lambda x: x != 0)).select(array_to_vector("vec").alias("v")))
         if some.isEmpty():
             width = rows.select(F.size("vec").alias("n")).limit(1).collect()
             return np.eye(1, width[0]["n"] if width else 1)
-        if cells == 1:
-            return np.array([some.select(Summarizer.mean(F.col("v"))).first()[0].toArray()])
         model = KMeans(k=cells, seed=seed, maxIter=8, initMode="random", distanceMeasure="cosine", featuresCol="v").fit(some)
         return np.array(model.clusterCenters(), np.float64)
 
@@ -252,6 +252,8 @@ class CellIndex:
         """
         order = (F.desc("score"), "a", "b")
         first = settle(self._pairs(self._visits(None), top).orderBy(*order).limit(top))
+        if len(self.names) < 2:
+            return first.orderBy(*order)
         n, least = first.agg(F.count("*"), F.min("score")).first()
         more = self._pairs(self._visits(least if n == top else -2.0), top)
         return first.unionByName(more).orderBy(*order).limit(top)
@@ -296,7 +298,8 @@ def distinct_vectors(rows: DataFrame, most: int) -> DataFrame:
 
 def top_pairs(rows: DataFrame, top: int, cells: int | None = None, sample: int = SAMPLE, block: int | None = None) -> DataFrame:
     """(a, b, score) of the top pairs of rows (id, vec), by rounded score, then ids."""
-    return CellIndex(distinct_vectors(rows, top), cells, sample, block=block).top_pairs(top)
+    one = cells is None and rows.limit((block or knn.ROWS) + 1).count() <= (block or knn.ROWS)  # rows of one block need no thinning
+    return CellIndex(rows if one else distinct_vectors(rows, top), cells, sample, block=block).top_pairs(top)
 
 
 def pair_counts(rows: DataFrame, low: float, high: float, bins: int, cells: int | None = None, block: int | None = None) -> DataFrame:
