@@ -28,7 +28,7 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import judge_urls, parse_rule
 
-    given = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+    given = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     # a page's url ends in the number of its document, which may have been labelled
     number = F.regexp_extract("url", r"://[^/?#]*/[^/?#]*/(\d{1,18})", 1)

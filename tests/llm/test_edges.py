@@ -80,3 +80,12 @@ def test_line_classes_count_occurrences(spark, odd):
     assert len(same) == 7 and sum(not r.removed for r in same) == 1
     near = [r for r in rows if r.n_links == 3]
     assert len(near) == 4 and {r.first_doc_id for r in near} == {0}
+
+
+def test_url_rules_have_the_verdicts_of_their_contract(spark, tmp_path):
+    want = {
+        "http://a.com/en/1": ("com/en/", "block"), "http://m.example.com/en/7": ("example.com/en/7", "allow"), "http://b.net/de/3": ("net/de/", "allow"),
+        "http://example.net/de/7": ("net/de/", "allow"), "http://x.example.net/de/81": ("example.net/de/8", "block"), "http://c.org/es/": ("org/es/", "block"),
+    }
+    sf = write(spark, tmp_path, [], [], [], [(i, u, "") for i, u in enumerate(want)], [])
+    assert [(r.rule, r.verdict) for r in QUERIES["op3_url_filters"](spark, sf).orderBy("page_id").collect()] == list(want.values())
