@@ -69,3 +69,13 @@ def test_few_rows(spark, n):
 def test_landmarks_are_bounded(spark):
     with pytest.raises(ValueError, match="at most"):
         layout.neighbour_plane(spark.createDataFrame([], "id long, vec array<double>"), landmarks=layout.LANDMARKS + 1)
+
+
+def test_sessions_without_arrow_for_pandas(spark, clusters):
+    df, _ = made(spark, clusters[:60])
+    was = spark.conf.get("spark.sql.execution.arrow.pyspark.enabled")
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "false")
+    try:
+        assert layout.neighbour_plane(df).count() == 60
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", was)
