@@ -1,6 +1,7 @@
 """Cells of vectors: searches and pair joins against brute force, recall, and what is shuffled."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,3 +136,45 @@ def test_numbers_within_groups(spark):
     got = numbered(df, "g", F.desc("pos_")).collect()
     size = {"a": 500, "b": 1, "c": 60}
     assert len(got) == 561 and all(r.pos == size[r.g] - 1 - r.pos_ and r.n == size[r.g] for r in got)
+
+
+@pytest.mark.parametrize("n_queries", [40, 300])
+def test_searches_hold_one_tile_of_scores(monkeypatch, n_queries):
+    monkeypatch.setattr(knn, "TILE", 5_000)
+    monkeypatch.setattr(knn, "STRIP", 200)
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(1000, 8))
+    v = v / np.linalg.norm(v, axis=1, keepdims=True)
+    v[500:510] = v[3]  # ties go by id
+    held = []
+    tile = knn.Top._tile
+    monkeypatch.setattr(knn.Top, "_tile", lambda self, at, ids, v, single: (held.append(len(self.qids[at]) * len(ids)), tile(self, at, ids, v, single))[1])
+    top = knn.Top(np.arange(n_queries), v[:n_queries], 6, True)
+    for lo in range(0, 1000, 350):
+        top.add(np.arange(lo, min(1000, lo + 350))[::-1], v[lo : lo + 350][::-1])
+    got = top.table(pa.int64()).to_pylist()
+    want = {(q, i, s) for q, _, i, s in nearest_by_brute_force(v, np.arange(n_queries), 6, True)}
+    assert {(r["qid"], r["id"], r["score"]) for r in got} == want and max(held) <= 5_000
+
+
+def test_many_queries_meet_blocks_of_rows_not_cells(spark, monkeypatch):
+    """Vectors without structure: no bound helps, and a query must not travel once for each of many cells."""
+    monkeypatch.setattr(knn, "BLOCK", 50)
+    monkeypatch.setattr(knn, "ROWS", 100)
+    v = np.random.default_rng(5).normal(size=(1000, 8))
+    v = v / np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vec array<double>")
+    monkeypatch.setattr(cells, "CellIndex", None)
+    assert {tuple(r) for r in knn.nearest(df, df, 3).collect()} == nearest_by_brute_force(v, np.arange(1000), 3)
+
+
+def test_pair_counts_of_blocks_equal_brute_force(spark):
+    v = np.random.default_rng(6).normal(size=(700, 6))
+    v = v / np.linalg.norm(v, axis=1, keepdims=True)
+    v[600:610] = v[5]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vec array<double>")
+    s = np.round(np.clip(v @ v.T, -1, 1), 6)[np.triu_indices(700, 1)]
+    s = s[(s >= 0.2) & (s <= 1)]
+    want = np.bincount(np.minimum(((s - 0.2) / 0.8 * 9 + 1e-9).astype(int), 8), minlength=9)
+    for block in (None, 30, 1000):
+        assert [r.n for r in cells.pair_counts(df, 0.2, 1.0, 9, block=block).orderBy("bin").collect()] == list(want)
