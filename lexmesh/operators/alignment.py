@@ -43,10 +43,10 @@ def aligned(source: DataFrame, target: DataFrame, anchors: DataFrame, test: Colu
     valid = settle(anchors.select("source_id", "target_id", test.alias("held")).join(x, "source_id").join(y, "target_id"))
     coef, bias = linalg.ridge(linalg.gram(valid.filter(~F.col("held")), "x", "y"), alpha)
     held = valid.filter("held").select(F.col("source_id").alias("id"), F.col("x").alias("vec"), F.col("target_id").alias("gold"))
-    made = linalg.apply_linear(held, "vec", coef, bias).select("id", unit(F.col("projected")).alias("vec"), "gold")
+    made = settle(linalg.apply_linear(held, "vec", coef, bias).select("id", unit(F.col("projected")).alias("vec"), "gold"))
     counts = valid.agg(F.count_if(~F.col("held")).alias("train"), F.count_if("held").alias("test"), F.count("*").alias("valid"))
     total = anchors.agg(F.count("*")).scalar()
-    return linalg.accuracy(made, target.select("id", unit(F.col("vec")).alias("vec")), ks).crossJoin(F.broadcast(counts)).withColumn("total", total)
+    return linalg.accuracy(made, settle(target.select("id", unit(F.col("vec")).alias("vec"))), ks).crossJoin(F.broadcast(counts)).withColumn("total", total)
 
 
 def modes(source: DataFrame, spaces: dict[str, DataFrame], anchors: DataFrame, test: Column, alpha: float = 100.0) -> DataFrame:
