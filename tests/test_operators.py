@@ -263,3 +263,16 @@ def test_searched_and_flat_passages(spark):
     flat = spark.createDataFrame([(k, x) for k, x in enumerate(["a", "lugal", "b", "c"])], "line_no int, line string")
     got = passages.flat_passages(spark.createDataFrame([("LUGAL",)], "query string"), flat, 1)
     assert rows(got) == [("LUGAL", 1, "lugal", "a\nlugal\nb")]
+
+
+def test_tier2_looks_up_tested_candidates_alone(spark):
+    candidates = spark.createDataFrame([(1, "A"), (2, "nowhere"), (3, "b")], "id long, expected string")
+    vectors_ = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, vec array<double>")
+    targets, asked = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "word string, vec array<double>"), []
+
+    def near(queries):
+        asked.append([r.id for r in queries.select("id").collect()])
+        return knn.nearest_named(queries, targets, 10)
+
+    got = audit.tier2(candidates, vectors_, targets.select("word"), near).first()
+    assert tuple(got) == (3, 1, 1, 1, 1, 2) and asked == [[1]]
