@@ -178,3 +178,18 @@ def test_pair_counts_of_blocks_equal_brute_force(spark):
     want = np.bincount(np.minimum(((s - 0.2) / 0.8 * 9 + 1e-9).astype(int), 8), minlength=9)
     for block in (None, 30, 1000):
         assert [r.n for r in cells.pair_counts(df, 0.2, 1.0, 9, block=block).orderBy("bin").collect()] == list(want)
+
+
+@pytest.mark.parametrize("g, shares", [(1, 1), (2, 1), (7, 3), (60, 4)])
+def test_blocks_cross_once_and_travel_to_half(spark, g, shares):
+    """Each pair of rows meets in one place, also where blocks are empty; a row goes to the earlier blocks, and to its own once a share."""
+    v = np.random.default_rng(7).normal(size=(40, 6))
+    v = v / np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vec array<double>")
+    placed = cells.crossed(df, g, shares)
+    s = np.round(np.clip(v @ v.T, -1, 1), 6)[np.triu_indices(40, 1)]
+    got = knn.meet(placed, cells.counts_task(-1.0, 1.0, 1, True), "bin int, n long").agg(F.sum("n")).first()[0]
+    assert got == len(s) == 780
+    sent = placed.groupBy("id").agg(F.count("*").alias("n"), F.count_if("own").alias("alone"))
+    most = sent.agg(F.max("n"), F.min("alone"), F.max("alone")).first()
+    assert most[0] <= g - 1 + shares + 1 and most[1] == most[2] == 1 and sent.agg(F.avg("n")).first()[0] <= (g - 1) * 0.7 + shares + 1
