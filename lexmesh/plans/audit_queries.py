@@ -73,12 +73,15 @@ def _surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept(spark, "surfaces", [turns], work)
 
 
+def _missed(spark: SparkSession, sf_dir: str, frequency: DataFrame) -> DataFrame:
+    return _classified(spark, sf_dir, frequency).filter("bucket = 'sumerian_vocab_miss'").select("source_token", "target_word")
+
+
 def _diagnosed(spark: SparkSession, sf_dir: str, frequency: DataFrame | None = None) -> DataFrame:
     frequency = frequency or _frequency(spark, sf_dir)
     v = _vocabulary(frequency)
     grams = v.select(F.explode(ngrams(F.col("word"), 3, 6)).alias("gram")).distinct()
-    misses = _classified(spark, sf_dir, frequency).filter("bucket = 'sumerian_vocab_miss'").select("source_token", "target_word")
-    return audit.classify_misses(misses, v, frequency, _surfaces(spark, sf_dir), grams)
+    return audit.classify_misses(_missed(spark, sf_dir, frequency), v, frequency, _surfaces(spark, sf_dir), grams)
 
 
 AUDIT_SQL = f"""WITH {CLEAN_SQL}, freq AS MATERIALIZED (SELECT word, count(*) AS n FROM (SELECT unnest(tokens) AS word FROM clean) GROUP BY word), voc AS (SELECT word FROM freq WHERE n >= 5),
@@ -173,7 +176,8 @@ def sim_ascii_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{DIAG_SQL} SELECT (SELECT count(*) FROM dg WHERE surface_in) AS resolvable, (SELECT count(DISTINCT form) FROM sfv JOIN dg ON dg.norm = sfv.cf) AS surface_forms")
 def sim_lemma_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     frequency = _frequency(spark, sf_dir)
-    return audit.lemma_expansion(_diagnosed(spark, sf_dir, frequency), _surfaces(spark, sf_dir), _vocabulary(frequency))
+    # the tokens' spelling is all that this needs of the misses: no n-gram or count is looked up
+    return audit.lemma_expansion(audit.spelled(_missed(spark, sf_dir, frequency)), _surfaces(spark, sf_dir), _vocabulary(frequency))
 
 
 def _unit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

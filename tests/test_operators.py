@@ -276,3 +276,15 @@ def test_tier2_looks_up_tested_candidates_alone(spark):
 
     got = audit.tier2(candidates, vectors_, targets.select("word"), near).first()
     assert tuple(got) == (3, 1, 1, 1, 1, 2) and asked == [[1]]
+
+
+def test_lemma_expansion_needs_no_diagnosis(spark, monkeypatch):
+    """The misses' spelling is enough: no count or n-gram is looked up for it, and the answer is that of diagnosed misses."""
+    from lexmesh.operators import audit
+    from lexmesh.plans import audit_queries
+
+    sf = "/root/testdata/sf0.001"
+    frequency = audit_queries._frequency(spark, sf)
+    want = audit.lemma_expansion(audit_queries._diagnosed(spark, sf, frequency), audit_queries._surfaces(spark, sf), audit_queries._vocabulary(frequency)).collect()
+    monkeypatch.setattr(audit, "classify_misses", None)
+    assert audit_queries.sim_lemma_expansion(spark, sf).collect() == want and want[0].resolvable > 0
