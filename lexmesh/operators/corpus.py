@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_text, clean_tokens
+from ..functions.text import clean_text, clean_tokens, resolve_marks, spelled_tokens
 from ..storage import spread
 
 
@@ -20,8 +20,9 @@ def clean_corpus(texts: DataFrame, key: str, line_array: Column) -> DataFrame:
 
 
 def token_frequency(lines_: DataFrame, line: str = "line") -> DataFrame:
-    """A4: (token, n) over cleaned tokens."""
-    return lines_.select(F.explode(clean_tokens(F.col(line))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    """A4: (token, n) over cleaned tokens. The pieces between blanks are counted first, so each distinct one is cleaned once."""
+    pieces = lines_.select(F.explode(F.split(resolve_marks(F.col(line)), " ")).alias("piece")).filter("piece <> ''").groupBy("piece").agg(F.count("*").alias("k"))
+    return pieces.select(F.explode(spelled_tokens(F.col("piece"))).alias("token"), "k").groupBy("token").agg(F.sum("k").alias("n"))
 
 
 def corpus_stats(lines_: DataFrame, line: str = "line") -> DataFrame:

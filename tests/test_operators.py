@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lexmesh.functions.text import clean_tokens
 from lexmesh.functions.vectors import cosine, half_precision, unit
 from lexmesh.operators import anchors, audit, claims, corpus, knn, lenses, linalg, lookup, passages
 
@@ -288,3 +289,13 @@ def test_lemma_expansion_needs_no_diagnosis(spark, monkeypatch):
     want = audit.lemma_expansion(audit_queries._diagnosed(spark, sf, frequency), audit_queries._surfaces(spark, sf), audit_queries._vocabulary(frequency)).collect()
     monkeypatch.setattr(audit, "classify_misses", None)
     assert audit_queries.sim_lemma_expansion(spark, sf).collect() == want and want[0].resolvable > 0
+
+
+def test_token_frequency_cleans_distinct_pieces(spark):
+    """Pieces between blanks are counted before they are cleaned; the counts are those of whole lines, also about marks, odd blanks and final sigmas."""
+    raw = ["[lugal]-e lu2-{d}nanna lu2-{d}nanna", "1.5 a.1 KA.KAK... 2. end.\tend", "$ broken", " $a b ", "(bar)(re) |KA.KAK| x y.\u00a0z.1", "ΟΔΟΣ ΟΔΟΣ ΣΑ\u3000İx", "", " ", None, "a- -b - & + ' %x 7"]
+    lines = spark.createDataFrame([(x,) for x in raw * 3], "line string")
+    got = corpus.token_frequency(lines)
+    want = lines.select(F.explode(clean_tokens(F.col("line"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    assert rows(got) == rows(want) and len(rows(want)) > 20
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2
